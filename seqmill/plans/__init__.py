@@ -1 +1 @@
-
+"""The registered queries of the package's own operators."""
