@@ -15,12 +15,18 @@ Pieces repeat, so a worker keeps what it has encoded, up to a fixed number of pi
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KEPT = 200_000  # pieces whose ids a worker keeps
 PAIRS = 1_000_000  # entries of the pair table that a worker keeps
@@ -244,3 +250,43 @@ class Codec:
 def codec(path: str, library: bool = False) -> Codec:
     """One for each worker process and vocabulary."""
     return Codec(path, library)
+
+
+_DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for b in batches:
+            n, ids_sha, text_sha = [], [], []
+            for text in b.column(1):
+                data = own.encode_bytes(text.as_py())
+                ids = np.frombuffer(data, "<u4")
+                n.append(len(ids))
+                ids_sha.append(sha(data))
+                text_sha.append(sha(own.decode(ids).encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode each text and decode it again: the number of ids, and digests of ids and decoded text.
+
+    Null and empty texts have no ids. Repeated rows get a row each; no rows give no rows.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_digest(path), _DIGEST)
+
+
+def encode_column(docs: DataFrame, path: str, text_col: str = "text", library: bool = False) -> DataFrame:
+    """``docs`` with a column ``ids`` (array of ints)."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        own = codec(path, library)
+        return texts.map(lambda t: own.encode(t).astype(np.int32))
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return docs.withColumn("ids", F.pandas_udf(run, "array<int>")(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))

@@ -1,3 +1,44 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: WARC: digests of the full payloads, and which of equal large payloads responds.
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+"""
+
+#: Chat formatting: what the digests must be, from the rows themselves.
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS doubled FROM t
+), f AS (
+  SELECT *, regexp_replace(doubled, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]', 'XXXXX', 'g') AS x,
+    length(doubled) + len(regexp_extract_all(doubled, '<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]')) AS escaped
+  FROM e
+), c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(escaped + CASE role WHEN 'user' THEN 20 WHEN 'assistant' THEN 7 WHEN 'system' THEN 22
+        ELSE 20 + length(role) END) AS formatted_chars
+  FROM f GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM c
+"""
+
+#: Nearest neighbours have no exact SQL here: the search is approximate. The rest is not SQL either.
+ORACLES: dict[str, str] = {"op5_warc": WARC, "op1_chat_formatting": CHAT}
