@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ FUZZY_FROM = 5  # a term takes one edit from this length on
 FIT_ROWS = 20_000  # bound of the labelled sample that the model is fitted to
 WINDOW = 6  # words looked at on each side of a match
 KEPT = 200_000  # words that a worker keeps
+COUNTED = 500_000  # words and prefixes that a task counts before it passes them on
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Fixed word lists: verbs of reporting, and words that address the reader, in the corpus' languages.
@@ -123,19 +125,53 @@ class Lexicon:
         return (2, max(found)[1]) if found else None
 
 
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task holds: for each word and prefix, the documents of either label that have it."""
+    low, high = PREFIX
+    held: dict[tuple[str, bool], list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        terms, prefixes = zip(*held, strict=True)
+        bad, good = zip(*held.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(prefixes, pa.bool_()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["term", "prefix", "bad", "good"])
+
+    for b in batches:
+        for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            words = set(WORD.findall(text.as_py().lower()))
+            items = {(w, False) for w in words}
+            items.update((w[:k], True) for w in words for k in range(low, min(high, len(w)) + 1))
+            at = 0 if toxic else 1
+            for i in items:
+                held.setdefault(i, [0, 0])[at] += 1
+        if len(held) > COUNTED:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def _near_words(lexicon: Lexicon):
+    """Words that would be taken for misspelt terms, with their documents of either label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, held = Matcher(lexicon), {}
+        for b in batches:
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for w in set(WORD.findall(text.as_py().lower())):
+                    if (m := match(w)) is not None and m[0] == 2:
+                        held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
+        if held:
+            bad, good = zip(*held.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["term", "bad", "good"])
+
+    return run
+
+
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    """``train(text, toxic)`` -> lexicon; what reaches the driver is bounded by TERMS."""
+    """``train(toxic, text)`` -> lexicon; what reaches the driver is bounded by TERMS."""
     low, high = PREFIX
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 0))
-    rows = train.select("toxic", words.alias("words"))
-    sizes = F.sequence(F.lit(low), F.lit(high))
-    prefixes = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.filter(sizes, lambda k: k <= F.length(w)), lambda k: F.substring(w, F.lit(1), k)))))
-    items = F.array_union(F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(False).alias("prefix"))), F.transform(prefixes, lambda p: F.struct(p.alias("term"), F.lit(True).alias("prefix"))))
-    counts = (
-        rows.select("toxic", F.explode(items).alias("t"))
-        .groupBy("t.term", "t.prefix")
-        .agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good"))
-    )
+    train = train.select("toxic", "text")
+    counts = train.mapInArrow(_partial_counts, "term string, prefix boolean, bad long, good long").groupBy("term", "prefix").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # clean documents are more than toxic ones: rates, not counts, are held against each other
     totals = train.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = totals["bad"] or 0, totals["good"] or 0
@@ -165,15 +201,10 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
             terms[w] = False
     terms = dict(sorted(terms.items(), key=lambda x: (-max(whole.get(x[0], 0), starts.get(x[0], 0)), x[0]))[:TERMS])
     lexicon = Lexicon(terms)
-    # words of clean documents within an edit of a term: compared by length and by what an edit leaves alone
-    halves = {h for t, prefix in terms.items() if not prefix and len(t) >= FUZZY_FROM for h in (t[: len(t) // 2], t[-(len(t) // 2) :])}
-    if not halves:
-        return lexicon
-    longest = max(map(len, terms)) + 1
-    half = "|".join(map(re.escape, sorted(halves)))
-    near = counts.where(~F.col("prefix") & (F.col("good") > F.col("bad")) & F.length("term").between(FUZZY_FROM - 1, longest) & F.col("term").rlike(f"^(?:{half})|(?:{half})$"))
-    seen = near.orderBy(F.col("good").desc(), "term").limit(10 * TERMS).collect()
-    return Lexicon(terms, frozenset(r["term"] for r in seen if r["term"] not in terms))
+    # words within an edit of a term that clean documents have as often as toxic ones are words of their own
+    near = train.mapInArrow(_near_words(lexicon), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    seen = near.where(F.col("good") >= F.col("bad")).orderBy(F.col("good").desc(), "term").limit(10 * TERMS).collect()
+    return Lexicon(terms, frozenset(r["term"] for r in seen))
 
 
 # -- features -------------------------------------------------------------------------------------
