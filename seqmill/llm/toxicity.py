@@ -35,7 +35,8 @@ EVIDENCE = 14.0  # log likelihood ratio, against the share of toxic documents in
 PURITY = 0.8  # share of toxic documents among those with a term, smoothed
 TERMS = 2000  # terms in the lexicon at most, the best supported first
 PREFIX = (4, 12)  # lengths of prefixes that are tried as terms
-FUZZY_FROM = 5  # a term takes one edit from this length on
+FUZZY_FROM = 5  # a whole term takes one edit from this length on
+LONGEST = 64  # letters of a word that may still be a misspelt term
 FIT_ROWS = 20_000  # bound of the labelled sample that the model is fitted to
 WINDOW = 6  # words looked at on each side of a match
 KEPT = 200_000  # words that a worker keeps
@@ -53,6 +54,11 @@ FEATURES = ("exact", "prefix", "fuzzy", "quoted", "addressed", "kinds", "density
 # -- lexicon --------------------------------------------------------------------------------------
 
 
+def _with_gaps(word: str) -> set[str]:
+    """The word, and the word with each of its letters left out."""
+    return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+
 @dataclass
 class Lexicon:
     """Terms (True: a prefix) and words known from clean documents."""
@@ -60,9 +66,12 @@ class Lexicon:
     terms: dict[str, bool]
     known: frozenset[str] = frozenset()
     trie: dict = field(default_factory=dict, repr=False)
+    gaps: set = field(default_factory=set, repr=False)
 
     def __post_init__(self) -> None:
         for term, prefix in self.terms.items():
+            if not prefix and len(term) >= FUZZY_FROM:
+                self.gaps |= _with_gaps(term)
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
@@ -84,9 +93,10 @@ class Lexicon:
                     best = (1, term)
         if best is not None:
             return best
-        if len(word) < FUZZY_FROM - 1 or word in self.known:
+        if not FUZZY_FROM - 1 <= len(word) <= LONGEST or word in self.known:
             return None
-        return self._near(word)
+        # what is one edit apart shares a string with one letter less; few words get to the automaton
+        return self._near(word) if not self.gaps.isdisjoint(_with_gaps(word)) else None
 
     def _near(self, word: str) -> tuple[int, str] | None:
         """Walk the trie with the automaton of ``word`` for one edit.
@@ -113,14 +123,8 @@ class Lexicon:
                 o &= (end << 1) - 1
                 if not o:
                     continue
-                if "" in below and depth + 1 >= FUZZY_FROM:
-                    term, prefix = below[""]
-                    if prefix:
-                        # of a prefix all letters must be there: at most its last may be missing
-                        if depth + 1 > FUZZY_FROM and o >> depth:
-                            found.append((len(term), term))
-                    elif o & end:
-                        found.append((len(term), term))
+                if depth + 1 >= FUZZY_FROM and "" in below and o & end and not below[""][1]:
+                    found.append((len(below[""][0]), below[""][0]))
                 stack.append((below, z, o, depth + 1))
         return (2, max(found)[1]) if found else None
 
@@ -315,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * FIT_ROWS / n))
     train = stored(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(marks, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     lexicon = learn_lexicon(train)
-    rows = train.select("toxic", _features(lexicon)("text").alias("x")).limit(FIT_ROWS).collect()
+    rows = train.select("toxic", _features(lexicon)("text").alias("x")).collect()  # bounded by the sample
     y = np.array([r["toxic"] for r in rows], float)
     if not len(y) or not y.any():
         return Model(lexicon, np.append(np.zeros(len(FEATURES)), -10.0))
