@@ -1 +1,93 @@
-"""Queries over binary register logs, built here from the rows of ``events``."""
+"""Queries over binary register logs. The logs are made from ``events``: each user's rows become one file."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqmill.operators import analysis, chips, score
+from seqmill.plans.logs import EV, events
+from seqmill.plans.registry import query
+from seqmill.session import stored
+from seqmill.sources import vgm
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event rows of logs: a click keys a note on the first channel on, a view keys it off; each waits before."""
+    e = events(spark, sf_dir)
+    midi = 48 + F.col("cents") % 24
+    wait = 735 * (1 + F.col("event_id") % 5)
+    from seqmill.functions.music import midi_to_fnumber
+
+    fnum = midi_to_fnumber(midi, F.lit(4))
+    row = lambda k, t, r, v: F.struct(F.lit(k).alias("k"), F.lit(t).cast("tinyint").alias("type"), F.lit(r).cast("smallint").alias("register"), v.cast("int").alias("value"))
+    on = F.array(row(0, vgm.WAIT, 0, wait), row(1, vgm.PORT0, 0xA4, F.lit(4 << 3) + F.shiftright(fnum, 8)), row(2, vgm.PORT0, 0xA0, fnum.bitwiseAND(255)), row(3, vgm.PORT0, 0x28, F.lit(0xF0)))
+    off = F.array(row(0, vgm.WAIT, 0, wait), row(1, vgm.PORT0, 0x28, F.lit(0)))
+    rest = F.array(row(0, vgm.WAIT, 0, wait), row(1, vgm.PSG, 0, 0x80 + F.col("cents") % 64))
+    rows = F.when(F.col("event_type") == "click", on).when(F.col("event_type") == "view", off).otherwise(rest)
+    flat = e.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("track_id"), "event_id", F.explode(rows).alias("x"))
+    return flat.select("track_id", (F.col("event_id") * 4 + F.col("x.k")).alias("seq"), "x.type", "x.register", "x.value", F.lit(0).cast("long").alias("sample_pos"), F.lit(None).cast("long").alias("pcm_offset"), F.lit(None).cast("string").alias("error"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vgm.write_tracks(_rows(spark, sf_dir))
+
+
+LOG = f"""WITH {EV}, w AS (SELECT *, CAST(sum(735 * (1 + event_id % 5)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS clock FROM ev)"""
+
+
+@query(f"""{LOG} SELECT 'user' || user_id AS track_id, CAST(sum(CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 1 ELSE 0 END) AS BIGINT) AS fm_writes, count(*) FILTER (event_type NOT IN ('click', 'view')) AS psg_writes,
+  count(*) AS waits, max(clock) AS samples FROM w GROUP BY 1""")
+def log_roundtrip(spark, sf_dir):
+    """Rows to bytes to rows: what the files hold when they are read back."""
+    e = vgm.read_events(_files(spark, sf_dir))
+    t = F.col("type")
+    return e.groupBy("track_id").agg(F.count_if(t == vgm.PORT0).alias("fm_writes"), F.count_if(t == vgm.PSG).alias("psg_writes"), F.count_if(t == vgm.WAIT).alias("waits"), F.sum(F.when(t == vgm.WAIT, F.col("value"))).alias("samples"))
+
+
+@query(f"""{LOG} SELECT 'user' || user_id AS track_id, '1.71' AS version_string, max(clock) AS total_samples, round(max(clock) / 44100, 6) AS seconds, bool_or(event_type = 'click') AS has_fm_notes FROM w GROUP BY 1""")
+def log_headers(spark, sf_dir):
+    h = vgm.read_headers(_files(spark, sf_dir))
+    return h.select("track_id", "version_string", "total_samples", F.round("seconds", 6).alias("seconds"), "has_fm_notes")
+
+
+NOTES = f"""{LOG}, t AS (SELECT user_id, max(clock) AS stops FROM w GROUP BY 1), g AS (SELECT user_id, event_type, clock, cents, lead(clock) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM w WHERE event_type IN ('click', 'view'))
+  , n AS (SELECT g.user_id, 48 + cents % 24 AS pitch, clock AS sample_on, coalesce(nxt, stops) AS sample_off FROM g JOIN t USING (user_id) WHERE event_type = 'click')"""
+
+
+@query(f"{NOTES} SELECT 'user' || user_id AS track_id, CAST(pitch AS INTEGER) AS pitch, sample_on, sample_off FROM n")
+def log_notes(spark, sf_dir):
+    """Notes of the first FM channel, by the decoder."""
+    n = chips.decode_notes(vgm.read_events(_files(spark, sf_dir)))
+    return n.where("channel = 0").select("track_id", "pitch", "sample_on", "sample_off")
+
+
+@query()
+def log_features(spark, sf_dir):
+    files = stored(_files(spark, sf_dir), "logs")
+    e = vgm.read_events(files)
+    return chips.features(e, chips.decode_notes(e), vgm.read_headers(files)).withColumn("cluster", analysis.cluster())
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = stored(_files(spark, sf_dir), "logs")
+    e = vgm.read_events(files)
+    heads = vgm.read_headers(files).where("error IS NULL")
+    notes = stored(score.split_notes(score.reclassify(chips.decode_notes(e))), "notes")
+    tracks = heads.select("track_id", F.lit(120).alias("bpm"), F.lit(0).alias("key_index"), F.lit(False).alias("is_minor"), F.lit(4).alias("beats"), F.lit(None).cast("int").alias("composer"), F.lit(None).cast("int").alias("game"), F.lit(None).cast("int").alias("context"), F.col("loop").isNotNull().alias("has_loop"))
+    stats = analysis.channel_stats(notes.withColumn("key", F.struct("track_id", "channel")), "key", "pitch", "sample_on", 44100)
+    c = F.col("key.channel")
+    roles = stats.select("key.track_id", "key.channel", analysis.role(c == chips.DRUM, c == chips.NOISE, F.col("mean"), F.col("density")).alias("role"))
+    return score.encode(notes, score.hardware_changes(e, heads), tracks, roles)
+
+
+@query(f"""{NOTES} SELECT 'user' || user_id AS track_id, count(*) AS notes FROM n GROUP BY 1""")
+def log_encode(spark, sf_dir):
+    """Notes that come back out of the token sequences: none is lost."""
+    back = score.decode(_encoded(spark, sf_dir))
+    return back.where("channel = 0").groupBy("track_id").agg(F.count("*").alias("notes"))
+
+
+@query()
+def log_tokens(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("track_id", F.size("tokens").alias("n"), F.slice("tokens", 1, 8).alias("head"))
