@@ -137,10 +137,10 @@ def duration_buckets(spark, sf_dir):
   count(*) FILTER ({BUCKET.replace(' s ', ' n_chars / 20 ')} = '0-30') AS under_30, (SELECT list(doc_id ORDER BY doc_id)[1:50] FROM documents WHERE n_chars < 20) AS errors FROM documents""")
 def validation_stats(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    bad = d.where("n_chars < 20").orderBy("doc_id").limit(50).agg(F.sort_array(F.collect_list("doc_id")).alias("errors"))  # fifty rows
+    bad = [r.doc_id for r in d.where("n_chars < 20").orderBy("doc_id").limit(50).select("doc_id").collect()]  # the report names fifty
     n = F.col("n_chars")
     stats = d.agg(F.count("*").alias("total"), F.count_if(n >= 20).alias("valid"), F.count_if(n < 20).alias("invalid"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_if(duration_bucket(n / 20) == "0-30").alias("under_30"))
-    return stats.join(F.broadcast(bad.select(F.when(F.size("errors") > 0, F.col("errors")).alias("errors"))), F.lit(True))
+    return stats.withColumn("errors", F.array(*map(F.lit, bad)) if bad else F.lit(None).cast("array<bigint>"))
 
 
 COVER = "s AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT n, count(*) AS groups FROM s GROUP BY 1)"
@@ -187,8 +187,8 @@ def token_entropy(spark, sf_dir):
 def musicality_gap(spark, sf_dir):
     e = corpus.entropy(_tokens(spark, sf_dir), "doc_id", "token").join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
     m = e.groupBy("lang").agg(F.avg("n").alias("n"), F.avg("bits").alias("bits"))
-    a = m.where("lang = 'en'").select(F.col("n").alias("an"), F.col("bits").alias("ab"))
-    joined = m.join(F.broadcast(a), F.lit(True))  # one row
+    english = lambda c: F.max(F.when(F.col("lang") == "en", F.col(c))).over(W.partitionBy())  # noqa: E731  a row for each language
+    joined = m.withColumns({"an": english("n"), "ab": english("bits")})
     return joined.select("lang", F.round("n", 6).alias("mean_tokens"), F.round("bits", 4).alias("mean_bits"), F.round(F.col("n") - F.col("an"), 6).alias("gap_tokens"), (F.abs(F.col("bits") - F.col("ab")) < 0.5).alias("close"))
 
 

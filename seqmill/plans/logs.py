@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqmill.operators import analysis, augment, sequence
+from seqmill.functions.music import bin_value, nearest_bin
+from seqmill.operators import align, analysis, augment, sequence
 from seqmill.plans.registry import query
 from seqmill.session import table
 
@@ -86,9 +87,9 @@ def note_intervals(spark, sf_dir):
   SELECT *, round(active / greatest(total, 1), 6) AS fraction, round(2 * active / greatest(total, 1), 6) AS counted_twice FROM a""")
 def active_state_fraction(spark, sf_dir):
     e = events(spark, sf_dir)
-    last = e.agg(F.max("us").alias("m"))
+    last = e.agg(F.max("us")).first()[0]  # the end of the log, one number
     on = F.col("event_type").isin("click", "view")
-    a = sequence.active_time(e.crossJoin(F.broadcast(last)), ["user_id"], ["event_id"], "us", on, F.col("m"))  # one row
+    a = sequence.active_time(e, ["user_id"], ["event_id"], "us", on, F.lit(last))
     share = F.col("active") / F.greatest(F.col("total"), F.lit(1))
     return a.withColumns({"fraction": F.round(share, 6), "counted_twice": F.round(2 * share, 6)})
 
@@ -291,8 +292,6 @@ PAIRS = f"""a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY eve
 def _pairs(spark, sf_dir):
     a = events(spark, sf_dir)
     b = a.select("user_id", "event_id", (F.col("us") + (F.col("event_id") % 7 - 3) * 1000000).alias("us"), (F.col("cents") + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)).alias("cents"))
-    from seqmill.operators import align
-
     return align.by_index(a, b, "user_id", ["event_id"], "us", "cents")
 
 
@@ -305,8 +304,6 @@ def tolerance_align(spark, sf_dir):
   SELECT user_id, n, round(avg(d_on), 6) AS mean_on, round(median(d_on), 6) AS median_on, max(abs(d_on)) FILTER (r = least(CAST(floor(0.95 * n) AS BIGINT), n - 1) + 1) AS p95_on,
   max(abs(d_on)) AS max_on, count(*) FILTER (d_pitch <> 0) AS mismatches FROM o GROUP BY user_id, n""")
 def drift_stats(spark, sf_dir):
-    from seqmill.operators import align
-
     return align.drift(_pairs(spark, sf_dir), "user_id")
 
 
@@ -331,8 +328,6 @@ BINS = augment.WAIT_BINS
   n AS (SELECT event_id, l, CASE WHEN up > 1 AND cents - l[up - 1] < l[up] - cents THEN up - 2 ELSE up - 1 END AS bin FROM u)
   SELECT event_id, CAST(bin AS INTEGER) AS bin, CAST(l[bin + 1] AS INTEGER) AS wait FROM n""")
 def wait_bins(spark, sf_dir):
-    from seqmill.functions.music import bin_value, nearest_bin
-
     e = events(spark, sf_dir).select("event_id", nearest_bin(F.col("cents"), BINS).alias("bin"))
     return e.withColumn("wait", bin_value(F.col("bin"), BINS))
 
