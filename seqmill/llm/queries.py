@@ -12,12 +12,18 @@ from seqmill.llm import ann, bpe, chat, langid, media, packing, simhash, tokenco
 from seqmill.llm.sql import ORACLES
 from seqmill.session import ship, small_batches, table
 
-#: Where the public vocabulary files are; a parameter, never copied.
-TOKENIZERS = os.environ.get("SEQMILL_TOKENIZERS", "/opt/tokenizers")
+#: A folder of public vocabulary files; a parameter, never copied. Unset: where their package has them.
+TOKENIZERS = os.environ.get("SEQMILL_TOKENIZERS")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
-    return f"{TOKENIZERS}/{name}"
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
