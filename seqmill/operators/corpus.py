@@ -169,3 +169,49 @@ def nucleus(df: DataFrame, key: str, logit: str, token: str, p: float, k: int) -
     probs = ranked.withColumn("__e", e).withColumn("p", F.col("__e") / F.sum("__e").over(w))
     run = F.coalesce(F.sum("p").over(w.orderBy(F.col("p").desc(), token).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     return probs.withColumn("__c", run).where(F.round("__c", 9) < p).select(key, token, F.round("p", 6).alias("p"))
+
+
+# -- samples, orders and searches -----------------------------------------------------------------
+
+
+def _shuffled(key: str, seed: int) -> Column:
+    """A fixed pseudo-random order of keys; equal hashes go by key."""
+    return F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, the same in every run."""
+    return df.orderBy(_shuffled(key, seed)).limit(n)
+
+
+def split_share(df: DataFrame, key: str, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """Adds ``split``: of distinct keys max(1, floor(share * n)) are val, taken in a fixed order.
+
+    Only the bound is looked for in order (a top-k over keys); rows compare with it.
+    """
+    keys = df.select(key).distinct()
+    n = keys.count()
+    take = max(1, int(share * n))
+    last = keys.select(_shuffled(key, seed).alias("s")).orderBy("s").limit(take).agg(F.max("s").alias("s")).first()["s"] if n else None
+    if last is None:
+        return df.withColumn("split", F.lit("train"))
+    bound = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["k"]).alias("k"))
+    return df.withColumn("split", F.when(_shuffled(key, seed) <= bound, "val").otherwise("train"))
+
+
+def resume(df: DataFrame, key: str, start: int, seed: int = 42) -> DataFrame:
+    """Rows in a fixed order, from the ``start``-th on: to go on where an earlier pass stopped."""
+    return df.orderBy(_shuffled(key, seed)).offset(start)
+
+
+def by_hints(df: DataFrame, name: str, game: str, track: str) -> DataFrame:
+    """The best row for two hints: both in its name, else the game's alone without first tracks, else any of the game; by name."""
+    import re
+
+    has = lambda hint: F.col(name).rlike("(?i)" + re.escape(hint))
+    rank = F.when(has(game) & has(track), 0).when(has(game) & ~F.contains(F.col(name), F.lit("_01_")), 1).when(has(game), 2)
+    return df.withColumn("__rank", rank).where("__rank IS NOT NULL").orderBy("__rank", name).limit(1).drop("__rank")
+
+
+def search(df: DataFrame, name: str, part: str) -> DataFrame:
+    return df.where(F.contains(F.lower(name), F.lit(part.lower())))

@@ -291,3 +291,13 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decode(sequences: DataFrame) -> DataFrame:
     """``track_id, tokens`` -> a row for each note. Null and empty sequences have none."""
     return sequences.select("track_id", "tokens").mapInArrow(_decoded, _DECODED)
+
+
+def patch_vector(patch: Column) -> Column:
+    """47 numbers for comparing patches: the algorithm one-hot (times four), feedback, nine by operator, AMS and FMS, each from 0 to 1."""
+    at = lambda k: F.element_at(patch, k + 1)
+    hot = [F.when(at(0) == k, 4.0).otherwise(0.0) for k in range(8)]
+    out = [*hot, at(1) / 7.0]
+    for op in range(4):
+        out += [at(5 + 11 * op + k) / float(mask) for k, mask in enumerate(OP_MASKS[:9])]
+    return F.array(*out, at(2) / 3.0, at(3) / 7.0)

@@ -98,3 +98,10 @@ def test_decoding_is_bounded_by_the_sequence():
     assert [(n["channel"], n["pitch"], n["sample_on"], n["sample_off"]) for n in d.notes] == [(0, 60, 0, 44096), (6, None, 44096, 44096 + 5512)]
     for cut in range(len(t)):
         score.decode_tokens(t[:cut])
+
+
+def test_patch_vectors_lie_in_bounds(spark):
+    top = [7, 7, 3, 7, 3, *[127, 31, 31, 31, 15, 15, 15, 7, 3, 15, 1] * 4]
+    df = spark.createDataFrame([(top,), ([0] * 49,)], "patch array<int>")
+    a, b = (r.v for r in df.select(score.patch_vector(F.col("patch")).alias("v")).collect())
+    assert len(a) == len(b) == 47 and a[7] == 4.0 and all(x == 1.0 for x in a[8:]) and b[0] == 4.0 and sum(b) == 4.0

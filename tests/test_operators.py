@@ -138,3 +138,21 @@ def test_stream_of_windows(log):
     got = {(r.kind, r.begins): r.n for r in run(streams.onset_windows(stream, "ts", ["kind"]))}
     batch = {(r.kind, r.w.start): r.n for r in base.groupBy("kind", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).collect()}
     assert got and all(batch[k] == n for k, n in got.items()) and len(batch) - len(got) <= 6
+
+
+def test_samples_and_orders(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
+    a, b = ({r.k for r in corpus.sample(df.repartition(n), "k", 50).collect()} for n in (1, 7))
+    assert a == b and len(a) == 50
+    split = corpus.split_share(df, "k")
+    assert split.where("split = 'val'").count() == 50 and corpus.split_share(df.limit(3), "k").where("split = 'val'").count() == 1
+    assert corpus.split_share(df.limit(0), "k").count() == 0
+    whole = [r.k for r in corpus.resume(df, "k", 0).collect()]
+    assert [r.k for r in corpus.resume(df, "k", 990).collect()] == whole[990:]
+
+
+def test_searches(spark):
+    df = spark.createDataFrame([("Alpha_01_Intro",), ("alpha_02_Boss",), ("Alpha_03_End",), ("Beta_01_x",)], "name string")
+    pick = lambda g, t: [r.name for r in corpus.by_hints(df, "name", g, t).collect()]
+    assert pick("alpha", "end") == ["Alpha_03_End"] and pick("ALPHA", "nothing") == ["Alpha_03_End"] and pick("beta", "q") == ["Beta_01_x"] and pick("gamma", "q") == []
+    assert corpus.search(df, "name", "BETA").count() == 1
