@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,19 +75,18 @@ def key(classes: DataFrame, track: str) -> DataFrame:
 
     The twelve sums of a track are one row; the profiles are constants, so nothing is joined.
     """
-    h = classes.groupBy(track).agg(*[F.coalesce(F.sum(F.when(F.col("pc") == k, F.col("weight"))), F.lit(0)).cast("double").alias(f"h{k}") for k in range(12)])
-    mean = sum((F.col(f"h{k}") for k in range(1, 12)), F.col("h0")) / 12
-    h = h.withColumn("m", mean)
-    spread = sum(((F.col(f"h{k}") - F.col("m")) ** 2 for k in range(12)), F.lit(0.0))
+    h = classes.groupBy(track).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("pc") == k, F.col("weight"))), F.lit(0)).cast("double") for k in range(12)]).alias("h"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    h = h.withColumn("d", F.transform("h", lambda x: x - add(F.col("h")) / 12)).withColumn("spread", F.sqrt(F.nullif(add(F.transform("d", lambda x: x * x)), F.lit(0.0))))
     tries = []
     for root in range(12):
         for minor, profile in enumerate(PROFILES):
             centre = sum(profile) / 12
             turned = [profile[(k - root) % 12] - centre for k in range(12)]
-            norm = sum(x * x for x in turned) ** 0.5
-            r = sum(((F.col(f"h{k}") - F.col("m")) * F.lit(turned[k]) for k in range(12)), F.lit(0.0)) / (F.sqrt(F.nullif(spread, F.lit(0.0))) * norm)
-            tries.append(F.struct(F.round(r, 9).alias("r"), F.lit(-root).alias("root"), F.lit(-minor).alias("minor")))
-    best = h.withColumn("b", F.array_max(F.array(*tries)))
+            tries.append({"root": -root, "minor": -minor, "v": turned, "norm": sum(x * x for x in turned) ** 0.5})
+    keys = F.from_json(F.lit(json.dumps(tries)), "array<struct<root: int, minor: int, v: array<double>, norm: double>>")  # folds to a constant
+    r = lambda t: F.round(add(F.zip_with("d", t["v"], lambda x, y: x * y)) / (F.col("spread") * t["norm"]), 9)
+    best = h.withColumn("b", F.array_max(F.transform(keys, lambda t: F.struct(r(t).alias("r"), t["root"].alias("root"), t["minor"].alias("minor")))))
     return best.select(track, (-F.col("b.root")).alias("key_index"), (F.col("b.minor") == -1).alias("is_minor"), F.round("b.r", 6).alias("score"))
 
 

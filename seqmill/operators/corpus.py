@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,7 +157,8 @@ def nearest_l1(df: DataFrame, key: str, vector: str, library: DataFrame) -> Data
         raise ValueError("a library holds at most 128 vectors")
     if not rows:
         return df.select(key, F.lit(None).cast("long").alias("lib"), F.lit(None).cast("double").alias("distance"))
-    lib = F.array(*[F.struct(F.lit(int(r["lib"])).cast("long").alias("lib"), F.array(*[F.lit(float(x)) for x in r["vec"]]).alias("vec")) for r in rows])
+    listed = [{"lib": int(r["lib"]), "vec": [float(x) for x in r["vec"]]} for r in rows]
+    lib = F.from_json(F.lit(json.dumps(listed)), "array<struct<lib: bigint, vec: array<double>>>")  # folds to a constant
     apart = lambda e: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), e["vec"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
     best = F.array_min(F.transform(lib, lambda e: F.struct(F.round(apart(e), 9).alias("d"), e["lib"].alias("lib"))))
     return df.withColumn("__b", best).select(key, F.col("__b.lib").alias("lib"), F.round("__b.d", 6).alias("distance"))
