@@ -33,7 +33,7 @@ TEMPER = 0.3  # weight of a trigram's log likelihood
 RELIABLE = {"markup": 0.9, "suffix": 0.8}  # how often a declared language is the right one
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 50.0  # rows that the level above counts for
 UND_PRIOR = 1e-4
-ACCEPT = 0.5  # smallest posterior of a row that is kept
+ACCEPT = 0.5  # smallest probability that a kept row is in one of the languages learned, whichever
 FEW_HOSTS = 10_000  # hosts up to which the priors go to every task; beyond, they are joined
 CHUNK = 1 << 20  # bytes of a text scored at a time
 #: Country suffixes that say a language.
@@ -251,6 +251,10 @@ class Identifier:
         names = F.array(*[F.lit(x) for x in self.model.languages])
         return F.element_at(names, F.array_position(p, top).cast("int")), top
 
+    def accepted(self) -> Column:
+        """Is the row in one of the languages learned? A short text may be in either of two."""
+        return 1 - F.element_at("__posterior", len(self.model.languages)) >= ACCEPT
+
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **columns: str) -> Identifier:
     """From the rows of ``docs`` that carry a language, held-out fold left out.
@@ -277,14 +281,13 @@ def identify(df: DataFrame, how: Identifier, id_col: str = "doc_id") -> DataFram
     language, top = how.best()
     names = F.array(*[F.lit(x) for x in how.model.languages])
     by_text = F.element_at(names, F.array_position("__ll", F.array_max("__ll")).cast("int"))
-    out = fused.select(F.col("__id").alias(id_col), language.alias("language"), F.round(top, 6).alias("posterior"), by_text.alias("text_language"))
-    return out.withColumn("accepted", (F.col("language") != "und") & (F.col("posterior") >= ACCEPT))
+    out = fused.select(F.col("__id").alias(id_col), language.alias("language"), F.round(top, 6).alias("posterior"), by_text.alias("text_language"), how.accepted().alias("accepted"))
+    return out
 
 
 def keep_identified(df: DataFrame, how: Identifier) -> DataFrame:
-    """The rows whose language is one of those learned with a posterior of ACCEPT at least, as they were."""
+    """The rows that are in one of the languages learned with a probability of ACCEPT at least, as they were."""
     seen = how.evidence(df)
     compact = stored(seen.select("__ll", "__host", "__suffix"), "language")
     fused = how.fuse(seen, how.priors(compact))
-    language, top = how.best()
-    return fused.where((language != "und") & (top >= ACCEPT)).select(*[F.col(f"`{c}`") for c in df.columns])
+    return fused.where(how.accepted()).select(*[F.col(f"`{c}`") for c in df.columns])
