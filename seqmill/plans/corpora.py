@@ -140,7 +140,7 @@ def validation_stats(spark, sf_dir):
     bad = [r.doc_id for r in d.where("n_chars < 20").orderBy("doc_id").limit(50).select("doc_id").collect()]  # the report names fifty
     n = F.col("n_chars")
     stats = d.agg(F.count("*").alias("total"), F.count_if(n >= 20).alias("valid"), F.count_if(n < 20).alias("invalid"), F.sum("n_chars").alias("chars"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_if(duration_bucket(n / 20) == "0-30").alias("under_30"))
-    return stats.withColumn("errors", F.array(*map(F.lit, bad)) if bad else F.lit(None).cast("array<bigint>"))
+    return stats.withColumn("errors", F.array(*map(F.lit, bad)).cast("array<bigint>") if bad else F.lit(None).cast("array<bigint>"))
 
 
 COVER = "s AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT n, count(*) AS groups FROM s GROUP BY 1)"
@@ -368,7 +368,7 @@ def curriculum_len(spark, sf_dir):
 
 
 @query(f"""WITH {IDS}, u AS (SELECT unnest(ids) AS t FROM iq) SELECT CASE WHEN t BETWEEN 4 AND 184 THEN 'tempo' WHEN t BETWEEN 185 AND 208 THEN 'key' WHEN t BETWEEN 379 AND 466 THEN 'pitch' WHEN t BETWEEN 467 AND 482 THEN 'velocity' ELSE 'other' END AS kind,
-  count(*) AS n, round(sum(CASE WHEN t BETWEEN 467 AND 482 THEN 3.0 ELSE 1.0 END), 6) AS weight FROM u GROUP BY 1""")
+  count(*) AS n, round(CAST(sum(CASE WHEN t BETWEEN 467 AND 482 THEN 3.0 ELSE 1.0 END) AS DOUBLE), 6) AS weight FROM u GROUP BY 1""")
 def rare_token_weight(spark, sf_dir):
     t = F.col("t")
     kind = corpus.gate((t.between(4, 184), "tempo"), (t.between(185, 208), "key"), (t.between(379, 466), "pitch"), (t.between(467, 482), "velocity"))

@@ -249,7 +249,7 @@ def cluster_counts(spark, sf_dir):
 def envelope_split(spark, sf_dir):
     e = events(spark, sf_dir).withColumns({"bucket": F.floor(F.col("cents") * 7 / 50000).cast("long"), "stops": F.max("us").over(W.partitionBy("user_id", "event_type"))})
     s = sequence.split_envelope(e, ["user_id", "event_type"], ["event_id"], "us", "bucket", "stops")
-    return s.select("user_id", "event_type", "part", "bucket", F.col("us").alias("begins"), F.col("until").alias("ends"))
+    return s.select("user_id", "event_type", F.col("part").cast("long").alias("part"), "bucket", F.col("us").alias("begins"), F.col("until").alias("ends"))
 
 
 @query(f"""WITH {EV}, s AS (SELECT user_id, cents - lag(cents) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM ev)
