@@ -8,7 +8,9 @@ documents is noted as known, so that it is not taken for a misspelling.
 
 Matching. The lexicon is a trie. A word of a text is a Levenshtein automaton, held as one bit mask
 for each number of edits; both are walked together, and a branch ends when no state is left. Short
-terms take no edit, longer ones one. Words repeat, so a worker keeps what it has matched.
+terms take no edit, longer ones one; a learned prefix takes it within the prefix, and the whole words
+that a prefix stands for stay in the trie as fuzzy terms. Words repeat, so a worker keeps what it has
+matched.
 
 Context. Each match is looked at within a window of words: quotation marks around it and verbs of
 reporting before it speak for quotation, words of address for abuse. A logistic model over counts of
@@ -59,23 +61,47 @@ def _with_gaps(word: str) -> set[str]:
     return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
 
 
+def _starts_within_edit(word: str, term: str) -> bool:
+    """Is a start of the word within one edit of the term? The edit can stand at the first letters that differ."""
+    i = 0
+    for a, b in zip(word, term, strict=False):
+        if a != b:
+            break
+        i += 1
+    rest = term[i + 1 :]
+    return word.startswith(rest, i) or word.startswith(rest, i + 1) or word.startswith(term[i:], i + 1)
+
+
 @dataclass
 class Lexicon:
-    """Terms (True: a prefix) and words known from clean documents."""
+    """Terms (True: a prefix) and words known from clean documents.
+
+    ``fuzzy``: what takes an edit besides whole terms, namely prefixes and whole words under a prefix.
+    """
 
     terms: dict[str, bool]
     known: frozenset[str] = frozenset()
+    fuzzy: frozenset[str] = frozenset()
     trie: dict = field(default_factory=dict, repr=False)
     gaps: set = field(default_factory=set, repr=False)
+    halves: tuple = field(default=(), repr=False)  # of the prefixes that take an edit: (length of the first, by first, length of the second, by second)
 
     def __post_init__(self) -> None:
-        for term, prefix in self.terms.items():
-            if not prefix and len(term) >= FUZZY_FROM:
-                self.gaps |= _with_gaps(term)
+        halves: dict[int, tuple[dict, dict]] = {}
+        for term, prefix in [*((w, False) for w in self.fuzzy if w not in self.terms), *self.terms.items()]:
+            if len(term) >= FUZZY_FROM:
+                if not prefix:
+                    self.gaps |= _with_gaps(term)
+                elif term in self.fuzzy:
+                    h = len(term) // 2
+                    first, second = halves.setdefault(len(term), ({}, {}))
+                    first.setdefault(term[:h], []).append(term)
+                    second.setdefault(term[h:], []).append(term)
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, prefix)
+        self.halves = tuple((n // 2, first, n - n // 2, second) for n, (first, second) in halves.items())
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(kind, term) of the best match: 0 exact, 1 prefix, 2 misspelt; None if there is none."""
@@ -88,7 +114,7 @@ class Lexicon:
             if "" in node:
                 term, prefix = node[""]
                 if k == len(word) - 1 and not prefix:
-                    return 0, term
+                    return best or (0, term)
                 if prefix:
                     best = (1, term)
         if best is not None:
@@ -96,7 +122,15 @@ class Lexicon:
         if not FUZZY_FROM - 1 <= len(word) <= LONGEST or word in self.known:
             return None
         # what is one edit apart shares a string with one letter less; few words get to the automaton
-        return self._near(word) if not self.gaps.isdisjoint(_with_gaps(word)) else None
+        return self._near(word) if not self.gaps.isdisjoint(_with_gaps(word)) or self._starts_near(word) else None
+
+    def _starts_near(self, word: str) -> bool:
+        """Does the word start with a prefix that has one edit? One half of the prefix is then whole."""
+        for h, first, k, second in self.halves:
+            for found in (first.get(word[:h]), second.get(word[h : h + k]), second.get(word[h - 1 : h - 1 + k]), second.get(word[h + 1 : h + 1 + k])):
+                if found and any(_starts_within_edit(word, term) for term in found):
+                    return True
+        return False
 
     def _near(self, word: str) -> tuple[int, str] | None:
         """Walk the trie with the automaton of ``word`` for one edit.
@@ -123,8 +157,10 @@ class Lexicon:
                 o &= (end << 1) - 1
                 if not o:
                     continue
-                if depth + 1 >= FUZZY_FROM and "" in below and o & end and not below[""][1]:
-                    found.append((len(below[""][0]), below[""][0]))
+                if depth + 1 >= FUZZY_FROM and "" in below:
+                    term, prefix = below[""]
+                    if term in self.fuzzy if prefix else o & end:  # of a prefix, any start of the word will do
+                        found.append((len(term), term))
                 stack.append((below, z, o, depth + 1))
         return (2, max(found)[1]) if found else None
 
@@ -204,11 +240,13 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         if not any(terms.get(w[:k]) for k in range(low, len(w) + 1)):
             terms[w] = False
     terms = dict(sorted(terms.items(), key=lambda x: (-max(whole.get(x[0], 0), starts.get(x[0], 0)), x[0]))[:TERMS])
-    lexicon = Lexicon(terms)
+    under = (w for w in whole if any(terms.get(w[:k]) for k in range(low, len(w) + 1)))
+    fuzzy = frozenset([*under, *(p for p, prefix in terms.items() if prefix)])
+    lexicon = Lexicon(terms, fuzzy=fuzzy)
     # words within an edit of a term that clean documents have as often as toxic ones are words of their own
     near = train.mapInArrow(_near_words(lexicon), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     seen = near.where(F.col("good") >= F.col("bad")).orderBy(F.col("good").desc(), "term").limit(10 * TERMS).collect()
-    return Lexicon(terms, frozenset(r["term"] for r in seen))
+    return Lexicon(terms, frozenset(r["term"] for r in seen), fuzzy)
 
 
 # -- features -------------------------------------------------------------------------------------

@@ -87,3 +87,44 @@ def test_odd_rows_and_the_filter(spark, learned):
     assert tox.score(odd.limit(0), model).count() == 0
     untaught = tox.learn(docs, labels.limit(0))
     assert {r.predicted for r in tox.score(docs, untaught).collect()} == {0}
+
+
+def test_prefixes_take_an_edit():
+    """By edit distance: to a start of the word for prefixes, to the word for whole words under a prefix."""
+    terms, under = {"stupid": True, "zwim": True, "moron": False}, {"zwimpel", "stupidly"}
+    lexicon = tox.Lexicon(terms, frozenset({"stupor"}), frozenset({"stupid", "zwim", *under}))
+    assert [lexicon.match(w) for w in ("stupidly", "stuppid", "stpidly", "zwmpel", "zwxm", "stupor")] == [(1, "stupid"), (2, "stupid"), (2, "stupidly"), (2, "zwimpel"), None, None]
+    rng = random.Random(5)
+    for _ in range(20_000):
+        w = list(rng.choice([*terms, *under]) + rng.choice(["", "", "e", "ness"]))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(["", "s", "t", "i", "pp", "mo"])
+            w = list("".join(w)) or ["x"]
+        w = "".join(w)
+        near = any(distance(w, t) <= 1 for t in ("moron", *under)) or any(distance(w[:k], "stupid") <= 1 for k in range(len(w) + 1))
+        want = 0 if w == "moron" else 1 if w.startswith(("stupid", "zwim")) else 2 if near else None
+        got = lexicon.match(w)
+        assert (got[0] if got else None) == want, w
+
+
+def test_misspelt_stems_of_learned_prefixes(spark):
+    """A stem with several endings becomes a prefix; held-out texts with an edit inside the stem are still caught."""
+    rng, rows, bent = random.Random(6), [], set()
+    for k, text, bad in corpus(2400):
+        if bad:
+            text = " ".join(w for w in text.split() if not w.lower().startswith(("zwim", "grofex")))
+            stem = "stupid"
+            if k % 32 == 0:
+                at = rng.randrange(1, 5)
+                stem, _ = stem[:at] + rng.choice("abcefghjk") + stem[at + rng.randint(0, 1) :], bent.add(k)
+            text += f" {stem}{rng.choice(['ly', 'e', 'ity', 'ness'])}"
+        rows.append((k, text, bad))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = tox.learn(docs, labels)
+    prefixes = [t for t, prefix in model.lexicon.terms.items() if prefix]
+    assert any("stupid".startswith(p) for p in prefixes), prefixes
+    held = [r for r in tox.score(docs, model).collect() if r.held_out]
+    caught = [r.predicted for r in held if r.doc_id in bent]
+    assert len(caught) > 8 and sum(caught) / len(caught) > 0.9
+    assert sum(r.predicted == (r.doc_id % 8 == 0) for r in held) / len(held) > 0.97
