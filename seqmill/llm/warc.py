@@ -8,8 +8,9 @@ members, which is what a compressed WARC file is.
 Reading. Splits of a file are byte ranges. Spark's line reader scans each for the separator, here the
 gzip magic, and a range owns what starts inside it, reading on past its end. The magic also occurs
 within members, so each piece is only a candidate: if its bytes do not start a member whose decoded
-head is that of a record, it belongs to the member before. Where a range's end falls between the two,
-the pieces are put together in a second step; those are few (one in 2**24 bytes starts like a member).
+head is that of a record, it belongs to the member before. A piece too short to tell waits for those
+after it. Where a range's end falls between the two, the pieces are put together in a second step;
+those are few (one in 2**24 bytes starts like a member).
 
 Known limit: a record that holds another archive's members stored as they are, across a range's end,
 may have these taken for records of their own.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from seqmill.session import scratch_path, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
+HEAD = b"WARC/"
 LEVEL = 4
 REVISIT_FROM = 1000  # bytes of a payload that a record may revisit
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,7 +75,7 @@ def _headers(block: bytes) -> tuple[dict[str, str], bytes]:
 
 def parse(data: bytes) -> tuple | None:
     """A decoded member -> the columns of RECORD; None for what holds no record."""
-    if not data.startswith(b"WARC/"):
+    if not data.startswith(HEAD):
         return None
     head, rest = _headers(data)
     block = rest[: int(head.get("content-length", 0))]
@@ -127,35 +129,54 @@ class _Range:
         self.out: list[bytes] = []
         self.early: list[bytes] = []  # before the first record: ends of a member that starts before
         self.begun = False
-
-    def _start(self, piece: bytes) -> bool:
-        """Does a record's member start here?"""
-        z = zlib.decompressobj(31)
-        try:
-            out = z.decompress(piece)
-        except zlib.error:
-            return False
-        if not (out.startswith(b"WARC/") or z.eof and not out):
-            return False
-        self.open, self.raw, self.out, self.begun = z, [piece], [out], True
-        return True
-
-    def feed(self, piece: bytes) -> bytes | None:
-        """A piece with the magic before it -> the decoded member that it completes."""
-        if self.open is not None:
+        self.sure = False  # is what is open known to be a record?
+
+    def feed(self, piece: bytes) -> list[bytes]:
+        """A piece with the magic before it -> the decoded members that it completes."""
+        done, todo = [], [piece]
+        while todo:
+            piece = todo.pop()
+            if self.open is None:
+                self.open, self.raw, self.out, self.sure = zlib.decompressobj(31), [], [], False
+            self.raw.append(piece)
             try:
                 self.out.append(self.open.decompress(piece))
-                self.raw.append(piece)
-            except zlib.error:  # a broken member: what follows may be one
+            except zlib.error:
+                if self.sure:  # a broken member: what follows may be one
+                    todo.append(piece)
+                else:
+                    todo += self._reject()
                 self.open = None
-        if self.open is None and not self._start(piece):
-            if not self.begun:
-                self.early.append(piece)
-            return None
-        if self.open.eof:
-            self.open = None
-            return b"".join(self.out)
-        return None
+                continue
+            if not self.sure:
+                head = b"".join(self.out)[: len(HEAD)]
+                self.sure = head == HEAD or self.open.eof and not head
+                if not self.sure and (self.open.eof or not HEAD.startswith(head)):
+                    todo += self._reject()
+                    self.open = None
+                    continue
+                self.begun |= self.sure
+            if self.open.eof:
+                self.open = None
+                done.append(b"".join(self.out))
+        return done
+
+    def _reject(self) -> list[bytes]:
+        """No record starts here after all -> the pieces that waited with the first, the last one first."""
+        if not self.begun:
+            self.early.append(self.raw[0])
+        return self.raw[:0:-1]
+
+    def left(self) -> list[tuple[str, bytes]]:
+        """What the range's end cuts off: early pieces, then what is open and, while that is not sure, its pieces apart."""
+        cut = [("early", x) for x in self.early]
+        if self.open is None:
+            return cut
+        if self.sure:
+            return [*cut, ("open", b"".join(self.raw))]
+        if not self.begun:
+            return cut + [("early", x) for x in self.raw]
+        return [*cut, ("open", self.raw[0]), *(("tail", x) for x in self.raw[1:])]
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +184,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, own, rows, size = None, _Range(), [], 0
 
     def left() -> list[tuple]:
-        if at is None:
-            return []
-        cut = [(*at, 0, "early", x) for x in own.early]
-        return cut + ([(*at, 1, "open", b"".join(own.raw))] if own.open is not None else [])
+        return [] if at is None else [(*at, kind, x) for kind, x in own.left()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         types = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         names = ["record_type", "record_id", "target_uri", "refers_to", "declared_digest", "declared_bytes", "payload", "path", "start", "kind", "piece"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    cut = lambda xs: [(None,) * 7 + (p, s, k, x) for p, s, _, k, x in xs]
+    cut = lambda xs: [(None,) * 7 + (p, s, k, x) for p, s, k, x in xs]
     for b in batches:
         for path, start, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             if (path, start) != at:
@@ -181,10 +199,10 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, own = (path, start), _Range()
                 if start == 0:
                     continue  # what stands before the first magic of a file
-            found = own.feed(MAGIC + value.as_py())
-            if found is not None and (r := parse(found)) is not None:
-                rows.append((*r, None, None, None, None))
-                size += len(found)
+            for found in own.feed(MAGIC + value.as_py()):
+                if (r := parse(found)) is not None:
+                    rows.append((*r, None, None, None, None))
+                    size += len(found)
             if size > 4 << 20:
                 yield batch(rows)
                 rows, size = [], 0
@@ -195,15 +213,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _join_pieces(table: pa.Table) -> pa.Table:
     """Grouped by file: open members and the pieces that the ranges after them begin with."""
-    rows = sorted(zip(table.column("start").to_pylist(), range(table.num_rows), table.column("kind").to_pylist(), table.column("piece").to_pylist(), strict=True), key=lambda r: (r[0], r[2] == "open", r[1]))
+    rows = sorted(zip(table.column("start").to_pylist(), range(table.num_rows), table.column("kind").to_pylist(), table.column("piece").to_pylist(), strict=True), key=lambda r: (r[0], ("early", "open", "tail").index(r[2]), r[1]))
     out, own = [], _Range()
     for _, _, kind, piece in rows:
-        if kind == "open" or own.open is not None:
-            if kind == "open":
-                own = _Range()
-            found = own.feed(piece)
-            if found is not None and (r := parse(found)) is not None:
-                out.append(r)
+        if kind == "open":
+            own = _Range()
+        out += [r for found in own.feed(piece) if (r := parse(found)) is not None]
     types = [pa.string()] * 5 + [pa.int64(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
     return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import random
+import struct
+import zlib
 
 from seqmill.llm import warc
 
@@ -61,3 +63,33 @@ def test_response_and_revisit(spark):
     want = [(0, "revisit", 7, 1000, sha(big)), (1, "revisit", 7, 1000, sha(big)), (2, "response", None, 999, sha(small)), (3, "revisit", 7, 1000, sha(big)), (4, "response", None, 0, sha("")), (5, "response", None, 0, sha("")), (6, "revisit", 8, 1000, sha("é" * 500)), (7, "response", None, 1000, sha(big)), (7, "response", None, 1000, sha(big)), (8, "response", None, 1000, sha("é" * 500)), (9, "response", None, 999, sha(small))]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.describe(warc.archive(df.limit(0))).count() == 0
+
+
+def late_member(data, extra, cuts):
+    """A member with the magic in its header, before any output, and again in stored blocks that output letter by letter."""
+    z = zlib.compressobj(0, zlib.DEFLATED, -15)
+    body = b"".join(z.compress(data[k : k + 1]) + z.flush(zlib.Z_FULL_FLUSH) for k in range(cuts)) + z.compress(data[cuts:]) + z.flush()
+    extra = b"xx" + struct.pack("<H", len(extra)) + extra
+    out = warc.MAGIC + b"\x04" + bytes(6) + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data))
+    return out if out[-1] == 0 else out + warc._EMPTY
+
+
+def test_the_magic_before_any_output(spark, tmp_path):
+    """Pieces too short to tell wait for what follows, across range ends as well."""
+    out = []
+    for k in range(60):
+        payload = bytes(k * j % 251 for j in range(40 * (k % 7)))
+        data = warc.record(str(k), f"http://x/{k}", payload, hashlib.sha1(payload).hexdigest(), None)
+        out.append(late_member(data, b"a" * (k % 9) + warc.MAGIC + b"b" * (k % 40) + (warc.MAGIC + b"\0\0\0\0\0\0\3") * (k % 3), k % 6) if k % 4 else warc.member(data))
+    assert b"".join(gzip.decompress(m) for m in out).count(b"WARC/1.1") == 60
+    (tmp_path / "a.warc").write_bytes(b"".join(out))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in (1 << 20, 1000, 211):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            got = sorted(int(r.record_id) for r in warc.read(spark, str(tmp_path)).collect())
+            assert got == list(range(60)), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
