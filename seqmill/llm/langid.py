@@ -29,6 +29,8 @@ from seqmill.session import small_batches, stored
 
 BUCKETS = 1 << 13
 FOLDS, HELD_OUT = 5, 0
+LEAST_BYTES = BUCKETS // 2  # labelled text that a language needs: as many trigrams as the smoothing of its table counts for
+LANGUAGES = 500  # languages at most, a bound on the table; beyond it learning stops with an error
 TEMPER = 0.3  # weight of a trigram's log likelihood
 RELIABLE = {"markup": 0.9, "suffix": 0.8}  # how often a declared language is the right one
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 50.0  # rows that the level above counts for
@@ -259,13 +261,17 @@ class Identifier:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **columns: str) -> Identifier:
     """From the rows of ``docs`` that carry a language, held-out fold left out.
 
-    A language needs a hundredth of the labelled rows. Rows without id are trained on.
+    A language needs LEAST_BYTES of labelled text, or a hundredth of the labelled rows where these are
+    few; more than LANGUAGES of them are an error. Rows without id are trained on.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.coalesce(fold(F.col(f"`{doc_id}`")), F.lit(1)).alias("fold")).where((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull())
-    seen = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(100).collect()
-    total = sum(r["count"] for r in seen)
-    languages = sorted(r["lang"] for r in seen if 100 * r["count"] >= total and r["lang"] != "und")
+    held = F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))
+    seen = rows.where("lang <> 'und'").groupBy("lang").agg(F.count("*").alias("n"), held.alias("bytes")).orderBy(F.col("bytes").desc(), F.col("n").desc(), "lang").limit(LANGUAGES + 1).collect()
+    total = rows.count()
+    languages = sorted(r["lang"] for r in seen if r["bytes"] >= LEAST_BYTES or 100 * r["n"] >= total)
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages have {LEAST_BYTES} bytes of labelled text; raise langid.LANGUAGES, which bounds the table")
     return Identifier(learn_text(rows, languages), text, **columns)
 
 

@@ -95,3 +95,19 @@ def test_odd_rows(spark, learned):
     assert langid.identify(odd.limit(0), how).count() == 0 and langid.keep_identified(odd.limit(0), how).count() == 0
     none = langid.learn(odd.selectExpr("*", "CAST(NULL AS string) AS lang"), host="source")
     assert {r.language for r in langid.identify(odd, none).collect()} == {"und"}
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """Two languages with less than a hundredth of the rows, one of them in a script of its own."""
+    rng, data = random.Random(7), rows(3000)
+    rare = {"el": ["και", "της", "ου", "ειν"], "pt": ["ção", "lha", "nho", "ões"]}
+    for lang, syllables in rare.items():
+        data += [(len(data) + k, " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(40)), lang, "x") for k in range(25)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    how = langid.learn(docs, host="source")
+    assert how.model.languages == ["de", "el", "en", "fr", "pt", "und"]
+    got = {r.doc_id: r for r in langid.identify(docs, how).collect()}
+    assert all(got[i].language == lang and got[i].accepted for i, _, lang, _ in data if lang in rare)
+    monkeypatch.setattr(langid, "LANGUAGES", 4)
+    with pytest.raises(ValueError):
+        langid.learn(docs, host="source")
