@@ -271,7 +271,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decode_notes(events: DataFrame) -> DataFrame:
     """Event rows -> notes in NOTE_SCHEMA; ``emit`` is the order of closing within the track."""
-    small_batches(events.sparkSession, 10_000)
+    small_batches(events.sparkSession)
     rows = events.where("error IS NULL").select("track_id", "seq", "type", "register", "value", "pcm_offset")
     return rows.repartition("track_id").sortWithinPartitions("track_id", "seq").mapInArrow(_decode, NOTE_SCHEMA)
 

@@ -46,13 +46,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"{n}_{mark}" for n in names]
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that they need no install."""
     context = spark.sparkContext
@@ -71,7 +77,12 @@ def ship(spark: SparkSession) -> None:
     context._seqmill_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what a Python worker holds at once: rows of text can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+#: What a Python worker gets at once: rows of text can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, unless the session has settings of its own."""
+    for key, value in BATCHES.items():
+        if not spark.conf._jconf.contains(key):
+            spark.conf.set(key, value)

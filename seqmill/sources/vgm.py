@@ -159,7 +159,7 @@ def has_notes(data: bytes, start: int) -> bool:
 
 def files(spark: SparkSession, path: str, pattern: str = "*.vg[mz]", most: int | None = None) -> DataFrame:
     """``track_id, content``: the files under ``path``; with ``most`` the first by name."""
-    small_batches(spark, 16)
+    small_batches(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     found = found.select(F.col("path").alias("track_id"), "content").dropDuplicates(["track_id"])
     return found.orderBy("track_id").limit(most) if most is not None else found
