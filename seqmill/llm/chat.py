@@ -539,7 +539,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, controls: tu
     Turns go by number (null first), then role and text, so equal numbers have a fixed order; repeated
     rows are turns of their own. Null roles and texts are empty; rows of a null conversation are one.
     """
-    small_batches(rows.sparkSession, 500)
+    small_batches(rows.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text"))
     grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))

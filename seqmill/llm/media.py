@@ -266,7 +266,7 @@ def digest(stored: DataFrame) -> DataFrame:
 
 def store_pcm(stored: DataFrame, rate: int = 16_000) -> DataFrame:
     """``stored`` with a column ``pcm``: the decoded audio, resampled, as a WAV file of 16-bit samples."""
-    small_batches(stored.sparkSession, 100)
+    small_batches(stored.sparkSession)
     column = F.pandas_udf(_pcm(rate), "binary")
     return stored.withColumn("pcm", column("media"))
 

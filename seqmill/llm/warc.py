@@ -105,7 +105,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Of rows with equal payloads of ``least`` bytes at least, those with the largest id respond and the
     others revisit it; without any id all respond.
     """
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("uri"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.length("payload") >= least)
@@ -226,7 +226,7 @@ def _join_pieces(table: pa.Table) -> pa.Table:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``, in the columns of RECORD."""
-    small_batches(spark, 500)
+    small_batches(spark)
     lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("pathGlobFilter", "*").text(path)
     ranges = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
     decoded = ranges.mapInArrow(_decode, f"{RECORD}, path string, start long, kind string, piece binary")
