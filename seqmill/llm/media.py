@@ -2,8 +2,12 @@
 
 The two companded codes have 256 values, so expanding is one lookup. ADPCM is sequential within a
 block but blocks are independent: numpy decodes the same sample of all blocks at once. PCM is
-resampled by a windowed sinc whose phases are a small table. Any bytes are valid mu-law, so bytes
-can be stored as 8-bit samples and come back as they were.
+resampled by a windowed sinc whose phases are a small table.
+
+Any bytes are valid in each of the three codings, as samples of 8 bits or, in blocks of 64, as ADPCM.
+So a payload is stored as it is; which coding its file declares goes by the payload's checksum. The
+files are written to the shared folder and read back; what is read is decoded, described, and
+resampled to 16-bit PCM.
 """
 
 from __future__ import annotations
@@ -17,13 +21,15 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.session import small_batches
+from seqmill.session import small_batches, stored
 
-RATE = 8000
+RATE, PCM_RATE = 8000, 16_000
 ALAW, MULAW, ADPCM = 6, 7, 0x11  # format tags of the WAV container
+CODINGS = (MULAW, ALAW, ADPCM)
 UNIT = 64  # payloads are padded to a multiple of so many bytes
 BLOCK = 256  # bytes of an ADPCM block
 CHUNK = 1 << 20  # samples looked at together
@@ -138,7 +144,10 @@ def _phases(up: int, down: int, half: int = 8) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """PCM at another rate; ends are held. Empty stays empty."""
+    """PCM at another rate; ends are held. Empty stays empty.
+
+    Outputs of one phase are ``up`` apart and have the same taps over evenly spaced inputs.
+    """
     g = gcd(rate, to)
     up, down = to // g, rate // g
     if up == down or not len(pcm):
@@ -146,37 +155,46 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     taps = _phases(up, down)
     half = taps.shape[1] // 2
     n = -(-len(pcm) * up // down)
-    padded = np.concatenate([np.full(half, pcm[0]), pcm, np.full(half + 1, pcm[-1])]).astype(np.float64)
     out = np.empty(n, np.int16)
-    for begin in range(0, n, CHUNK // 16):
-        k = np.arange(begin, min(n, begin + CHUNK // 16)) * down
-        rows = padded[(k // up)[:, None] + 1 + np.arange(2 * half)]
-        out[begin : begin + len(k)] = np.clip(np.rint((rows * taps[k % up]).sum(axis=1)), -32768, 32767)
+    padded = np.concatenate([np.full(half, pcm[0], np.int16), pcm, np.full(half + 1, pcm[-1], np.int16)])
+    for r in range(min(up, n)):
+        begin, phase = divmod(r * down, up)
+        own, line = len(range(r, n, up)), sliding_window_view(padded[begin + 1 :], 2 * half)[::down]
+        for at in range(0, own, CHUNK // 4):
+            part = line[at : min(own, at + CHUNK // 4)]
+            x = part.astype(np.float64) @ taps[phase] if down > 1 else np.correlate(padded[begin + 1 + at : begin + at + len(part) + 2 * half].astype(np.float64), taps[phase])
+            out[r + at * up : r + (at + len(part)) * up : up] = np.clip(np.rint(x), -32768, 32767)
     return out
 
 
 # -- the container --------------------------------------------------------------------------------
 
 
-def wav(data: bytes, law: int = MULAW, rate: int = RATE, block: int = 1, bits: int = 8) -> bytes:
+def wav(data: bytes, law: int = MULAW, rate: int = RATE, block: int | None = None, bits: int | None = None) -> bytes:
+    """A WAV file; by default blocks of BLOCK bytes and 4 bits a sample for ADPCM, else of one sample of 8 bits."""
+    block = block or (BLOCK if law == ADPCM else 1)
+    bits = bits or (4 if law == ADPCM else 8)
     extra = struct.pack("<H", 2 * (block - 4) + 1) if law == ADPCM else b""
-    fmt = struct.pack("<HHIIHHH", law, 1, rate, rate * block // max(1, 2 * (block - 4) + 1) if law == ADPCM else rate * bits // 8, block, bits, len(extra)) + extra
+    speed = rate * block // (2 * (block - 4) + 1) if law == ADPCM else rate * block
+    fmt = struct.pack("<HHIIHHH", law, 1, rate, speed, block, bits, len(extra)) + extra
     pad = b"\0" * (len(data) % 2)
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
 def unwav(media: bytes) -> tuple[bytes, dict]:
-    """The sample bytes and the format of a WAV file."""
+    """The sample bytes and the format of a WAV file; ValueError for what is none."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at, fmt = 12, {}
     while at + 8 <= len(media):
         name, (size,) = media[at : at + 4], struct.unpack("<I", media[at + 4 : at + 8])
-        if name == b"fmt ":
+        if name == b"fmt " and size >= 16 and at + 24 <= len(media):
             law, channels, rate, _, block, bits = struct.unpack("<HHIIHH", media[at + 8 : at + 24])
             fmt = {"law": law, "channels": channels, "rate": rate, "block": block, "bits": bits}
         elif name == b"data":
+            if not fmt:
+                raise ValueError("no format before the data")
             return media[at + 8 : at + 8 + size], fmt
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
@@ -185,18 +203,43 @@ def unwav(media: bytes) -> tuple[bytes, dict]:
 def decode(media: bytes) -> tuple[np.ndarray, int]:
     """PCM and rate of a stored file of any of the three codings, or of 16-bit PCM."""
     data, fmt = unwav(media)
+    if not fmt["rate"] or fmt["channels"] != 1:
+        raise ValueError("one channel and a rate are needed")
     if fmt["law"] in (ALAW, MULAW):
         return expand(data, fmt["law"]), fmt["rate"]
-    if fmt["law"] == ADPCM:
+    if fmt["law"] == ADPCM and fmt["block"] > 4:
         return adpcm_decode(data, fmt["block"]), fmt["rate"]
     if fmt["law"] == 1 and fmt["bits"] == 16:
         return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.int16), fmt["rate"]
     raise ValueError(f"coding {fmt['law']} is not known")
 
 
-def to_pcm(media: bytes, rate: int = 16_000) -> bytes:
+def decode_all(media: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """decode() of each; the ADPCM blocks of all files of whole blocks of one size go side by side."""
+    out: list = [None] * len(media)
+    groups: dict[int, list[tuple[int, bytes, int]]] = {}
+    for k, m in enumerate(media):
+        data, fmt = unwav(m)
+        if fmt["law"] == ADPCM and fmt["channels"] == 1 and fmt["rate"] and fmt["block"] > 4 and data and len(data) % fmt["block"] == 0:
+            groups.setdefault(fmt["block"], []).append((k, data, fmt["rate"]))
+        else:
+            out[k] = decode(m)
+    for block, files in groups.items():
+        pcm = adpcm_decode(b"".join(d for _, d, _ in files), block)
+        at = 0
+        for k, data, rate in files:
+            n = len(data) // block * (2 * (block - 4) + 1)
+            out[k] = pcm[at : at + n], rate
+            at += n
+    return out
+
+
+def to_pcm(media: bytes, rate: int = PCM_RATE) -> bytes:
     """A WAV file of resampled 16-bit PCM."""
-    pcm, own = decode(media)
+    return pcm_file(*decode(media), rate)
+
+
+def pcm_file(pcm: np.ndarray, own: int, rate: int = PCM_RATE) -> bytes:
     return wav(resample(pcm, own, rate).astype("<i2").tobytes(), law=1, rate=rate, block=2, bits=16)
 
 
@@ -209,13 +252,17 @@ def payload(text: str | None) -> bytes:
     return data.ljust(max(UNIT, -(-len(data) // UNIT) * UNIT), b"\0")
 
 
-def feature(media: bytes) -> str:
-    """Duration, level, peak, zero crossings and a spectral tilt of the decoded audio."""
-    data, fmt = unwav(media)
-    n, energy, peak, crossings, tilt, last = 0, 0, 0, 0, 0, None
-    for at in range(0, len(data), CHUNK):
-        x = expand(data[at : at + CHUNK], fmt["law"]).astype(np.int64)
-        n += len(x)
+def media_file(data: bytes) -> bytes:
+    """A payload as the samples of a WAV file, in the coding that its checksum gives."""
+    law = CODINGS[zlib.crc32(data) % len(CODINGS)]
+    return wav(data, law, block=UNIT if law == ADPCM else 1)
+
+
+def feature(pcm: np.ndarray, rate: int) -> str:
+    """Length, mean square, peak, zero crossings and mean squared step of decoded audio."""
+    n, energy, peak, crossings, tilt, last = len(pcm), 0, 0, 0, 0, None
+    for at in range(0, n, CHUNK):
+        x = pcm[at : at + CHUNK].astype(np.int64)
         energy += int(x @ x)
         peak = max(peak, int(np.abs(x).max()))
         if last is not None:
@@ -225,7 +272,10 @@ def feature(media: bytes) -> str:
         d = x[1:] - x[:-1]
         tilt += int(d @ d)
         last = x[-1]
-    return f"n={n};ms={1000 * n // fmt['rate']};ms2={energy // max(n, 1)};peak={peak};zc={crossings};tilt={tilt // max(n - 1, 1)}"
+    return f"n={n};ms={1000 * n // rate};ms2={energy // max(n, 1)};peak={peak};zc={crossings};tilt={tilt // max(n - 1, 1)}"
+
+
+_STORED = "doc_id long, n_bytes long, media binary"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,49 +283,76 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
             texts = part.column(1).to_pylist()
-            media = [wav(payload(t)) for t in texts]
+            media = [media_file(payload(t)) for t in texts]
             sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, media)``: each text's payload as the samples of a mu-law WAV file. Null is empty."""
+    """``(doc_id, n_bytes, media)``, written to the shared folder: each text's payload as a WAV file. Null is empty."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return stored(rows.mapInArrow(_store, _STORED), "media", "zstd")
 
 
-_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, coding string, pcm_bytes long, pcm_sha256 string"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(rate: int):
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    for b in batches:
-        media = b.column("media").to_pylist()
-        back = [unwav(m)[0] for m in media]
+
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        media = part.column("media").to_pylist()
+        back = [unwav(m) for m in media]
+        audio = decode_all(media)
+        names = {MULAW: "mu-law", ALAW: "A-law", ADPCM: "ADPCM"}
+        pcm = [(len(p), sha(p)) for p in (pcm_file(x, own, rate) for x, own in audio)]
         cols = [
-            b.column("doc_id"), b.column("n_bytes"), pa.array([len(x) for x in back], pa.int64()), pa.array([sha(x) for x in back]), pa.array([zlib.crc32(x[-UNIT:]) for x in back], pa.int64()),
-            pa.array([len(m) for m in media], pa.int64()), pa.array([sha(m) for m in media]), pa.array([feature(m) for m in media]),
+            part.column("doc_id"), part.column("n_bytes"), pa.array([len(x) for x, _ in back], pa.int64()), pa.array([sha(x) for x, _ in back], pa.string()),
+            pa.array([zlib.crc32(x[-UNIT:]) for x, _ in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([sha(m) for m in media], pa.string()),
+            pa.array([feature(x, own) for x, own in audio], pa.string()), pa.array([names[f["law"]] for _, f in back], pa.string()), pa.array([n for n, _ in pcm], pa.int64()), pa.array([h for _, h in pcm], pa.string()),
         ]
-        yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _DIGEST.split(", ")])
+        return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _DIGEST.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            while at < b.num_rows:  # PCM is several times its media: a few rows, or one long one, at a time
+                n, size = 1, len(b.column("media")[at].as_py())
+                while at + n < b.num_rows and n < 256 and (size := size + len(b.column("media")[at + n].as_py())) <= CHUNK:
+                    n += 1
+                yield rows(b.slice(at, n))
+                at += n
+
+    return run
 
 
-def digest(stored: DataFrame) -> DataFrame:
-    """What store() gives, read back: sizes, digests and features of each row."""
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_digest, _DIGEST)
+def digest(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """What store() gave, read back: sizes, digests and features of each row, and its PCM at ``rate``."""
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest(rate), _DIGEST)
 
 
-def store_pcm(stored: DataFrame, rate: int = 16_000) -> DataFrame:
-    """``stored`` with a column ``pcm``: the decoded audio, resampled, as a WAV file of 16-bit samples."""
-    small_batches(stored.sparkSession)
-    column = F.pandas_udf(_pcm(rate), "binary")
-    return stored.withColumn("pcm", column("media"))
+def store_pcm(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """``media`` with a column ``pcm``: the decoded audio, resampled, as a WAV file of 16-bit samples.
+
+    Null and what is no file of a known coding give null.
+    """
+    small_batches(media.sparkSession)
+    return media.withColumn("pcm", F.pandas_udf(_pcm(rate), "binary")("media"))
 
 
 def _pcm(rate: int):
     import pandas as pd
 
+    def one(m: bytes | None) -> bytes | None:
+        try:
+            return None if m is None else to_pcm(bytes(m), rate)
+        except ValueError:
+            return None
+
     def run(media: pd.Series) -> pd.Series:
-        return media.map(lambda m: to_pcm(bytes(m), rate) if m is not None else None)
+        return media.map(one)
 
     run.__annotations__ = {"media": pd.Series, "return": pd.Series}
     return run

@@ -70,29 +70,69 @@ def test_resampling_keeps_a_tone(to):
     assert len(media.resample(np.zeros(0, np.int16), 8000, to)) == 0
 
 
+@pytest.mark.parametrize(("rate", "to"), [(8000, 16000), (8000, 11025), (16000, 8000), (8000, 12000), (7, 3)])
+def test_resampling_by_direct_convolution(rate, to):
+    x = np.random.default_rng(2).integers(-32768, 32768, 150).astype(np.int16)
+    up, down = to // np.gcd(rate, to), rate // np.gcd(rate, to)
+    cut, half, want = min(1.0, up / down), 8, []
+    for k in range(-(-150 * up // down)):
+        center, gap = divmod(k * down, up)
+        at = np.arange(-half + 1, half + 1) - gap / up
+        taps = cut * np.sinc(cut * at) * np.cos(np.pi * at / (2 * half)) ** 2 * (np.abs(at) < half)
+        near = [float(x[min(max(center + j, 0), 149)]) for j in range(-half + 1, half + 1)]
+        want.append(float(np.clip(np.dot(near, taps / taps.sum()), -32768, 32767)))
+    got = media.resample(x, rate, to)
+    assert len(got) == len(want) and np.abs(got - np.array(want)).max() <= 0.5 + 1e-6
+
+
 def test_containers():
     for law in (media.MULAW, media.ALAW):
         data = bytes(range(256)) + b"x"
         assert media.unwav(media.wav(data, law))[0] == data
         pcm, rate = media.decode(media.wav(data, law))
         assert rate == 8000 and len(pcm) == 257
+    data = bytes(range(256)) * 2 + b"cut"
+    pcm, rate = media.decode(media.wav(data, media.ADPCM))
+    assert media.unwav(media.wav(data, media.ADPCM))[1]["bits"] == 4 and rate == 8000
+    assert pcm.tolist() == media.adpcm_decode(data).tolist()
     back, rate = media.decode(media.to_pcm(media.wav(b"\x80" * 100)))
     assert rate == 16000 and len(back) == 200
-    with pytest.raises(ValueError):
-        media.unwav(b"nothing")
+    for broken in (b"nothing", media.wav(b"abc")[:30], media.wav(b"abc", 99), b"RIFF0000WAVEdata\0\0\0\0"):
+        with pytest.raises(ValueError):
+            media.decode(broken)
+
+
+def plain_feature(x, rate):
+    """By definition, in whole numbers."""
+    n, steps = len(x), [b - a for a, b in zip(x, x[1:])]
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+    return f"n={n};ms={1000 * n // rate};ms2={sum(v * v for v in x) // n};peak={max(map(abs, x))};zc={crossings};tilt={sum(d * d for d in steps) // max(n - 1, 1)}"
+
+
+def plain_decode(data, law):
+    if law == "ADPCM":
+        fixed = [data[k : k + 64] for k in range(0, len(data), 64)]
+        return sum((plain_adpcm(b[:2] + bytes([min(b[2], 88)]) + b[3:]) for b in fixed), [])
+    return [(plain_mulaw if law == "mu-law" else plain_alaw)(c) for c in data]
 
 
 def test_rows(spark):
-    texts = [None, "", "a" * 64, "é" * 33, "x" * 200_000, "a" * 64]
+    texts = [None, "", "a" * 64, "é" * 33, "x" * 200_000, "a" * 64, "b", "some words", "漢字" * 40, "z" * 129]
     df = spark.createDataFrame([(k, t, "m") for k, t in enumerate(texts)] + [(None, "q", "m")], "doc_id long, text string, media string")
     stored = media.store(df)
+    assert "file:" in stored.inputFiles()[0]  # read back from what was written
     got = {r.doc_id: r for r in media.digest(stored).collect()}
     for k, t in [*enumerate(texts), (None, "q")]:
         data = (t or "").encode()
         payload = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    same = lambda r: (r.media_sha256, r.feature, r.media_bytes)
+        pcm = plain_decode(payload, r.coding)
+        assert r.feature == plain_feature(pcm, 8000)
+        assert r.pcm_bytes == 44 + 2 + 4 * len(pcm)  # the format has an empty extension
+    assert {r.coding for r in got.values()} == {"mu-law", "A-law", "ADPCM"}
+    same = lambda r: (r.media_sha256, r.feature, r.media_bytes, r.pcm_sha256)
     assert same(got[2]) == same(got[5]) and same(got[0]) == same(got[1])
-    assert media.store_pcm(stored).where("doc_id = 2").first().pcm[:4] == b"RIFF"
+    odd = spark.createDataFrame([(1, None), (2, bytearray(b"junk")), (3, bytearray(media.wav(b"abc")))], "doc_id long, media binary")
+    assert [r.pcm and bytes(r.pcm[:4]) for r in media.store_pcm(odd).orderBy("doc_id").collect()] == [None, None, b"RIFF"]
     assert media.digest(media.store(df.limit(0))).count() == 0
