@@ -5,16 +5,21 @@ quantiles (of a bounded sample), shifts the grid and numbers its cells along a H
 sorts the keys of all orderings by range; a row's rank in its ordering is its place in its partition
 plus the rows of the partitions before. Ranks are cut into blocks of a bounded size, whatever the
 keys: many equal vectors, or many in one cell, make no large block. A query looks at all blocks
-within ``REACH`` of the ordering to either side of its own; each block's task ranks its members
-against the queries that come by, and the lists of all blocks and orderings are merged and scored
-again from the original vectors.
+within a reach to either side of its own; each block's task ranks its members against the queries
+that come by, and the lists of all blocks and orderings are merged and scored again from the original
+vectors. Where many queries come by, they are dealt to several tasks, so both sides are bounded.
+
+The reach is measured: a bounded number of the queries are answered exactly, in one pass over all
+vectors, and their true neighbours' distances in rank along the nearest ordering give the smallest
+reach that finds the share ``RECALL`` of them.
 
 For inner products the vectors get one more coordinate that makes all norms equal (that of a query
 is zero), so that near on the curve means a large product. Equal vectors are searched as one class:
 of its ids the ``top + 1`` smallest suffice, as ties go to the smaller id, so nothing is lost.
 
-Neighbours in high dimensions without structure are near in few projections only; the defaults
-reach a recall of 0.9 even there, at a cost that grows with rows times queries.
+Neighbours in high dimensions without structure are near in few projections only; there the reach
+comes out as a share of all rows, and the cost grows with rows times queries. Where vectors have
+structure it is a few blocks, and the cost grows with the rows.
 """
 
 from __future__ import annotations
@@ -33,9 +38,11 @@ from seqmill.session import small_batches, stored
 
 TOP = 20
 ORDERINGS = 7
-REACH = 1 / 8  # of an ordering's rows, to either side of a query
-BLOCK = 4096  # rows of a block at most
-LEAST_BLOCKS = 16
+RECALL = 0.93  # share of true neighbours that the reach is chosen for
+TRIED = 256  # queries that the reach is measured with
+BLOCK = 1 << 15  # rows of a block at most
+LEAST_BLOCKS = 64
+ASKED = 1 << 14  # queries that a task compares with a block, about
 DIMS, DEPTH = 4, 10  # coordinates kept and bits of each
 SAMPLE = 20_000  # vectors that the quantiles are taken from
 SEED = 7
@@ -202,11 +209,11 @@ def _search(kind: str, top: int):
         mc, ml, out = cid[~query], least[~query], {"cid": [], "found": [], "scores": [], "least": []}
         k = min(len(mc), 2 * top)
         if k:
-            for at in range(0, len(asked), 256):
-                some = asked[at : at + 256].astype(np.float64)
+            for at in range(0, len(asked), 64):
+                some = asked[at : at + 64].astype(np.float64)
                 rough = some @ members.T
                 near = np.argpartition(-rough, k - 1, axis=1)[:, :k] if k < len(mc) else np.tile(np.arange(k), (len(some), 1))
-                for c, q, own in zip(cid[query][at : at + 256].tolist(), some, near, strict=True):
+                for c, q, own in zip(cid[query][at : at + 64].tolist(), some, near, strict=True):
                     score = _exact(q[None, :], members[own])
                     keep = _best(score, ml[own], top)
                     out["cid"].append(c)
@@ -229,13 +236,55 @@ def _merge(top: int):
     return run
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP, orderings: int = ORDERINGS, reach: float = REACH, block: int = BLOCK) -> DataFrame:
+def _exactly(kind: str, cids: np.ndarray, asked: np.ndarray, top: int):
+    """The nearest of a task's vectors for each query that was asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, found = np.full((len(cids), 0), 0.0), np.full((len(cids), 0), 0, np.int64)
+        for b in batches:
+            members = _vectors(b.column(1), kind).astype(np.float64)
+            own = asked @ members.T
+            own[cids[:, None] == b.column(0).to_numpy()[None, :]] = -np.inf
+            score = np.hstack([score, own])
+            found = np.hstack([found, np.broadcast_to(b.column(0).to_numpy(), own.shape)])
+            if score.shape[1] > top:
+                near = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                score, found = np.take_along_axis(score, near, 1), np.take_along_axis(found, near, 1)
+        k = score.shape[1]
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cids, k)), pa.array(found.ravel()), pa.array(score.ravel())], names=["asker", "cid", "score"])
+
+    return run
+
+
+def _reach(classes: DataFrame, ranked: DataFrame, kind: str, top: int, recall: float) -> int:
+    """Ranks to either side within which the share ``recall`` of the true neighbours is found in some ordering.
+
+    Measured with at most TRIED of the classes that ask, taken by a hash; their neighbours are found by
+    comparing them with every vector.
+    """
+    asks = classes.where("asks").select("cid", "vec")
+    some = asks.orderBy(F.xxhash64("vec"), "cid").limit(TRIED).toArrow()
+    if not some.num_rows:
+        return 0
+    cids, asked = some.column("cid").to_numpy(), _vectors(some.column("vec"), kind).astype(np.float64)
+    near = classes.select("cid", "vec").mapInArrow(_exactly(kind, cids, asked, top), "asker long, cid long, score double").where("score > double('-inf')")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("cid"))))  # at most ``top`` from each task
+    best = near.groupBy("asker").agg(F.slice(order, 1, top).alias("best")).select("asker", F.explode("best.cid").alias("cid"))
+    places = ranked.where("not query").select("ordering", "cid", "rank").join(F.broadcast(best), "cid")  # TRIED x top rows
+    of_askers = ranked.where(F.col("query") & F.col("cid").isin(cids.tolist())).select("ordering", F.col("cid").alias("asker"), F.col("rank").alias("from"))
+    gaps = places.join(of_askers, ["ordering", "asker"]).groupBy("asker", "cid").agg(F.min(F.abs(F.col("rank") - F.col("from"))).alias("gap"))
+    gaps = np.sort(gaps.select("gap").toArrow().column("gap").to_numpy())
+    return int(gaps[min(len(gaps) - 1, int(np.ceil(recall * len(gaps))))]) if len(gaps) else 0
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP, orderings: int = ORDERINGS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its ``top`` nearest found, nearest first.
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows but the query's own.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids
     and vectors of another length than most (of equally many, the longer) have. Rows that repeat both
-    id and vector count once. No rows give no rows.
+    id and vector count once. No rows give no rows. ``recall`` is what the reach is chosen for.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -267,15 +316,20 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     counted = placed.groupBy("ordering", "part").agg(F.count("*").alias("n"))
     before = counted.select("ordering", "part", F.coalesce(F.sum("n").over(W.partitionBy("ordering").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = placed.where("ordering = 0").count()
+    ranked = stored(placed.join(before, ["ordering", "part"]).select("ordering", "cid", "query", (F.col("place") + F.col("before")).alias("rank")), "ranks")
     blocks = max(LEAST_BLOCKS, -(-total // block))
     size = -(-total // blocks)
     blocks = -(-total // size)
-    wide = int(np.ceil(reach * blocks))
-    ranked = placed.join(before, ["ordering", "part"]).select("ordering", "cid", "query", F.floor((F.col("place") + F.col("before")) / size).cast("int").alias("b"))
+    wide = -(-_reach(classes, ranked, kind, top, recall) // size)
+    # queries that come by a block, about; where they are many, the block is copied to several tasks
+    salts = max(1, -(-int((total - n) * min(1.0, (2 * wide + 1) / blocks)) // ASKED))
+    ranked = ranked.withColumn("b", F.floor(F.col("rank") / size).cast("int"))
     to = F.when(F.col("query"), F.sequence(F.greatest(F.lit(0), F.col("b") - wide), F.least(F.lit(blocks - 1), F.col("b") + wide))).otherwise(F.array("b"))
+    salt = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("cid"), F.lit(salts)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     dealt = ranked.join(classes.select("cid", "vec", F.element_at("ids", 1).alias("least")), "cid").select("ordering", F.explode(to).alias("block"), "cid", "query", "vec", "least")
+    dealt = dealt.withColumn("salt", F.explode(salt)) if salts > 1 else dealt.withColumn("salt", F.lit(0).cast("long"))
 
-    lists = dealt.groupBy("ordering", "block").applyInArrow(_search(kind, top + 1), "cid long, found array<long>, scores array<double>, least array<long>")
+    lists = dealt.groupBy("ordering", "block", "salt").applyInArrow(_search(kind, top + 1), "cid long, found array<long>, scores array<double>, least array<long>")
     merged = lists.groupBy("cid").applyInArrow(_merge(top + 1), "asker long, cid long, score double")
     # from classes to ids: of each list the first top + 1 ids, one of which may be the query's own
     entries = merged.join(classes.select("cid", "ids"), "cid").select("asker", F.explode("ids").alias("vec_id"), "score")

@@ -42,6 +42,24 @@ def test_recall_and_scores(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["norms", "clusters"])
+def test_recall_by_shape(spark, monkeypatch, shape):
+    """Norms of every size; clusters, in which the reach is short; and queries dealt to several tasks."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 16))
+    v = v * np.exp(rng.normal(size=(3000, 1))) if shape == "norms" else rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] * 10 + v * 0.3
+    if shape == "clusters":
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(ann, "ASKED", 20)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = brute(range(len(v)), v, 20, 20)
+    got = {}
+    for r in ann.nearest(df, block=64).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {j for j, _ in best}) for q, best in want.items())
+    assert all(len(x) == 20 for x in got.values()) and hits / (20 * len(want)) >= 0.9
+
+
 def test_copies_ties_and_odd_vectors(spark):
     same = [1.0, 0.0, 0.0]
     rows = [(k, same) for k in range(0, 120)] + [(200, [0.9, 0.1, 0.0]), (201, None), (202, [0.0, 0.0, 0.0]), (203, [float("nan"), 1.0, 0.0]), (204, [1.0, None, 0.0]), (205, [float("inf"), 0.0, 0.0]), (206, [1.0, 2.0]), (40, same), (None, same)]
