@@ -4,7 +4,9 @@ A fingerprint is 64 bits. Two that differ in at most ``BUDGET`` bits are linked;
 links reach. The work goes over *distinct* fingerprints, so exact copies cost one row, however many.
 
 Distribution. Of ``BUDGET + 1`` bands of bits, two linked fingerprints agree on one at least, so all
-links show up among those that agree on the first bits of some band, turned to the top of the word.
+links show up among those that agree on the first bits of some band, moved to the top of the word.
+Where there are so many fingerprints that one band's bits no longer keep groups small, there are one
+or two bands more, of which two or three agree.
 Each task packs what it holds of such a group into one row; the group's task then walks the binary
 trie over its sorted words against itself: node pairs go down together, the bits in which their
 prefixes differ are added up, and a pair beyond the budget is dropped. Out come the edges of a
@@ -15,6 +17,7 @@ tiles, and each pair of tiles is a group of its own: exact, and bounded in memor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from seqmill.llm.graph import components
-from seqmill.session import small_batches, stored
+from seqmill.session import fresh, small_batches, stored
 
 SEED = 42
 WORDS = 4
@@ -180,19 +183,63 @@ def _compare(words: np.ndarray, leaf: np.ndarray, budget: int, forest: Forest, l
 # -- the same in Spark ----------------------------------------------------------------------------
 
 
-def _turn(words: np.ndarray, by: int) -> np.ndarray:
-    """Rotate left."""
-    by %= BITS
-    return (words << np.uint64(by) | words >> np.uint64(BITS - by)) if by else words
+class Layouts:
+    """Orders of the bands of a word's bits, each with other bands in front.
+
+    Of ``parts`` bands at least ``parts - budget`` agree in two linked words, so the words agree in the
+    front of one of the layouts that put so many bands there, whichever they are.
+    """
+
+    def __init__(self, parts: int, budget: int) -> None:
+        edges = [round(k * BITS / parts) for k in range(parts + 1)]
+        bands = [(BITS - hi, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]  # place of the lowest bit, bits
+        self.moves: list[list[tuple[int, int, int]]] = []  # by layout: bits from where to where
+        self.front = BITS
+        for chosen in combinations(range(parts), parts - budget):
+            order = [*chosen, *(k for k in range(parts) if k not in chosen)]
+            at, moves = BITS, []
+            for k in order:
+                low, bits = bands[k]
+                at -= bits
+                moves.append((low, at, bits))
+            self.moves.append(moves)
+            self.front = min(self.front, sum(bands[k][1] for k in chosen))
+
+    @staticmethod
+    def _carry(words: np.ndarray, moves: list[tuple[int, int, int]]) -> np.ndarray:
+        out = np.zeros(len(words), np.uint64)
+        for low, at, bits in moves:
+            out |= (words >> np.uint64(low) & np.uint64((1 << bits) - 1)) << np.uint64(at)
+        return out
+
+    def lay(self, words: np.ndarray, k: int) -> np.ndarray:
+        return self._carry(words, self.moves[k])
+
+    def back(self, words: np.ndarray, k: int) -> np.ndarray:
+        return self._carry(words, [(at, low, bits) for low, at, bits in self.moves[k]])
+
+
+def layouts(n: int, budget: int, aim: int = AIM) -> tuple[Layouts, int]:
+    """For ``n`` words: layouts, and the bits of their fronts by which words are grouped.
+
+    The more words, the more bands, so that groups keep their size; a layout more is a copy more of
+    each word, and there are 5, 15 or 35 of them for a budget of four.
+    """
+    needed = max(6, (max(n, 1) // aim).bit_length())
+    for parts in range(budget + 1, budget + 4):
+        found = Layouts(parts, budget)
+        if needed <= found.front:
+            break
+    return found, min(found.front, needed)
 
 
-def _pack(shift: int, bands: list[int]):
+def _pack(shift: int, laid: Layouts):
     """Rows (band, prefix, n, words): what this task holds of each group, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _chunks(batches, 1 << 20):
-            for k, begin in enumerate(bands):
-                words = np.sort(_turn(some, begin))
+            for k in range(len(laid.moves)):
+                words = np.sort(laid.lay(some, k))
                 prefix = words >> np.uint64(BITS - shift)
                 values, at = np.unique(prefix, return_index=True)
                 parts = np.split(words, at[1:])
@@ -235,7 +282,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["band", "prefix", "i", "j", "tile", "words"])
 
 
-def _forest_of(bands: list[int], budget: int):
+def _forest_of(laid: Layouts, budget: int):
     """Grouped: the words of one group -> edges of a spanning forest of its links."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -246,7 +293,7 @@ def _forest_of(bands: list[int], budget: int):
         left = np.repeat(tile == i, [len(p) for p in packed]) if i != j else None
         words, first = np.unique(words, return_index=True)
         root = trie_links(words, budget, left[first] if left is not None else None)
-        own = _turn(words, -bands[band])
+        own = laid.back(words, band)
         moved = root != np.arange(len(root))
         a, b = own.view(np.int64)[moved], own.view(np.int64)[root[moved]]
         return pa.table({"u": pa.array(np.minimum(a, b), pa.int64()), "v": pa.array(np.maximum(a, b), pa.int64())})
@@ -254,14 +301,10 @@ def _forest_of(bands: list[int], budget: int):
     return run
 
 
-def link_forest(prints: DataFrame, budget: int = BUDGET, tile: int = TILE) -> DataFrame:
+def link_forest(prints: DataFrame, budget: int = BUDGET, tile: int = TILE, aim: int = AIM) -> DataFrame:
     """``prints(fp)``, distinct -> edges ``(u, v)`` that connect what links of the budget connect."""
-    spark = prints.sparkSession
-    bands = [round(k * BITS / (budget + 1)) for k in range(budget + 1)]
-    n = prints.count()
-    width = BITS // (budget + 1)
-    shift = min(width, max(6, (max(n, 1) // AIM).bit_length()))
-    packed = prints.select("fp").mapInArrow(_pack(shift, bands), "band int, prefix long, n long, words binary")
+    laid, shift = layouts(prints.count(), budget, aim)
+    packed = prints.select("fp").mapInArrow(_pack(shift, laid), "band int, prefix long, n long, words binary")
     packed = stored(packed, "packed")
     sizes = packed.groupBy("band", "prefix").agg(F.sum("n").alias("m")).where(F.col("m") > tile)
     if sizes.isEmpty():
@@ -270,7 +313,7 @@ def link_forest(prints: DataFrame, budget: int = BUDGET, tile: int = TILE) -> Da
         hot = sizes.select("band", "prefix", F.ceil(F.col("m") / tile).cast("int").alias("tiles"))
         joined = packed.join(hot, ["band", "prefix"], "left").select("band", "prefix", "words", F.coalesce("tiles", F.lit(1)).alias("tiles"))
         groups = joined.mapInArrow(_tiles, "band int, prefix long, i int, j int, tile int, words binary")
-    return groups.groupBy("band", "prefix", "i", "j").applyInArrow(_forest_of(bands, budget), "u long, v long")
+    return groups.groupBy("band", "prefix", "i", "j").applyInArrow(_forest_of(laid, budget), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
@@ -281,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component has no other. No rows give no rows; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
+    rows = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(link_forest(prints, budget))
     placed = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -296,8 +339,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Where rows repeat that id, the one whose columns sort first stays. A component of null ids keeps one.
     """
     found = near_duplicates(docs, id_col, text_col)
-    keepers = found.select(F.col("component_id").alias("__keep")).distinct()
-    ours = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"))
-    kept = ours.join(keepers, F.col("__id").eqNullSafe(F.col("__keep")), "left_semi")
-    first = kept.withColumn("__n", F.row_number().over(W.partitionBy("__id").orderBy("__row")))
-    return first.where("__n = 1").select("__row.*")
+    row, key, keep, n = fresh("row", "id", "keep", "n")
+    keepers = found.select(F.col("component_id").alias(keep)).distinct()
+    ours = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(f"`{id_col}`").alias(key))
+    kept = ours.join(keepers, F.col(key).eqNullSafe(F.col(keep)), "left_semi")
+    first = kept.withColumn(n, F.row_number().over(W.partitionBy(key).orderBy(row)))
+    return first.where(F.col(n) == 1).select(f"{row}.*")

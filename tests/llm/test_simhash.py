@@ -52,10 +52,31 @@ def test_trie_join_finds_all_links(leaf, monkeypatch):
     assert len(simhash.trie_links(np.zeros(0, np.uint64))) == 0
 
 
-@pytest.mark.parametrize("tile", [1 << 16, 37])
-def test_forest_connects_what_links_connect(spark, tile):
+def test_layouts():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
+    for n, parts, copies in ((1000, 5, 5), (simhash.AIM << 12, 6, 15), (simhash.AIM << 22, 7, 35), (simhash.AIM << 40, 7, 35)):
+        laid, shift = simhash.layouts(n, 4)
+        assert len(laid.moves) == copies and shift <= laid.front
+        fronts = np.stack([laid.lay(words, k) >> np.uint64(64 - laid.front) for k in range(copies)])
+        for k in range(copies):
+            assert (laid.back(laid.lay(words, k), k) == words).all()
+        flips = np.random.default_rng(2)
+        for i in range(100):  # four bits changed: the front of some layout is as it was
+            x = words[i]
+            for b in flips.choice(64, 4, replace=False):
+                x = x ^ np.uint64(1) << np.uint64(b)
+            one = np.array([laid.lay(np.array([x]), k)[0] >> np.uint64(64 - laid.front) for k in range(copies)])
+            assert (one == fronts[:, i]).any()
+
+
+@pytest.mark.parametrize(("tile", "aim"), [(1 << 16, simhash.AIM), (37, simhash.AIM), (1 << 16, 1 / 64), (50, 1 / (1 << 16))])
+def test_forest_connects_what_links_connect(spark, tile, aim, monkeypatch):
     from seqmill.llm.graph import components
 
+    if aim < 1:  # as if there were very many fingerprints
+        plain = simhash.layouts
+        monkeypatch.setattr(simhash, "layouts", lambda n, budget, _: plain(int(n / aim), budget, 1))
+
     words = clusters(9)
     df = spark.createDataFrame([(int(x),) for x in words.view(np.int64)], "fp long").repartition(3)
     roots = {r.node: r.root for r in components(simhash.link_forest(df, tile=tile)).collect()}
