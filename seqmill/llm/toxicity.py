@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.session import small_batches, stored
+from seqmill.session import fresh, small_batches, stored
 
 FOLDS, HELD_OUT = 5, 0
 EVIDENCE = 14.0  # log likelihood ratio, against the share of toxic documents in all, that a term needs
 PURITY = 0.8  # share of toxic documents among those with a term, smoothed
-TERMS = 2000  # terms in the lexicon at most, the best supported first
 PREFIX = (4, 12)  # lengths of prefixes that are tried as terms
 FUZZY_FROM = 5  # a whole term takes one edit from this length on
-LONGEST = 64  # letters of a word that may still be a misspelt term
 FIT_ROWS = 20_000  # bound of the labelled sample that the model is fitted to
 WINDOW = 6  # words looked at on each side of a match
 KEPT = 200_000  # words that a worker keeps
@@ -84,6 +82,7 @@ class Lexicon:
     fuzzy: frozenset[str] = frozenset()
     trie: dict = field(default_factory=dict, repr=False)
     gaps: set = field(default_factory=set, repr=False)
+    longest: int = field(default=0, repr=False)
     halves: tuple = field(default=(), repr=False)  # of the prefixes that take an edit: (length of the first, by first, length of the second, by second)
 
     def __post_init__(self) -> None:
@@ -101,6 +100,8 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, prefix)
+        # what takes an edit differs from a term in one letter at most, so of a longer word only its start counts
+        self.longest = max(map(len, [*self.terms, *self.fuzzy]), default=0) + 2
         self.halves = tuple((n // 2, first, n - n // 2, second) for n, (first, second) in halves.items())
 
     def match(self, word: str) -> tuple[int, str] | None:
@@ -119,8 +120,9 @@ class Lexicon:
                     best = (1, term)
         if best is not None:
             return best
-        if not FUZZY_FROM - 1 <= len(word) <= LONGEST or word in self.known:
+        if len(word) < FUZZY_FROM - 1 or word in self.known:
             return None
+        word = word[: self.longest]
         # what is one edit apart shares a string with one letter less; few words get to the automaton
         return self._near(word) if not self.gaps.isdisjoint(_with_gaps(word)) or self._starts_near(word) else None
 
@@ -208,7 +210,7 @@ def _near_words(lexicon: Lexicon):
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
-    """``train(toxic, text)`` -> lexicon; what reaches the driver is bounded by TERMS."""
+    """``train(toxic, text)`` -> lexicon. Terms come from the rows learned from, which FIT_ROWS bounds; none is cut off."""
     low, high = PREFIX
     train = train.select("toxic", "text")
     counts = train.mapInArrow(_partial_counts, "term string, prefix boolean, bad long, good long").groupBy("term", "prefix").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -223,15 +225,18 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     if share in (0.0, 1.0):
         return Lexicon({})
     evidence = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - share))).otherwise(0.0)
-    top = counts.where((F.col("bad") > 1) & (F.col("bad") / n > share) & (evidence >= EVIDENCE) & (pure >= PURITY)).orderBy(F.col("bad").desc(), F.length("term").desc(), "term", "prefix").limit(4 * TERMS).collect()
-    whole = {r["term"]: r["bad"] for r in top if not r["prefix"]}
-    starts = {r["term"]: r["bad"] for r in top if r["prefix"]}
+    top = counts.where((F.col("bad") > 1) & (F.col("bad") / n > share) & (evidence >= EVIDENCE) & (pure >= PURITY)).collect()
+    whole = {r["term"]: r["bad"] for r in sorted(top) if not r["prefix"]}
+    starts = {r["term"]: r["bad"] for r in sorted(top, key=lambda r: (-r["bad"], r["term"])) if r["prefix"]}
+    longer: dict[str, list[str]] = {}
+    for q in starts:
+        longer.setdefault(q[:-1], []).append(q)
     terms: dict[str, bool] = {}
     for p, n in sorted(starts.items(), key=lambda x: (len(x[0]), x[0])):
         if any(p[:k] in terms for k in range(low, len(p))):
             continue  # a shorter prefix has it
         # go down to the longest prefix that still has nearly all of the documents
-        while len(p) < high and (more := [q for q in starts if len(q) == len(p) + 1 and q.startswith(p) and starts[q] >= 0.95 * n]):
+        while len(p) < high and (more := [q for q in longer.get(p, ()) if starts[q] >= 0.95 * n]):
             p = more[0]
         if whole.get(p, 0) >= 0.7 * n:
             continue  # a word, not the stem of many
@@ -239,13 +244,12 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     for w in whole:
         if not any(terms.get(w[:k]) for k in range(low, len(w) + 1)):
             terms[w] = False
-    terms = dict(sorted(terms.items(), key=lambda x: (-max(whole.get(x[0], 0), starts.get(x[0], 0)), x[0]))[:TERMS])
     under = (w for w in whole if any(terms.get(w[:k]) for k in range(low, len(w) + 1)))
     fuzzy = frozenset([*under, *(p for p, prefix in terms.items() if prefix)])
     lexicon = Lexicon(terms, fuzzy=fuzzy)
     # words within an edit of a term that clean documents have as often as toxic ones are words of their own
     near = train.mapInArrow(_near_words(lexicon), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    seen = near.where(F.col("good") >= F.col("bad")).orderBy(F.col("good").desc(), "term").limit(10 * TERMS).collect()
+    seen = near.where(F.col("good") >= F.col("bad")).collect()
     return Lexicon(terms, frozenset(r["term"] for r in seen), fuzzy)
 
 
@@ -344,18 +348,20 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit to the rows of ``docs`` that ``labels(doc_id, toxic)`` marks, held-out fold left out.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit to the rows of ``docs`` that ``labels(id, label)`` marks, held-out fold left out.
 
     Null labels, null ids and ids without a document teach nothing; an id labelled twice counts for
     each different label once. With no toxic row at all every score is the smallest there is.
     """
     small_batches(docs.sparkSession)
-    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    key, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
+    marks = labels.where(label.isin(0, 1) & key.isNotNull() & (fold(key) != HELD_OUT)).select(key.alias("doc_id"), label.cast("int").alias("toxic")).distinct()
     n = marks.count()
     if n > FIT_ROWS:  # a little less than the bound, which chance then does not pass
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * FIT_ROWS / n))
-    train = stored(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(marks, "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    texts = docs.select(key.alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    train = stored(texts.join(marks, "doc_id").select("doc_id", "text", "toxic"), "labelled")
     lexicon = learn_lexicon(train)
     rows = train.select("toxic", _features(lexicon)("text").alias("x")).collect()  # bounded by the sample
     y = np.array([r["toxic"] for r in rows], float)
@@ -367,12 +373,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row; a null id is in no fold (held_out false)."""
     small_batches(docs.sparkSession)
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col)) == HELD_OUT, F.lit(False)).alias("held_out"), model.column(F.col(text_col)).alias("score"))
+    key = F.col(f"`{id_col}`")
+    scored = docs.select(key.alias("doc_id"), F.coalesce(fold(key) == HELD_OUT, F.lit(False)).alias("held_out"), model.column(F.col(f"`{text_col}`")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows that score below one half, as they were."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("__score", model.column(F.col(f"`{text_col}`"))).where(F.col("__score") < 0.5).drop("__score")
-
+    (own,) = fresh("score")
+    return docs.withColumn(own, model.column(F.col(f"`{text_col}`"))).where(F.col(own) < 0.5).drop(own)

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqmill.llm import toxicity as tox
 
@@ -82,13 +84,70 @@ def test_odd_rows_and_the_filter(spark, learned):
     odd = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, "zwimpel grofex " * 20_000, "x"), (2, "zwimpel " * 3, "x"), (3, "bako tire " * 9, None)], "doc_id long, text string, __score string")
     got = tox.score(odd, model).collect()
     assert len(got) == 5 and {(r.doc_id, r.predicted) for r in got} == {(1, 0), (None, 0), (2, 1), (3, 0)}
-    plain = odd.select("doc_id", "text")
-    assert sorted((r.doc_id or 0) for r in tox.keep_clean(plain, model).collect()) == [0, 1, 3]
+    kept = tox.keep_clean(odd, model)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
+    assert {r["__score"] for r in kept.collect()} == {"x", None}  # a column of the input, as it was
+    dotted = odd.select(F.col("doc_id").alias("doc.id"), F.col("text").alias("a.text"))
+    assert tox.score(dotted, model, "doc.id", "a.text").where("predicted = 1").count() == 2 and tox.keep_clean(dotted, model, "a.text").count() == 3
     assert tox.score(odd.limit(0), model).count() == 0
     untaught = tox.learn(docs, labels.limit(0))
     assert {r.predicted for r in tox.score(docs, untaught).collect()} == {0}
 
 
+def plain_features(text, lexicon):
+    """By definition, match by match."""
+    words = [(m.group(), m.start(), m.end()) for m in tox.WORD.finditer(text.lower())]
+    counts, quoted, addressed, terms = [0, 0, 0], 0, 0, set()
+    for k, (w, begin, end) in enumerate(words):
+        m = lexicon.match(w)
+        if m is None:
+            continue
+        terms.add(m[1])
+        before, after = words[max(0, k - tox.WINDOW) : k], words[k + 1 : k + 1 + tox.WINDOW]
+        left = text.lower()[before[0][1] if before else begin : begin]
+        right = text.lower()[end : (after[-1][2] if after else end) + 1]
+        near = {x for x, _, _ in [*before, *after]} | {w}
+        marked = any(c in tox.OPEN for c in left) and any(c in tox.CLOSE for c in right)
+        told = not near & tox.ADDRESS and any(x in tox.REPORT for x, _, _ in before)
+        if marked or told:
+            quoted += 1
+        else:
+            counts[m[0]] += 1
+            addressed += bool(near & tox.ADDRESS)
+    return [math.log1p(x) for x in (*counts, quoted, addressed, len(terms), 100 * sum(counts) / max(1, len(words)))]
+
+
+def test_features_by_definition():
+    rng = random.Random(8)
+    lexicon = tox.Lexicon({"zwimpel": False, "grofe": True}, fuzzy=frozenset({"grofe"}))
+    bits = ["zwimpel", "zwimpe", "grofexes", "you", "said", "wrote", "the", "cat", '"', '"', "\u201c", "\u201d", ",", "grfex", "dog", "a", "b"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        assert tox.Matcher(lexicon).features(text) == pytest.approx(plain_features(text, lexicon))
+
+
+def test_many_and_long_terms():
+    """No cap on terms, nor on their letters: every one of 5,000 terms is found with an edit, and so is one of 70 letters."""
+    rng = random.Random(9)
+    words = {"".join(rng.choice("abcdefghijklmnopqrst") for _ in range(12)) for _ in range(5000)} | {"ab" * 35}
+    lexicon = tox.Lexicon(dict.fromkeys(words, False))
+    for w in words:
+        at = rng.randrange(1, len(w))
+        assert lexicon.match(w[:at] + "z" + w[at:]) == (2, w) and lexicon.match(w) == (0, w)
+    assert lexicon.match("ab" * 36) is None and lexicon.match("q" * 1_000_000) is None
+
+
+def test_a_large_lexicon_is_learned(spark):
+    """Each of 1,200 terms stands in six toxic documents; none is left out."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(1200)]
+    rows = [(k, " ".join(rng.sample(words, 30)) if k % 3 == 0 else "clean text of no note", int(k % 3 == 0)) for k in range(1500)]
+    lexicon = tox.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    held = {w: sum(w in t.split() for _, t, y in rows if y) for w in words}
+    sure = [w for w, n in held.items() if n > 13]
+    assert len(sure) > 300 and all(lexicon.match(w) is not None for w in sure)
+
+
 def test_prefixes_take_an_edit():
     """By edit distance: to a start of the word for prefixes, to the word for whole words under a prefix."""
     terms, under = {"stupid": True, "zwim": True, "moron": False}, {"zwimpel", "stupidly"}
