@@ -4,7 +4,8 @@ Four kinds of evidence are taken as independent given the language:
 
 - the text: a multinomial over hashed byte trigrams for each language, counted by grouped
   aggregation over all labelled rows of the training folds;
-- the language that markup declares (``<html lang="fr">``), with a fixed reliability;
+- the language that markup declares (``<html lang="fr">``), with a reliability counted over all rows
+  whose text alone is sure, by grouped aggregation;
 - the suffix of the address (``.de``, or a path that starts with ``/fr/``), likewise;
 - the host: a prior from all its rows' text posteriors, summed by grouped aggregation, smoothed
   towards that of the host's suffix, which is smoothed towards that of the corpus. A row's own
@@ -25,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.session import small_batches, stored
+from seqmill.session import fresh, small_batches, stored
 
 BUCKETS = 1 << 13
 FOLDS, HELD_OUT = 5, 0
 LEAST_BYTES = BUCKETS // 2  # labelled text that a language needs: as many trigrams as the smoothing of its table counts for
 LANGUAGES = 500  # languages at most, a bound on the table; beyond it learning stops with an error
 TEMPER = 0.3  # weight of a trigram's log likelihood
-RELIABLE = {"markup": 0.9, "suffix": 0.8}  # how often a declared language is the right one
+RELIABLE = {"declared": 0.9, "says": 0.8}  # how often a language declared by markup or address is the right one, before any rows are counted
+RELIABLE_WEIGHT = 20.0  # rows that this counts for
+SURE = 0.99  # probability by text alone from which a row says whether its declarations are right
 HOST_WEIGHT, SUFFIX_WEIGHT = 10.0, 50.0  # rows that the level above counts for
 UND_PRIOR = 1e-4
 ACCEPT = 0.5  # smallest probability that a kept row is in one of the languages learned, whichever
-FEW_HOSTS = 10_000  # hosts up to which the priors go to every task; beyond, they are joined
+HOT_SHARE, SALTS = 100, 64  # a host with a hundredth of all rows (there are a hundred at most) is joined in so many parts
 CHUNK = 1 << 20  # bytes of a text scored at a time
 #: Country suffixes that say a language.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -103,10 +106,13 @@ def learn_text(labelled: DataFrame, languages: list[str]) -> TextModel:
     return TextModel([*languages, "und"], TEMPER * np.vstack([table, flat]))
 
 
-def evidence_columns(df: DataFrame, text: str, address: str | None = None, host: str | None = None, markup: str | None = None) -> dict[str, Column]:
-    """What else speaks of a row's language: declared, suffix, path, host and its suffix. Missing: null."""
+_PARTS = ("ll", "declared", "says", "host", "suffix")
+
+
+def evidence_columns(text: str, address: str | None = None, host: str | None = None, markup: str | None = None) -> dict[str, Column]:
+    """What else speaks of a row's language: declared by markup, said by suffix or path, host and its suffix. Missing: null."""
     none = F.lit(None).cast("string")
-    column = lambda c: F.col(f"`{c}`") if c else None
+    column = lambda c: F.col(f"`{c}`").cast("string") if c else None
     empty = lambda c: F.nullif(c, F.lit(""))
     declared = empty(F.lower(F.regexp_extract(column(markup or text), MARKUP, 1)))
     where = column(address)
@@ -114,17 +120,19 @@ def evidence_columns(df: DataFrame, text: str, address: str | None = None, host:
     suffix = F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1)) if (address or host) else none
     path = empty(F.regexp_extract(where, PATH_LANGUAGE, 1)) if address else none
     spoken = F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv])
-    return {"declared": declared, "suffix_says": F.coalesce(path, F.try_element_at(spoken, suffix)), "host": name, "suffix": suffix}
+    return {"declared": declared, "says": F.coalesce(path, F.try_element_at(spoken, suffix)), "host": name, "suffix": suffix}
+
+
+def _log_odds(r: float, n: int) -> tuple[float, float]:
+    """Log likelihood of a declaration under the language it names, and under each of the n-1 others."""
+    return float(np.log(r)), float(np.log((1 - r) / max(1, n - 1)))
 
 
-def _declared(languages: list[str], said: str | None, kind: str) -> np.ndarray:
-    """Log likelihood of a declaration under each language."""
-    r = RELIABLE[kind]
-    if said is None or said not in languages[:-1]:
-        return np.zeros(len(languages))
-    out = np.full(len(languages), np.log((1 - r) / (len(languages) - 1)))
-    out[languages.index(said)] = np.log(r)
-    return out
+def _plus(ll: Column, said: Column, languages: list[str], r: float) -> Column:
+    """Log likelihoods with a declaration added; one of no language known here says nothing."""
+    right, wrong = _log_odds(r, len(languages))
+    at = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in languages[:-1]]), said), F.lit(0)) if len(languages) > 1 else F.lit(0)
+    return F.when(at > 0, F.transform(ll, lambda x, i: x + F.when(i == at - 1, right).otherwise(wrong))).otherwise(ll)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -133,14 +141,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _likelihoods(model: TextModel):
-    def run(texts: pd.Series, declared: pd.Series, says: pd.Series) -> pd.Series:
-        out = []
-        for t, d, s in zip(texts, declared, says, strict=True):
-            d, s = (x if isinstance(x, str) else None for x in (d, s))
-            out.append(model.log_likelihoods(t) + _declared(model.languages, d, "markup") + _declared(model.languages, s, "suffix"))
-        return pd.Series(out, dtype=object)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.log_likelihoods(t) for t in texts], dtype=object)
 
-    run.__annotations__ = {"texts": pd.Series, "declared": pd.Series, "says": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "array<double>")
 
 
@@ -189,15 +193,13 @@ def posterior(ll: np.ndarray, own: np.ndarray, host_sums: np.ndarray | None, suf
     return _softmax(ll + np.log(np.maximum(prior, 1e-12)))
 
 
-def _fuse(hosts: dict | None, base: np.ndarray):
-    """ll, host's sums (or host: then looked up), suffix prior -> posterior."""
+def _fuse(base: np.ndarray):
+    """Log likelihoods, the host's sums, the suffix' prior -> posterior."""
 
     def run(ll: pd.Series, sums: pd.Series, above: pd.Series) -> pd.Series:
         out = []
         for x, s, a in zip(ll, sums, above, strict=True):
             x = np.asarray(x, float)
-            if hosts is not None:
-                s, a = hosts.get(s, (None, None)) if isinstance(s, str) else (None, None)
             s = None if s is None else np.asarray(s, float)
             a = base if a is None else np.asarray(a, float)
             out.append(posterior(x, _softmax(x), s, a))
@@ -215,47 +217,61 @@ class Identifier:
     host: str | None = None
     markup: str | None = None
 
-    def evidence(self, df: DataFrame) -> DataFrame:
-        """Adds __ll, __host and __suffix."""
+    def evidence(self, df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+        """``df`` with a column for each of _PARTS, and the names of these."""
         small_batches(df.sparkSession)
-        e = evidence_columns(df, self.text, self.address, self.host, self.markup)
+        names = dict(zip(_PARTS, fresh(*_PARTS), strict=True))
         text = F.coalesce(F.col(f"`{self.text}`").cast("string"), F.lit(""))
-        return df.withColumns({"__ll": _likelihoods(self.model)(text, e["declared"], e["suffix_says"]), "__host": e["host"], "__suffix": e["suffix"]})
-
-    def priors(self, seen: DataFrame) -> Priors:
-        """``seen``: rows with evidence(), of all of the corpus."""
-        rows = seen.select(_own(F.col("__ll")).alias("own"), F.col("__host").alias("host"), F.col("__suffix").alias("suffix"))
-        return host_priors(rows, len(self.model.languages))
-
-    def fuse(self, seen: DataFrame, priors: Priors) -> DataFrame:
-        """Adds __posterior to rows with evidence()."""
-        n = len(self.model.languages)
+        columns = {"ll": _likelihoods(self.model)(text), **evidence_columns(self.text, self.address, self.host, self.markup)}
+        return df.withColumns({names[k]: c for k, c in columns.items()}), names
+
+    def reliabilities(self, seen: DataFrame, names: dict[str, str]) -> dict[str, float]:
+        """How often declarations agree with the text, where this is sure."""
+        languages = self.model.languages
+        if len(languages) == 1:
+            return dict(RELIABLE)
+        own = _own(F.col(names["ll"]))
+        known = F.array(*[F.lit(x) for x in languages])
+        best = F.element_at(known, F.array_position(own, F.array_max(own)).cast("int"))
+        sure = seen.where((F.array_max(own) >= SURE) & (best != "und")).select(best.alias("best"), *[F.col(names[k]).alias(k) for k in RELIABLE])
+        counted = [f for k in RELIABLE for c in [F.col(k).isin(languages[:-1])] for f in (F.count_if(c).alias(f"{k}_n"), F.count_if(c & (F.col(k) == F.col("best"))).alias(k))]
+        row = sure.agg(*counted).first()
+        return {k: (row[k] + RELIABLE_WEIGHT * r) / (row[f"{k}_n"] + RELIABLE_WEIGHT) for k, r in RELIABLE.items()}
+
+    def fuse(self, seen: DataFrame, names: dict[str, str]) -> tuple[DataFrame, str]:
+        """Rows with evidence(), of all of the corpus and stored, with the column of posteriors, and its name."""
+        languages, rates = self.model.languages, self.reliabilities(seen, names)
+        full, result, salt, sums, above_name, host = fresh("ll", "posterior", "salt", "sums", "above", "host")
+        ll = F.col(names["ll"])
+        for kind, r in rates.items():
+            ll = _plus(ll, F.col(names[kind]), languages, r)
+        seen = seen.withColumn(full, ll)
+        priors = host_priors(seen.select(_own(F.col(full)).alias("own"), F.col(names["host"]).alias("host"), F.col(names["suffix"]).alias("suffix")), len(languages))
         corpus = np.array(priors.corpus) + 1.0
-        corpus[-1] = UND_PRIOR * corpus[:-1].sum()
+        if len(languages) > 1:
+            corpus[-1] = UND_PRIOR * corpus[:-1].sum()
         base = corpus / corpus.sum()
         above = F.array(*[F.lit(float(x)) for x in base])
         levels = priors.suffixes.select("suffix", _mixed(F.col("sums"), above, SUFFIX_WEIGHT).alias("above"))
-        hosts = priors.hosts.join(levels, "suffix", "left").select("host", "sums", F.coalesce("above", above).alias("above"))
-        none = F.lit(None).cast("array<double>")
-        if priors.hosts.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
-            known = {r["host"]: (np.array(r["sums"]), np.array(r["above"])) for r in hosts.collect()}
-            fused = seen.withColumn("__posterior", _fuse(known, base)("__ll", "__host", none))
-        else:
-            joined = seen.join(hosts.withColumnsRenamed({"host": "__host", "sums": "__sums", "above": "__above"}), "__host", "left")
-            fused = joined.withColumn("__posterior", _fuse(None, base)("__ll", "__sums", "__above")).drop("__sums", "__above")
-        assert n == len(base)
-        return fused
-
-    def best(self) -> tuple[Column, Column]:
-        """Language and posterior from __posterior."""
-        p = F.col("__posterior")
-        top = F.array_max(p)
-        names = F.array(*[F.lit(x) for x in self.model.languages])
-        return F.element_at(names, F.array_position(p, top).cast("int")), top
-
-    def accepted(self) -> Column:
+        # a host's sums add up to its rows; hosts with many of all rows, and rows of no host, are dealt to several parts
+        rows = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
+        hot = [r["host"] for r in priors.hosts.where(rows >= max(1.0, sum(priors.corpus) / HOT_SHARE)).select("host").collect()]
+        parts = F.when(F.col("host").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        hosts = priors.hosts.join(levels, "suffix", "left").select(F.col("host").alias(host), F.col("sums").alias(sums), F.coalesce("above", above).alias(above_name), F.explode(parts).alias(salt))
+        own = F.col(names["host"])
+        dealt = seen.withColumn(salt, F.when(own.isNull() | own.isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+        joined = dealt.join(hosts.withColumnRenamed(host, names["host"]), [names["host"], salt], "left")
+        return joined.withColumn(result, _fuse(base)(full, sums, above_name)), result
+
+    def best(self, column: str) -> tuple[Column, Column]:
+        """Language and its posterior, from a column of posteriors or of log likelihoods."""
+        p = F.col(column)
+        known = F.array(*[F.lit(x) for x in self.model.languages])
+        return F.element_at(known, F.array_position(p, F.array_max(p)).cast("int")), F.array_max(p)
+
+    def accepted(self, column: str) -> Column:
         """Is the row in one of the languages learned? A short text may be in either of two."""
-        return 1 - F.element_at("__posterior", len(self.model.languages)) >= ACCEPT
+        return 1 - F.element_at(column, len(self.model.languages)) >= ACCEPT
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **columns: str) -> Identifier:
@@ -281,19 +297,15 @@ def identify(df: DataFrame, how: Identifier, id_col: str = "doc_id") -> DataFram
     Null and empty texts say nothing: their host and the corpus decide. With no languages learned all
     rows are ``und``. Repeated rows count each; no rows give no rows.
     """
-    scored = how.evidence(df.select(F.col(f"`{id_col}`").alias("__id"), *[F.col(f"`{c}`") for c in dict.fromkeys(c for c in (how.text, how.address, how.host, how.markup) if c)]))
-    seen = stored(scored.select("__id", "__ll", "__host", "__suffix"), "language")
-    fused = how.fuse(seen, how.priors(seen))
-    language, top = how.best()
-    names = F.array(*[F.lit(x) for x in how.model.languages])
-    by_text = F.element_at(names, F.array_position("__ll", F.array_max("__ll")).cast("int"))
-    out = fused.select(F.col("__id").alias(id_col), language.alias("language"), F.round(top, 6).alias("posterior"), by_text.alias("text_language"), how.accepted().alias("accepted"))
-    return out
+    (key,) = fresh("id")
+    scored, names = how.evidence(df.select(F.col(f"`{id_col}`").alias(key), *[F.col(f"`{c}`") for c in dict.fromkeys(c for c in (how.text, how.address, how.host, how.markup) if c)]))
+    fused, result = how.fuse(stored(scored.select(key, *names.values()), "language"), names)
+    language, top = how.best(result)
+    return fused.select(F.col(key).alias(id_col), language.alias("language"), F.round(top, 6).alias("posterior"), how.best(names["ll"])[0].alias("text_language"), how.accepted(result).alias("accepted"))
 
 
 def keep_identified(df: DataFrame, how: Identifier) -> DataFrame:
     """The rows that are in one of the languages learned with a probability of ACCEPT at least, as they were."""
-    seen = how.evidence(df)
-    compact = stored(seen.select("__ll", "__host", "__suffix"), "language")
-    fused = how.fuse(seen, how.priors(compact))
-    return fused.where(how.accepted()).select(*[F.col(f"`{c}`") for c in df.columns])
+    seen, names = how.evidence(df)
+    fused, result = how.fuse(stored(seen, "language"), names)
+    return fused.where(how.accepted(result)).select(*[F.col(f"`{c}`") for c in df.columns])

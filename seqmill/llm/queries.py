@@ -59,6 +59,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs, host="source"))
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages, which have markup and addresses: languages are learned from documents."""
+    model = langid.learn(table(spark, sf_dir, "documents")).model
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.regexp_replace("html", r"(?s)<(script|style).*?</\1>|<[^>]*>", " ").alias("text"))
+    return langid.identify(pages, langid.Identifier(model, "text", address="url", markup="html"), "page_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -80,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_chat_formatting, op2_telephony_audio, op3_hilbert_ann, op4_toxicity, op5_warc, op6_best_fit_packing, op7_language_id, op8_token_counts, op9_bpe, op10_simhash_neardup, pipeline]
+_ALL = [op1_chat_formatting, op2_telephony_audio, op3_hilbert_ann, op4_toxicity, op5_warc, op6_best_fit_packing, op7_language_id, language_of_pages, op8_token_counts, op9_bpe, op10_simhash_neardup, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

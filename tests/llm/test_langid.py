@@ -56,14 +56,18 @@ def test_all_evidence_is_fused(spark, learned):
     df = spark.createDataFrame(pages, "page_id long, html string, url string")
     said = {1: ("de", "de"), 2: ("fr", "fr"), 3: (None, None), 4: (None, None), 5: (None, "de")}
     hosts = {1: ("a.b.de", "de"), 2: ("a.b.de", "de"), 3: ("c.example", "example"), 4: (None, None), 5: ("c.example", "example")}
-    ll = {}
+    ll, soft = {}, lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    rates = []
+    for kind, first in ((0, 0.9), (1, 0.8)):  # counted where the text alone is sure
+        sure = {i: langs[int(p.argmax())] for i, html, _ in pages for p in [soft(how.model.log_likelihoods(html))] if p.max() >= 0.99}
+        told = [said[i][kind] == lang for i, lang in sure.items() if lang != "und" and said[i][kind]]
+        rates.append((sum(told) + 20 * first) / (len(told) + 20))
     for i, html, _ in pages:
         x = how.model.log_likelihoods(html).copy()
-        for s, r in zip(said[i], (0.9, 0.8), strict=True):
+        for s, r in zip(said[i], rates, strict=True):
             if s:
                 x += [math.log(r) if lang == s else math.log((1 - r) / (len(langs) - 1)) for lang in langs]
         ll[i] = x
-    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
     own = {i: soft(x) for i, x in ll.items()}
     corpus = sum(own.values()) + 1.0
     corpus[-1] = langid.UND_PRIOR * corpus[:-1].sum()
@@ -80,13 +84,51 @@ def test_all_evidence_is_fused(spark, learned):
         assert r.language == langs[int(p.argmax())] and abs(r.posterior - p.max()) < 2e-6, i
 
 
-def test_joined_priors_agree_with_sent_ones(learned, monkeypatch):
+def test_hosts_with_many_rows_are_dealt_out(learned, monkeypatch):
+    """Whether a host is joined in parts or whole, results are the same."""
     _, docs, how = learned
     a = {(r.doc_id, r.language, r.posterior) for r in langid.identify(docs, how).collect()}
-    monkeypatch.setattr(langid, "FEW_HOSTS", 0)
+    monkeypatch.setattr(langid, "HOT_SHARE", 0.1)
     assert a == {(r.doc_id, r.language, r.posterior) for r in langid.identify(docs, how).collect()}
 
 
+def test_reliabilities_are_counted(spark, learned):
+    data, _, how = learned
+    how = langid.Identifier(how.model, "text", address="url", markup="html")
+    long = [(i, " ".join([t] * 20), lang) for i, t, lang, _ in data if len(t) > 60][:300]
+    others = {"en": "de", "de": "fr", "fr": "en"}
+    rows = [(i, t, f"<html lang='{lang if k % 4 else others[lang]}'>", f"http://h.{('fr' if lang == 'fr' else 'com') if k % 2 else 'de'}/") for k, (i, t, lang) in enumerate(long)]
+    seen, names = how.evidence(spark.createDataFrame(rows, "doc_id long, text string, html string, url string"))
+    rates = how.reliabilities(seen, names)
+    told = sum(k % 4 > 0 for k in range(len(long)))
+    assert rates["declared"] == pytest.approx((told + 20 * 0.9) / (len(long) + 20))
+    says = [("fr" if lang == "fr" else None) if k % 2 else "de" for k, (_, _, lang) in enumerate(long)]
+    right = sum(s == lang for s, (_, _, lang) in zip(says, long, strict=True))
+    assert rates["says"] == pytest.approx((right + 20 * 0.8) / (sum(s is not None for s in says) + 20))
+
+
+def test_many_languages(spark):
+    """150 languages, each with as few bytes as a language needs: all are learned and told apart."""
+    rng, rows = random.Random(11), []
+    for k in range(150):
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(8)]
+        rows += [(1000 * k + j, " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(60)), f"l{k:03}", "h") for j in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    how = langid.learn(docs, host="source")
+    assert how.model.languages == [*(f"l{k:03}" for k in range(150)), "und"]
+    truth = {i: lang for i, _, lang, _ in rows}
+    held = [r for r in langid.identify(docs, how).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 200 and sum(r.text_language == truth[r.doc_id] for r in held) / len(held) > 0.99
+
+
+def test_clashing_columns_stay(spark, learned):
+    data, docs, how = learned
+    own = docs.selectExpr("*", "'a' AS __ll", "'b' AS __host", "'c' AS host", "'d' AS salt", "'e' AS `a.b`")
+    kept = langid.keep_identified(own, how)
+    assert kept.columns == own.columns
+    assert {tuple(r)[-5:] for r in kept.collect()} == {("a", "b", "c", "d", "e")}
+
+
 def test_odd_rows(spark, learned):
     _, _, how = learned
     odd = spark.createDataFrame([(1, None, None), (2, "", ""), (None, "12 34 !!", "h"), (3, "schung " * 60_000, "h"), (3, "schung einlich " * 9, None)], "doc_id long, text string, source string")
