@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.session import scratch_path, small_batches
+from seqmill.session import scratch_path, small_batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
 HEAD = b"WARC/"
@@ -73,18 +73,40 @@ def _headers(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, rest
 
 
+def _number(text: str | None) -> int | None:
+    """A length as it stands in a header; what is none is missing."""
+    return int(text) if text is not None and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def _digest_hex(text: str | None) -> str | None:
+    """A SHA-1 in base32 or hexadecimal digits; what is neither, or another hash, is missing."""
+    kind, _, value = (text or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
 def parse(data: bytes) -> tuple | None:
-    """A decoded member -> the columns of RECORD; None for what holds no record."""
+    """A decoded member -> the columns of RECORD; None for what holds no record.
+
+    Only blocks of HTTP messages have a payload apart from their headers; of other records the block is
+    the payload. Without a length the block is all that follows; headers that cannot be read are null.
+    """
     if not data.startswith(HEAD):
         return None
     head, rest = _headers(data)
-    block = rest[: int(head.get("content-length", 0))]
-    http, payload = _headers(block)
+    size = _number(head.get("content-length"))
+    block = rest if size is None else rest[:size]
+    http, payload = _headers(block) if head.get("content-type", "").startswith("application/http") else ({}, block)
     urn = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x is not None else None
-    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
+    said = _number(http.get("content-length"))
     return (
         head.get("warc-type"), urn(head.get("warc-record-id")), head.get("warc-target-uri"), urn(head.get("warc-refers-to")),
-        base64.b32decode(digest).hex() if digest else None, int(http.get("content-length", len(payload))), payload,
+        _digest_hex(head.get("warc-payload-digest")), len(payload) if said is None else said, payload,
     )
 
 
@@ -108,11 +130,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("uri"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.length("payload") >= least)
-    last = large.groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    joined = rows.join(last, "digest", "left")
+    # only payloads that have a copy are joined; the small ones, among which the commonest are, go straight to the archive
+    size = F.length("payload")
+    last = rows.where(size >= least).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
+    joined = rows.where(size >= least).join(stored(last, "copies"), "digest", "left")
+    all_rows = joined.unionByName(rows.where(size < least).withColumn("last", F.lit(None).cast("long")))
     refers = F.when(F.coalesce(F.col("id") != F.col("last"), F.col("last").isNotNull()), F.col("last").cast("string"))
-    out = joined.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "uri", "payload", "digest", refers.alias("refers"))
+    out = all_rows.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "uri", "payload", "digest", refers.alias("refers"))
     members = out.mapInArrow(_members, "value binary").select(F.col("value").cast("string").alias("value"))
     members.write.option("lineSep", "\0").option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import random
@@ -93,3 +94,34 @@ def test_the_magic_before_any_output(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_records_of_others():
+    """Malformed headers are null, records that are no HTTP message keep their block."""
+    make = lambda *head, block=b"": ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+    info = warc.parse(make("WARC-Type: warcinfo", "Content-Type: application/warc-fields", "Content-Length: 14", block=b"a: b\r\n\r\nc: d\r\n"))
+    assert info == ("warcinfo", None, None, None, None, 14, b"a: b\r\n\r\nc: d\r\n")
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\nbody"
+    sha = hashlib.sha1(b"body").hexdigest()
+    for digest, want in ((f"sha1:{sha}", sha), ("sha1:" + base64.b32encode(bytes.fromhex(sha)).decode().lower(), sha), ("md5:00", None), ("sha1:!!", None), ("", None)):
+        for length in (str(len(http)), "no number", "-3", "\u0663"):
+            got = warc.parse(make("WARC-Type: response", f"WARC-Payload-Digest: {digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}", block=http))
+            assert got[0] == "response" and got[4] == want and got[6].startswith(b"body") and got[5] == len(got[6])
+    assert warc.parse(b"WARC/1.1") is not None and warc.parse(b"none") is None
+
+
+def test_foreign_archives_are_read(spark, tmp_path):
+    """Members of other writers, a broken one among them, by small ranges."""
+    records = [warc.record(str(k), "u", bytes([65 + k % 26]) * (k * 37 % 3000), hashlib.sha1(b"").hexdigest(), None) for k in range(60)]
+    odd = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: oops\r\nWARC-Payload-Digest: sha1:zz\r\n\r\nx\r\n\r\n"
+    data = b"".join(gzip.compress(r) for r in [*records[:30], odd, *records[30:]])
+    (tmp_path / "a.warc.gz.bin").write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = warc.read(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((int(r.record_id), len(r.payload)) for r in got if r.record_type == "response") == [(k, k * 37 % 3000) for k in range(60)]
+    assert sum(r.record_type == "metadata" for r in got) == 1
