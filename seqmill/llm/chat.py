@@ -43,7 +43,11 @@ TEMPLATE = (
 
 
 class TemplateError(ValueError):
-    pass
+    """The template is not in the language: the only error that compiling one raises."""
+
+
+DEPTH = 40  # tags within tags, and expressions within expressions
+LENGTH = 100  # operators of an expression
 
 
 # -- escaping -------------------------------------------------------------------------------------
@@ -81,6 +85,8 @@ def _tokens(source: str) -> list[tuple[str, object]]:
         if kind == "str":
             value = re.sub(r"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), m[kind][1:-1], flags=re.S)
         elif kind == "num":
+            if len(m[kind]) > 18:
+                raise TemplateError("a number is too long")
             value = int(m[kind])
         out.append((kind, value))
         at = m.end()
@@ -95,7 +101,7 @@ class _Expressions:
     """Recursive descent over one tag's tokens."""
 
     def __init__(self, source: str) -> None:
-        self.rest = _tokens(source)
+        self.rest, self.depth, self.length = _tokens(source), 0, 0
 
     def peek(self, *values: str) -> bool:
         return bool(self.rest) and self.rest[0][0] in ("op", "name") and self.rest[0][1] in values
@@ -107,11 +113,30 @@ class _Expressions:
             raise TemplateError("the tag ends too soon")
         return self.rest.pop(0)[1]
 
+    def name(self) -> str:
+        if not self.rest or self.rest[0][0] != "name":
+            raise TemplateError("a name is missing")
+        return self.rest.pop(0)[1]
+
     def end(self) -> None:
         if self.rest:
             raise TemplateError(f"unexpected {self.rest[0][1]!r}")
 
     def choice(self) -> tuple:
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise TemplateError(f"expressions are nested more than {DEPTH} deep")
+        value = self._choice()
+        self.depth -= 1
+        return value
+
+    def longer(self) -> None:
+        """One operator more; a chain of them is as deep a tree as it is long."""
+        self.length += 1
+        if self.length > LENGTH:
+            raise TemplateError(f"an expression has more than {LENGTH} operators")
+
+    def _choice(self) -> tuple:
         value = self.either()
         if self.peek("if"):
             self.take()
@@ -126,6 +151,7 @@ class _Expressions:
     def either(self) -> tuple:
         left = self.both()
         while self.peek("or"):
+            self.longer()
             self.take()
             left = ("or", left, self.both())
         return left
@@ -133,19 +159,25 @@ class _Expressions:
     def both(self) -> tuple:
         left = self.negated()
         while self.peek("and"):
+            self.longer()
             self.take()
             left = ("and", left, self.negated())
         return left
 
     def negated(self) -> tuple:
-        if self.peek("not"):
+        nots = 0
+        while self.peek("not"):
             self.take()
-            return ("not", self.negated())
-        return self.compared()
+            nots += 1
+        value = self.compared()
+        for _ in range(nots if nots < 2 else 2 - nots % 2):
+            value = ("not", value)
+        return value
 
     def compared(self) -> tuple:
         left = self.added()
         while self.peek("==", "!=", "<", ">", "<=", ">=", "in"):
+            self.longer()
             op = self.take()
             left = ("compare", op, left, self.added())
         return left
@@ -153,6 +185,7 @@ class _Expressions:
     def added(self) -> tuple:
         left = self.filtered()
         while self.peek("+", "~"):
+            self.longer()
             op = self.take()
             left = ("add" if op == "+" else "join", left, self.filtered())
         return left
@@ -160,8 +193,9 @@ class _Expressions:
     def filtered(self) -> tuple:
         value = self.member()
         while self.peek("|"):
+            self.longer()
             self.take()
-            name = self.take()
+            name = self.name()
             given = []
             if self.peek("("):
                 self.take()
@@ -172,14 +206,18 @@ class _Expressions:
                 self.take(")")
             if name not in FILTERS and name != "raw":
                 raise TemplateError(f"no filter {name!r}")
+            fewest, most = ARGUMENTS.get(name, (0, 0))
+            if not fewest <= len(given) <= most:
+                raise TemplateError(f"{name} takes {most} arguments")
             value = ("filter", name, value, *given)
         return value
 
     def member(self) -> tuple:
         value = self.atom()
         while self.peek(".", "["):
+            self.longer()
             if self.take() == ".":
-                value = ("get", value, ("const", self.take()))
+                value = ("get", value, ("const", self.name()))
             else:
                 value = ("get", value, self.choice())
                 self.take("]")
@@ -198,10 +236,8 @@ class _Expressions:
             inner = self.choice()
             self.take(")")
             return inner
-        if value == "-":
-            inner = self.atom()
-            if inner[0] == "const" and isinstance(inner[1], int):
-                return ("const", -inner[1])
+        if value == "-" and self.rest and self.rest[0][0] == "num":
+            return ("const", -self.rest.pop(0)[1])
         raise TemplateError(f"unexpected {value!r}")
 
 
@@ -223,7 +259,19 @@ def parse(template: str) -> tuple:
                 at += len(template[at:]) - len(template[at:].lstrip())
     parts.append(("text", template[at:]))
 
+    depth = 0
+
     def block(stops: tuple[str, ...]) -> tuple[tuple, str]:
+        nonlocal depth
+        depth += 1
+        if depth > DEPTH:
+            raise TemplateError(f"tags are nested more than {DEPTH} deep")
+        try:
+            return inner_block(stops)
+        finally:
+            depth -= 1
+
+    def inner_block(stops: tuple[str, ...]) -> tuple[tuple, str]:
         nodes: list[tuple] = []
         while parts:
             kind, source = parts.pop(0)
@@ -254,13 +302,13 @@ def parse(template: str) -> tuple:
                     nodes.append(("if", tuple(arms), other))
                     break
             elif word == "for":
-                name = e.take()
+                name = e.name()
                 e.take("in")
                 items = e.choice()
                 e.end()
                 nodes.append(("for", name, items, block(("endfor",))[0]))
             elif word == "set":
-                name = e.take()
+                name = e.name()
                 e.take("=")
                 nodes.append(("set", name, e.choice()))
                 e.end()
@@ -332,7 +380,7 @@ def _text(value: object) -> str:
 def _get(value: object, key: object) -> object:
     """A key of a mapping or a place in a list; all else is none: no attribute is ever looked up."""
     if isinstance(value, dict):
-        return value.get(key)
+        return value.get(key) if isinstance(key, (str, int)) else None
     if isinstance(value, (list, tuple, str)) and isinstance(key, int) and -len(value) <= key < len(value):
         return value[key]
     return None
@@ -346,14 +394,28 @@ FILTERS: dict[str, Callable] = {
     "default": lambda v, other="": other if v is None else v,
     "escape": _text,  # which every output is anyway
 }
+ARGUMENTS = {"default": (0, 1)}  # fewest and most that a filter takes; others take none
+
+
+def _ordered(a: object, b: object) -> bool:
+    """Only two numbers, or two texts, come before one another."""
+    return isinstance(a, int) and isinstance(b, int) or isinstance(a, str) and isinstance(b, str)
+
+
+def _within(a: object, b: object) -> bool:
+    if isinstance(b, str):
+        return isinstance(a, str) and a in b
+    return isinstance(b, (list, tuple, dict)) and (not isinstance(b, dict) or isinstance(a, (str, int))) and a in b
+
+
 _COMPARE: dict[str, Callable] = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
-    "<": lambda a, b: a < b,
-    ">": lambda a, b: a > b,
-    "<=": lambda a, b: a <= b,
-    ">=": lambda a, b: a >= b,
-    "in": lambda a, b: a in b if isinstance(b, (str, list, tuple, dict)) else False,
+    "<": lambda a, b: _ordered(a, b) and a < b,
+    ">": lambda a, b: _ordered(a, b) and a > b,
+    "<=": lambda a, b: _ordered(a, b) and a <= b,
+    ">=": lambda a, b: _ordered(a, b) and a >= b,
+    "in": _within,
 }
 
 
@@ -411,6 +473,7 @@ class Rendered:
     parts: list[str]
     spans: list[tuple[int, int]]
     size: int = 0
+    inside: int = 0  # generation marks that are open
 
     def put(self, text: str) -> None:
         if text:
@@ -469,9 +532,11 @@ def _compile(node: tuple, controls: tuple[str, ...]) -> Callable[[dict, Rendered
         body = _compile(node[1], controls)
 
         def generate(env: dict, out: Rendered) -> None:
-            begin = out.size
+            begin, out.inside = out.size, out.inside + 1
             body(env, out)
-            out.spans.append((begin, out.size))
+            out.inside -= 1
+            if not out.inside:  # marks within marks add nothing: no text counts twice
+                out.spans.append((begin, out.size))
 
         return generate
     raise TemplateError(f"no node {kind!r}")

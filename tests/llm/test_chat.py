@@ -41,6 +41,9 @@ def test_no_text_forges_a_control(text):
         ("{{ messages.__class__ }}{{ messages[0].__class__ }}", ""),
         ("{{ 'x' in ['x'] }}", None),
         ("{{ 'a' in 'abc' }}", "True"),
+        ("{{ 'a' < 1 }}{{ none >= 0 }}{{ 1 < 2 }}{{ 'a' < 'b' }}", "FalseFalseTrueTrue"),
+        ("{{ 1 in 'abc' }}{{ messages in messages[0] }}{{ 'role' in messages[0] }}", "FalseFalseTrue"),
+        ("{{ messages[0][messages] }}{{ messages[99] }}{{ not not not true }}", "False"),
     ],
 )
 def test_language(template, want):
@@ -52,12 +55,39 @@ def test_language(template, want):
         assert run() == want
 
 
-@pytest.mark.parametrize("bad", ["{% if x %}", "{{ }}", "{{ f(1) }}", "{% import os %}", "{{ a | nofilter }}", "{% for x %}{% endfor %}", "{{ 'a' 'b' }}"])
+@pytest.mark.parametrize("bad", ["{% if x %}", "{{ }}", "{{ f(1) }}", "{% import os %}", "{{ a | nofilter }}", "{% for x %}{% endfor %}", "{{ 'a' 'b' }}", "{{ 'a' | trim('x') }}", "{{ 1 | default(1, 2) }}", "{{ " + "9" * 5000 + " }}",
+    "{% if x %}" * 2000 + "{% endif %}" * 2000, "{{ " + "(" * 2000 + "1" + ")" * 2000 + " }}", "{{ " + "1+" * 5000 + "1 }}", "{{ " + "-" * 5000 + "1 }}", "{{ a" + ".b" * 5000 + " }}", "{% for 1 in x %}{% endfor %}", "{% set 'a' = 1 %}"])
 def test_errors(bad):
     with pytest.raises(chat.TemplateError):
         chat.compiled(bad)
 
 
+TOKENS = st.sampled_from(["{{", "}}", "{%", "%}", "{#", "#}", "if", "elif", "else", "endif", "for", "endfor", "x", "in", "messages", "set", "=", "==", "<", "+", "~", "|", "trim", "default", "(", ")", "[", "]", ".", ",", "'a'", "1", "-", "not", "and", "generation", "endgeneration", "raw", "\n"])
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(TOKENS, max_size=25).map(" ".join))
+def test_any_text_compiles_and_renders_or_is_a_template_error(template):
+    try:
+        run = chat.compiled(template)
+    except chat.TemplateError:
+        return
+    text, spans = run([{"role": "user", "text": "hi"}, {"role": "assistant", "text": None}])
+    assert all(0 <= a <= b <= len(text) for a, b in spans)
+
+
+def test_marks_within_marks_count_once():
+    text, spans = chat.compiled("{% generation %}a{% generation %}b{% endgeneration %}c{% endgeneration %}d{% generation %}e{% endgeneration %}")([])
+    assert text == "abcde" and chat.loss_text(text, spans) == "abce"
+
+
+def test_deep_but_allowed():
+    n = chat.DEPTH - 1
+    assert chat.compiled("{% if true %}" * n + "x" + "{% endif %}" * n)([])[0] == "x"
+    assert chat.compiled("{{ " + "(" * n + "1" + ")" * n + " }}")([])[0] == "1"
+    assert chat.compiled("{% for a in messages %}" * n + "{{ " + "1+" * (chat.LENGTH - 1) + "z }}" + "{% endfor %}" * n)([{"role": "r"}])[0] == str(chat.LENGTH - 1)
+
+
 def test_constants_fold():
     tree = chat.fold(chat.parse("{% if 1 == 1 %}a{% else %}{{ x }}{% endif %}{{ 'b' | raw }}c"))
     assert tree == ("block", ("text", "abc"))
