@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqmill.functions.music import wait_bins
+from seqmill.session import fresh, stored
 
 WAIT_BINS = wait_bins()
 #: Fixed values of the token layout: first id and number of ids.
@@ -48,13 +49,17 @@ def shift_velocity(tokens: Column, by: Column | int) -> Column:
 
 
 def fan_out(df: DataFrame, tokens: str) -> DataFrame:
-    """Eighteen variants of a sequence, each changed in one way: keys (0 included), tempi, velocities."""
-    t = F.col(tokens)
-    variants = [F.struct(F.lit(f"key{s:+d}").alias("variant"), transpose(t, s).alias(tokens)) for s in SHIFTS]
-    variants += [F.struct(F.lit(f"tempo{f}").alias("variant"), shift_tempo(t, f).alias(tokens)) for f in TEMPI]
-    variants += [F.struct(F.lit(f"velocity{v:+d}").alias("variant"), shift_velocity(t, v).alias(tokens)) for v in VELOCITIES]
-    rest = [c for c in df.columns if c != tokens]
-    return df.select(*rest, F.explode(F.array(*variants)).alias("x")).select(*rest, "x.variant", f"x.{tokens}")
+    """Eighteen variants of a sequence, each changed in one way: keys (0 included), tempi, velocities.
+
+    A row is first multiplied by what is done to it, so one sequence is changed at a time.
+    """
+    how = [(f"key{s:+d}", "key", float(s)) for s in SHIFTS] + [(f"tempo{f}", "tempo", f) for f in TEMPI] + [(f"velocity{v:+d}", "velocity", float(v)) for v in VELOCITIES]
+    variants = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(kind).alias("kind"), F.lit(by).alias("by")) for name, kind, by in how])
+    how_col, t = fresh("how")[0], F.col(f"`{tokens}`")
+    rest = [F.col(f"`{c}`") for c in df.columns if c != tokens]
+    kind, by = F.col(f"{how_col}.kind"), F.col(f"{how_col}.by")
+    changed = F.when(kind == "key", transpose(t, by.cast("int"))).when(kind == "tempo", shift_tempo(t, by)).otherwise(shift_velocity(t, by.cast("int")))
+    return df.withColumn(how_col, F.explode(variants)).select(*rest, F.col(f"{how_col}.variant").alias("variant"), changed.alias(tokens))
 
 
 def transpose_checked(df: DataFrame, notes: str, shifts: tuple[int, ...] = SHIFTS, low: int = 21, high: int = 108) -> DataFrame:
@@ -71,31 +76,33 @@ def repeat_by(df: DataFrame, cluster: Column, repeats: dict[int, int] = REPEATS)
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
 
 
-def positions(lengths: DataFrame, order: str, length: str, parts: int = 64) -> DataFrame:
-    """Where each sequence starts in the whole, by ``order``: a prefix sum in two levels.
+def positions(lengths: DataFrame, order: str, length: str) -> tuple[DataFrame, int]:
+    """``order, length, start``: where each sequence starts in the whole, by ``order``; and the length of the whole.
 
-    Rows are sorted by range; sums within a partition and the sums of the partitions before add up,
+    A prefix sum in two levels over ``order`` and ``length`` alone: rows are sorted by range, into as
+    many parts as the session shuffles to; sums within a part and the sums of the parts before add up,
     so no task sees all rows. ``order`` must be unique.
     """
-    from seqmill.session import stored
-
-    placed = lengths.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+    placed = lengths.select(order, length).repartitionByRange(order).withColumn("__part", F.spark_partition_id())
     placed = stored(placed, "positions")  # the ranges are drawn once
-    sums = placed.groupBy("__part").agg(F.sum(length).alias("n"))
+    sums = stored(placed.groupBy("__part").agg(F.sum(length).alias("n")), "sums")
     before = sums.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
     local = F.coalesce(F.sum(length).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("__local", local).join(F.broadcast(before), "__part").withColumn("start", (F.col("__before") + F.col("__local")).cast("long")).drop("__part", "__before", "__local")
+    starts = placed.withColumn("__local", local).join(F.broadcast(before), "__part").select(order, length, (F.col("__before") + F.col("__local")).cast("long").alias("start"))
+    return starts, sums.agg(F.sum("n").alias("n")).first()["n"] or 0
 
 
 def windows(df: DataFrame, order: str, tokens: str, size: int, pad: int = 0) -> DataFrame:
     """Concatenate all sequences and cut into windows of size + 1: inputs, and labels one ahead (padding: -100).
 
-    The tail that fills no window goes. Too few tokens for one window are an error.
+    The tail that fills no window goes. Too few tokens for one window are a ValueError.
     """
     step = size + 1
-    placed = positions(df.select(order, F.size(tokens).alias("__n"), tokens), order, "__n")
+    starts, total = positions(df.select(order, F.coalesce(F.size(tokens), F.lit(0)).alias("__n")), order, "__n")
+    if total < step:
+        raise ValueError(f"{total} tokens do not fill a window of {step}")
     first, last = F.floor(F.col("start") / step), F.floor((F.col("start") + F.col("__n") - 1) / step)
-    cut = placed.where("__n > 0").withColumn("window", F.explode(F.sequence(first, last)))
+    cut = df.select(order, tokens).join(starts.where("__n > 0"), order).withColumn("window", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("window") * step - F.col("start"), F.lit(0))
     end = F.least((F.col("window") + 1) * step - F.col("start"), F.col("__n"))
     parts = cut.select("window", (F.col("start") + begin).alias("at"), F.slice(tokens, (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))

@@ -105,13 +105,42 @@ def curated(df: DataFrame, name: str, listed: DataFrame) -> DataFrame:
     return own.join(want, "name", "full").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
+def tally(items: Column) -> Column:
+    """Of an array, in one pass over it when sorted: ``n``, ``distinct``, ``repeated`` (distinct ones that occur more than once), ``bits`` of entropy.
+
+    All within a row: nothing is shuffled.
+    """
+    weight = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    long = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+
+    def state(last: Column, run: Column, distinct: Column, repeated: Column, s: Column) -> Column:
+        return F.struct(last.alias("last"), run.alias("run"), distinct.alias("distinct"), repeated.alias("repeated"), s.alias("s"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = (a["run"] > 0) & x.eqNullSafe(a["last"])
+        again = state(a["last"], a["run"] + 1, a["distinct"], a["repeated"] + F.when(a["run"] == 1, long(1)).otherwise(long(0)), a["s"])
+        return F.when(same, again).otherwise(state(x, long(1), a["distinct"] + 1, a["repeated"], a["s"] + weight(a["run"])))
+
+    def done(a: Column) -> Column:
+        n, s = F.size(items).cast("long"), a["s"] + weight(a["run"])
+        return F.struct(n.alias("n"), a["distinct"].alias("distinct"), a["repeated"].alias("repeated"), F.when(n > 0, F.log2(n) - s / n).otherwise(0.0).alias("bits"))
+
+    first = F.get(items, F.lit(0))
+    return F.aggregate(F.array_sort(items), state(F.when(F.lit(False), first), long(0), long(0), long(0), F.lit(0.0)), step, done)
+
+
 def gram_repeats(df: DataFrame, key: str, tokens: str, n: int) -> DataFrame:
-    """Share of a sequence's distinct n-grams that occur more than once; grams never leave their row's key."""
+    """Share of a sequence's distinct n-grams that occur more than once; counted within the row. A row for each sequence of n tokens at least."""
     t = F.col(tokens)
     grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda k: F.array_join(F.slice(t, k, n), "\u0001"))
-    rows = df.where(F.size(t) >= n).select(key, F.explode(grams).alias("gram"))
-    counts = rows.groupBy(key, "gram").agg(F.count("*").alias("c"))
-    return counts.groupBy(key).agg(F.count("*").alias("grams"), F.count_if(F.col("c") > 1).alias("repeated"), F.round(F.count_if(F.col("c") > 1) / F.count("*"), 6).alias("share"))
+    counted = df.where(F.size(t) >= n).select(key, grams.alias("grams")).select(key, tally(F.col("grams")).alias("c"))
+    return counted.select(key, F.col("c.distinct").alias("grams"), F.col("c.repeated").alias("repeated"), F.round(F.col("c.repeated") / F.col("c.distinct"), 6).alias("share"))
+
+
+def row_entropy(df: DataFrame, key: str, tokens: str, least: int = 10) -> DataFrame:
+    """Shannon entropy of a sequence's tokens in bits, within the row; under ``least`` tokens 0."""
+    counted = df.select(key, tally(F.col(tokens)).alias("c"))
+    return counted.select(key, "c.n", "c.distinct", F.round(F.when(F.col("c.n") < least, 0.0).otherwise(F.col("c.bits")), 6).alias("bits"))
 
 
 def entropy(df: DataFrame, key: str, token: str, least: int = 10) -> DataFrame:
@@ -141,8 +170,8 @@ def window_report(windows: DataFrame, ids: str, pad: int = PAD, vocabulary_size:
         "window", F.size(F.filter(t, lambda x: (x < 0) | (x >= vocabulary_size))).cast("long").alias("out_of_range"),
         F.round(F.size(F.filter(t, lambda x: x == pad)) / F.size(t), 6).alias("padding"), F.size(F.array_distinct(t)).cast("long").alias("distinct"), F.filter(t, lambda x: x != pad).alias("own"),
     )
-    bits = entropy(plain.select("window", F.explode("own").alias("token")), "window", "token").select("window", "bits")
-    joined = plain.join(bits, "window", "left").withColumn("bits", F.coalesce("bits", F.lit(0.0)))
+    counted = plain.withColumn("c", tally(F.col("own")))
+    joined = counted.withColumn("bits", F.round(F.when(F.col("c.n") < 10, 0.0).otherwise(F.col("c.bits")), 6))
     return joined.select("window", "out_of_range", "padding", "distinct", "bits", (F.col("distinct") <= 2).alias("degenerate"), (F.col("padding") > 0.9).alias("mostly_padding"), (F.col("bits") < 1).alias("low_entropy"))
 
 

@@ -94,35 +94,41 @@ def _names(spark, sf_dir):
     return p.select("p_partkey", F.concat("p_brand", F.lit(" and "), "p_type", F.lit("; "), "p_name").alias("p_name"))
 
 
-TOP = f"{NAMED}, tn AS (SELECT name, n, row_number() OVER (ORDER BY n DESC, name) - 1 AS id FROM (SELECT unnest(parts) AS name, count(*) AS n FROM na GROUP BY 1) ORDER BY n DESC, name LIMIT 20)"
+TOP = f"{NAMED}, tn AS (SELECT name, n, row_number() OVER (ORDER BY n DESC, name) - 1 AS id FROM (SELECT unnest(parts) AS name, count(*) AS n FROM na GROUP BY 1) ORDER BY n DESC, name LIMIT 128)"
 
 
 @query(f"WITH {TOP} SELECT name, n, id FROM tn")
 def topk_names(spark, sf_dir):
-    return corpus.top_names(_names(spark, sf_dir), "p_name", 20)
+    return corpus.top_names(_names(spark, sf_dir), "p_name", 128)
 
 
 @query(f"""WITH {TOP}, c AS (SELECT p_partkey, p_name AS name, 0 AS pos FROM na UNION ALL SELECT p_partkey, unnest(parts), generate_subscripts(parts, 1) FROM na),
   h AS (SELECT p_partkey, arg_min(id, pos) AS id FROM c JOIN tn USING (name) GROUP BY 1) SELECT p_partkey, coalesce(id, 128) AS id FROM part LEFT JOIN h USING (p_partkey)""")
 def author_lookup(spark, sf_dir):
     n = _names(spark, sf_dir)
-    return corpus.look_up(n, "p_partkey", "p_name", corpus.top_names(n, "p_name", 20), 128)
+    return corpus.look_up(n, "p_partkey", "p_name", corpus.top_names(n, "p_name", 128), 128)
 
 
-@query(r"SELECT lower(trim(regexp_replace(trim('  ' || p_name || ' (Europe) '), '\s*\((usa?|europe|japan|world|eu|jp|[jue][^)]*)\)\s*$', '', 'i'))) AS name, count(*) AS n FROM part GROUP BY 1")
+#: What stands after a name, and what is left of it; written out, so the SQL needs no pattern.
+SUFFIXES = ((" (Europe) ", ""), (" (Rev A)", ""), (" (REV 01) ", ""), (" (USA, Korea)", ""), (" (World)", ""), (" (Beta)", " (beta)"), ("(J)", ""), (" (Rev)", " (rev)"), (" [USA]", " [usa]"), ("", ""))
+
+
+@query("SELECT lower(p_name) || CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{left}'" for k, (_, left) in enumerate(SUFFIXES)) + " END AS name, count(*) AS n FROM part GROUP BY 1")
 def name_normalize(spark, sf_dir):
-    raw = F.concat(F.lit("  "), "p_name", F.lit(" (Europe) "))
+    suffix = F.element_at(F.array(*[F.lit(x) for x, _ in SUFFIXES]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    raw = F.concat(F.lit("  "), "p_name", suffix)
     return table(spark, sf_dir, "part").groupBy(names.normal_name(raw).alias("name")).agg(F.count("*").alias("n"))
 
 
-CONTEXT = (("boss", "boss|pills"), ("title", "blog|title"), ("credits", "end|credits"), ("gameover", "over"))
+#: Titles, and the context that each has; the page says which of them.
+TITLES = (("Boss Battle 2", "boss"), ("Final Fight", "boss"), ("Stage 1 vs. Boss", "boss"), ("Title Screen", "title"), ("Character Select", "title"), ("Staff Roll", "credits"), ("Finale", "credits"), ("Game Over", "gameover"), ("Continue?", "gameover"), ("Green Hill", "level"),
+  ("ボス戦", "boss"), ("タイトル", "title"), ("エンディング A", "credits"), ("ゲームオーバー", "gameover"), ("緑の丘", "unknown"), ("12", "unknown"), ("01234", "unknown"), ("", "unknown"), ("緑の丘 2", "level"), ("Embossed Vsync", "level"))
 
 
-@query("SELECT page_id, " + "CASE " + " ".join(f"WHEN regexp_matches(lower(url), '{rx}') THEN '{k}'" for k, rx in CONTEXT) + " ELSE 'level' END AS context FROM pages")
+@query("SELECT page_id, CASE page_id % 20 " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, c) in enumerate(TITLES)) + " END AS context FROM pages")
 def context_rules(spark, sf_dir):
-    url = F.lower("url")
-    context = corpus.gate(*[(url.rlike(rx), k) for k, rx in CONTEXT])
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(context, F.lit("level")).alias("context"))
+    title = F.element_at(F.array(*[F.lit(t) for t, _ in TITLES]), (F.col("page_id") % 20 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", names.context(title).alias("context"))
 
 
 BUCKET = "CASE WHEN s < 30 THEN '0-30' WHEN s < 60 THEN '30-60' WHEN s < 120 THEN '60-120' WHEN s < 180 THEN '120-180' WHEN s < 300 THEN '180-300' ELSE '300+' END"
@@ -179,13 +185,14 @@ ENTROPY = f"""{TOK}, c AS (SELECT doc_id, token, count(*) AS c FROM tk GROUP BY
 
 @query(f"WITH {ENTROPY} SELECT * FROM en")
 def token_entropy(spark, sf_dir):
-    return corpus.entropy(_tokens(spark, sf_dir), "doc_id", "token")
+    return corpus.row_entropy(_docs(spark, sf_dir).select("doc_id", F.split("text", " ").alias("w")), "doc_id", "w")
 
 
 @query(f"""WITH {ENTROPY}, m AS (SELECT lang, avg(n) AS n, avg(bits) AS bits FROM en JOIN documents USING (doc_id) GROUP BY 1), a AS (SELECT n, bits FROM m WHERE lang = 'en')
   SELECT lang, round(m.n, 6) AS mean_tokens, round(m.bits, 4) AS mean_bits, round(m.n - a.n, 6) AS gap_tokens, abs(m.bits - a.bits) < 0.5 AS close FROM m, a""")
 def musicality_gap(spark, sf_dir):
-    e = corpus.entropy(_tokens(spark, sf_dir), "doc_id", "token").join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", F.split("text", " ").alias("w"))
+    e = corpus.row_entropy(docs.select(F.struct("doc_id", "lang").alias("key"), "w"), "key", "w").select("key.lang", "n", "bits")
     m = e.groupBy("lang").agg(F.avg("n").alias("n"), F.avg("bits").alias("bits"))
     english = lambda c: F.max(F.when(F.col("lang") == "en", F.col(c))).over(W.partitionBy())  # noqa: E731  a row for each language
     joined = m.withColumns({"an": english("n"), "ab": english("bits")})

@@ -156,3 +156,42 @@ def test_searches(spark):
     pick = lambda g, t: [r.name for r in corpus.by_hints(df, "name", g, t).collect()]
     assert pick("alpha", "end") == ["Alpha_03_End"] and pick("ALPHA", "nothing") == ["Alpha_03_End"] and pick("beta", "q") == ["Beta_01_x"] and pick("gamma", "q") == []
     assert corpus.search(df, "name", "BETA").count() == 1
+
+
+def test_names_lose_regions_and_revisions(spark):
+    from seqmill.functions import text
+
+    want = {"Sonic (USA)": "sonic", " Sonic (Rev A) ": "sonic", "Sonic (rev01)": "sonic", "Sonic (Rev)": "sonic (rev)", "Sonic (Japan)": "sonic", "Sonic (E)": "sonic", "Sonic (Unl) x": "sonic (unl) x", "Sonic (World) (J)": "sonic (world)", "(U)": "", "Sonic (Proto)": "sonic (proto)", "\tSonic\u3000": "sonic"}
+    df = spark.createDataFrame([(k,) for k in want], "name string")
+    assert {r.name: r.n for r in df.select("name", text.normal_name(F.col("name")).alias("n")).collect()} == want
+
+
+def test_pack_links(spark):
+    from seqmill.functions import text
+
+    html = '<a href="/files/a.zip">x</a><a href="https://o.org/files/b.ZIP">y</a><a href="/files/c.txt">z</a><a href="/other/d.zip">w</a><a href="/files/a.zip">x</a>'
+    got = spark.createDataFrame([(html,), ("none",), (None,)], "html string").select(text.pack_links(F.col("html"), "https://h.net/").alias("l")).collect()
+    assert [r.l for r in got] == [["https://h.net/files/a.zip", "https://o.org/files/b.ZIP"], [], None]
+
+
+def test_too_few_tokens_for_a_window(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (2, [3, 4])], "id int, t array<int>")
+    with pytest.raises(ValueError):
+        augment.windows(df, "id", "t", 8)
+    with pytest.raises(ValueError):
+        augment.windows(df.limit(0), "id", "t", 8)
+    assert augment.windows(df, "id", "t", 3).count() == 1
+
+
+def test_tally_by_definition(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    rows = [(k, [rng.choice("abcdefg") for _ in range(rng.randint(0, 40))]) for k in range(100)] + [(100, [None, None, "a"])]
+    for r in spark.createDataFrame(rows, "k int, t array<string>").select("k", corpus.tally(F.col("t")).alias("c")).collect():
+        counts = Counter(rows[r.k][1])
+        n = sum(counts.values())
+        assert (r.c.n, r.c.distinct, r.c.repeated) == (n, len(counts), sum(c > 1 for c in counts.values()))
+        assert abs(r.c.bits - (math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n if n else 0)) < 1e-9

@@ -8,38 +8,93 @@ from seqmill.sources import vgm
 RATE = tracks.RATE
 
 
-def beat(bpm, seconds, start=0.0, every=1):
-    n = int((seconds - start) * bpm / 60 / every)
-    return np.array([int((start + k * every * 60 / bpm) * RATE) for k in range(n)], np.int64)
-
-
-@pytest.mark.parametrize("bpm", [75, 100, 120, 150])
-def test_tempo_of_a_click(bpm):
-    on = beat(bpm, 60)
-    got = tracks.tempo(on, 60 * RATE)
-    assert min(abs(got / bpm - f) for f in (0.5, 1, 2)) < 0.02
-    assert tracks.tempo(on[:7], 60 * RATE) == 120.0
-
-
-def test_autocorrelation_by_definition():
-    h = np.random.default_rng(0).integers(0, 4, 300).astype(float)
-    assert tracks._acf(h, 50).tolist() == [float((h[: 300 - k] * h[k:]).sum()) for k in range(51)]
-
-
-def test_phase_and_meter():
-    assert abs(tracks.phase(beat(120, 30, 0.3), 30 * RATE, 120) - 0.3) < 0.06
-    assert tracks.phase(beat(120, 1), RATE, 120) == 0.0
-    strong = np.sort(np.concatenate([beat(120, 40), np.repeat(beat(120, 40, every=3), 6)]))
-    assert tracks.meter(strong, 40 * RATE, RATE / 2) == 3
-    assert tracks.meter(beat(120, 40), 40 * RATE, RATE / 2) == 4
-
-
-def test_tempo_map_finds_the_change():
-    on = np.concatenate([beat(100, 60), 60 * RATE + beat(140, 60)])
-    sections = tracks.tempo_map(on, 120 * RATE)
-    assert sections[0][0] == 0.0 and any(45 < s < 75 for s, _ in sections[1:])
-    assert len(tracks.tempo_map(beat(100, 120), 120 * RATE)) == 1
-    assert tracks.tempo_map(np.zeros(0, np.int64), 0) == [(0.0, 120.0)]
+def track(on, seconds):
+    return tracks.Onsets(np.asarray(on, np.int64), int(seconds * RATE))
+
+
+def every(bins, n, start=0):
+    """Onsets exactly so many bins of ten milliseconds apart."""
+    return (start + np.arange(n) * bins) * tracks.BIN
+
+
+def test_tempo_by_hand():
+    # 41 onsets 50 bins apart: 40 repeats at 50, 39 at 100, none beside them, so the peak is at 50 bins, 120 a minute
+    assert tracks.tempo(track(every(50, 41), 30)) == 120.0
+    # 40 bins: 40 repeats at 40 (150 a minute), 39 at 80, 38 at 120
+    assert tracks.tempo(track(every(40, 41), 30)) == 150.0
+    # onsets 60 bins apart and each with another 62 later: 60 and 62 have repeats, 61 none; by hand:
+    on = np.sort(np.concatenate([every(60, 20), every(60, 20, 2)]))  # lag 60: 19 + 19, lag 58: 19, lag 62: 19
+    assert tracks.tempo(track(on, 30)) == pytest.approx(6000 / 60)
+    # unequal neighbours: 3 at 49, 10 at 50, 1 at 51 -> 50 + (3 - 1) / 2 / (3 - 20 + 1) = 49.9375
+    gaps = [50] * 10 + [150] + [49] * 3 + [150] + [51]
+    at = np.concatenate([[0], np.cumsum(gaps)])
+    h = np.bincount(at, minlength=3001)
+    counted = [int(h[: 3001 - k] @ h[k:]) for k in range(20, 121)]
+    k = int(np.argmax(counted))
+    a, b, c = counted[k - 1 : k + 2]
+    assert (20 + k, a, b, c) == (50, 3, 10, 1)
+    assert tracks.tempo(track(at * tracks.BIN, 30)) == pytest.approx(6000 / 49.9375)
+
+
+def test_tempo_of_what_has_none():
+    assert tracks.tempo(track([5] * 9, 30)) == 120.0  # nine onsets in one bin
+    assert tracks.tempo(track(every(500, 9), 60)) == 120.0  # no repeats within the slowest beat
+    assert tracks.tempo(track(every(50, 7), 30)) == 120.0 and tracks.tempo(track([], 0)) == 120.0
+    assert tracks.tempo(track(every(1, 9), 0.2)) == 120.0  # shorter than the fastest beat
+
+
+def test_repeats_by_definition():
+    rng = np.random.default_rng(0)
+    on = rng.integers(0, 300 * tracks.BIN, 400)
+    h = np.bincount(on // tracks.BIN, minlength=301)
+    assert tracks.Onsets(on, 300 * tracks.BIN).repeats(np.arange(51)).tolist() == [float((h[: 301 - k] * h[k:]).sum()) for k in range(51)]
+
+
+def test_phase_by_hand():
+    # onsets at 0.30 s and every half second: the comb that starts at bin 30 meets all
+    assert tracks.phase(track(every(50, 40, 30), 30), 120) == pytest.approx(0.3)
+    # a lone first onset at 0.10 s: the comb at 0.30 goes back a beat, to -0.20, and so to the start
+    assert tracks.phase(track(np.append(every(50, 40, 30), 10 * tracks.BIN), 30), 120) == 0.0
+    # first onset at 1.33 s, comb at bin 30: back by none, 1.30 is not before ... 0.30 lies a beat or more before the first onset
+    assert tracks.phase(track(np.append(every(50, 40, 180), 133 * tracks.BIN), 40), 120) == pytest.approx(0.3)
+    # within an eighth of a beat before the first onset: that onset
+    assert tracks.phase(track(np.append(every(50, 40, 80), 35 * tracks.BIN), 40), 120) == pytest.approx(0.35)
+    assert tracks.phase(track(every(50, 3), 30), 120) == 0.0 and tracks.phase(track(every(50, 40), 30), 0) == 0.0
+
+
+def test_meter_by_hand():
+    bar = RATE / 2  # a beat of 50 bins
+    three = np.concatenate([every(50, 60), np.repeat(every(150, 20), 6)])
+    assert tracks.meter(track(three, 31), bar) == 3
+    assert tracks.meter(track(every(50, 60), 31), bar) == 4  # 58, 57 and 56 repeats: none stands out
+    two = np.repeat(every(100, 40), 3)  # 9 * 39 after two beats, 0 after three, 9 * 38 after four: too like a bar of four
+    assert tracks.meter(track(two, 41), bar) == 4
+    assert tracks.meter(track(np.concatenate([every(100, 2, 1000 * k) for k in range(8)]), 81), bar) == 2  # nothing repeats after four
+    assert tracks.meter(track([7] * 12, 31), bar) == 2  # no repeats at all
+    assert tracks.meter(track(every(50, 11), 31), bar) == 4 and tracks.meter(track(every(50, 60), 31), 0) == 4
+
+
+def test_tempo_map_by_hand():
+    # 60 s of 150 a minute (40 bins), then 60 s of 100 (60 bins); least section 15 s.
+    on = np.concatenate([every(40, 150), every(60, 100, 6000)])
+    whole = track(on, 120)
+    # halves are pure. Cuts: 60 s keeps both tempi, so ties go right: low 60; then 82.5 s: the left part still repeats
+    # most at 40 bins (149 against 37 at 60), the right stays 100: low; and so on to the end of the range, 105 s
+    sections = tracks.tempo_map(whole)
+    assert [round(t) for _, t in sections][0] == 150 and round(sections[-1][1]) == 100 and sections[0][0] == 0.0
+    low, high = 15 * RATE, 105 * RATE
+    halves = tracks.tempo(whole.part(0, 60 * RATE)), tracks.tempo(whole.part(60 * RATE, 120 * RATE))
+    assert (round(halves[0]), round(halves[1])) == (150, 100)
+    for _ in range(8):  # the rule once more, on absolute distances with ties to the right
+        cut = (low + high) // 2
+        left, right = tracks.tempo(whole.part(0, cut)), tracks.tempo(whole.part(cut, 120 * RATE))
+        low, high = (cut, high) if abs(left - halves[0]) <= abs(right - halves[1]) else (low, cut)
+    assert tracks._change(lambda a, b: tracks.tempo(whole.part(a, b)), 0, 120 * RATE, 15 * RATE, 0.06) == (low + high) // 2
+    assert tracks.tempo_map(track(every(60, 200), 120)) == [(0.0, 100.0)]
+    assert tracks.tempo_map(track([], 0)) == [(0.0, 120.0)]
+    assert tracks.tempo_map(track(every(60, 20), 12)) == [(0.0, 100.0)]  # shorter than a section
+    # nothing in the second half: it has no tempo, so nothing is cut
+    assert tracks.tempo_map(track(every(40, 140), 120)) == [(0.0, 150.0)]
 
 
 def scale(spark):
@@ -97,5 +152,4 @@ def test_note_tokens(spark):
     own = [(0, 0xA4, 0x22), (0, 0xA0, 0x69), (0, 0x28, 0xF0), (3, 0, 735), (0, 0xA0, 0x6A), (0, 0xA4, 0x2A), (0, 0xA0, 0x69), (0, 0x28, 0), (0, 0xA0, 0), (2, 0, 0x80), (0, 0x30, 1), (1, 0xA4, 0x22), (1, 0xA0, 0x69), (0, 0x28, 0xF4)]
     df = spark.createDataFrame([("t", k, t, r, v, 0, None, None) for k, (t, r, v) in enumerate(own)], ROWS)
     got = [r.token for r in tokens.note_tokens(df).orderBy("seq").collect()]
-    assert [x for x in got if not x.startswith("WAIT")] == ["FM1:ON:B4", "FM1:PITCH:B5", "FM1:OFF", "PSG:80", "P0:30:01", "FM4:ON:B4"] or got[0].startswith("FM1:ON:")
-    assert sum(x.startswith("FM1:PITCH") for x in got) == 1 and got[-1].startswith("FM4:ON")
+    assert [x for x in got if not x.startswith("WAIT")] == ["FM1:ON:B4", "FM1:PITCH:B5", "FM1:OFF", "PSG:80", "P0:30:01", "FM4:ON:B4"]
