@@ -203,6 +203,14 @@ def nucleus(df: DataFrame, key: str, logit: str, token: str, p: float, k: int) -
     return probs.withColumn("__c", run).where(F.round("__c", 9) < p).select(key, token, F.round("p", 6).alias("p"))
 
 
+def penalised(df: DataFrame, key: str, logit: str, token: str, recent: DataFrame, penalty: float, temperature: float = 1.0) -> DataFrame:
+    """Adds ``scaled``: logits of recent tokens (key, token) divided by the penalty, or multiplied if not positive, over the temperature."""
+    seen = recent.select(key, token).distinct().withColumn("__seen", F.lit(True))
+    x = F.col(logit)
+    pulled = F.when(F.col("__seen") & (x > 0), x / penalty).when(F.col("__seen"), x * penalty).otherwise(x)
+    return df.join(seen, [key, token], "left").withColumn("scaled", pulled / temperature).drop("__seen")
+
+
 # -- samples, orders and searches -----------------------------------------------------------------
 
 

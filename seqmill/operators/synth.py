@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqmill.functions.music import best_block, midi_to_fnumber, psg_period
-from seqmill.operators.chips import NOISE, OPERATOR_AT, TONE0
-from seqmill.sources.vgm import PORT0, PORT1, PSG, WAIT, write_tracks
+from seqmill.operators.chips import DRUM, NOISE, OPERATOR_AT, TONE0
+from seqmill.sources.vgm import DAC, PORT0, PORT1, PSG, WAIT, write_tracks
 
-#: What comes first at one sample: keys off, voices, pitches, levels, keys on.
-OFF, VOICE, TUNE, LEVEL, ON = range(5)
+#: What comes first at one sample: sample playback on or off, keys off, voices, pitches, levels, keys on, drum samples.
+MODE, OFF, VOICE, TUNE, LEVEL, ON, HIT = range(-1, 6)
+HIT_STEP = 5  # samples of the clock from one byte of a drum sample to the next
 _WRITE = "struct<prio: int, type: int, register: int, value: int>"
 
 
@@ -67,17 +68,65 @@ def differences(acts: DataFrame) -> DataFrame:
     return acts.withColumn("__same", F.coalesce(same, F.lit(False))).where("NOT __same").drop("__same")
 
 
-def synthesise(notes: DataFrame) -> DataFrame:
-    """``track_id, content``: a log of each track's notes, with the waits between its writes."""
-    acts = differences(actions(notes))
+def drum_hits(notes: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Writes of the drum samples that notes ask for by ``slot``: a byte each HIT_STEP samples, until the next hit or the sample's end.
+
+    ``sizes``: slot -> where its sample begins in the bank, and its bytes.
+    """
+    at, size = (F.create_map(*[F.lit(x) for k, pair in sizes.items() for x in (k, pair[i])]) for i in range(2))
+    hits = notes.where((F.col("channel") == DRUM) & F.col("slot").isin(list(sizes))).select("track_id", "sample_on", "emit", "slot")
+    stop = F.lead("sample_on").over(W.partitionBy("track_id").orderBy("sample_on", "emit"))
+    whole = F.element_at(size, F.col("slot"))
+    room = F.when(F.col("stop").isNull(), whole).otherwise(F.least(whole, F.ceil((F.col("stop") - F.col("sample_on")) / HIT_STEP)))
+    played = hits.withColumn("stop", stop).withColumn("room", room.cast("int")).where("room > 0")
+    steps = played.select("track_id", "sample_on", "emit", F.element_at(at, F.col("slot")).alias("at"), F.explode(F.sequence(F.lit(0), F.col("room") - 1)).alias("k"))
+    row = {"k": F.lit(0), "prio": F.lit(HIT), "type": F.lit(DAC), "register": F.lit(0x2A), "value": F.lit(0), "pcm_offset": (F.col("at") + F.col("k")).cast("long")}
+    return steps.select("track_id", (F.col("sample_on") + F.col("k") * HIT_STEP).alias("sample"), "emit", *[c.alias(n) for n, c in row.items()])
+
+
+def with_dac_mode(acts: DataFrame) -> DataFrame:
+    """Sample playback is switched on before a drum byte and off before a key-on of the sixth channel, where it is not so already."""
+    drum = F.col("type") == DAC
+    sixth = (F.col("prio") == ON) & (F.col("type") == PORT0) & (F.col("register") == 0x28) & (F.col("value") == 0xF6)
+    state = F.when(drum, 1).when(sixth, 0)
+    w = W.partitionBy("track_id").orderBy("sample", "prio", "emit", "k")
+    before = F.coalesce(F.last(state, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turns = acts.withColumns({"__s": state, "__b": before}).where("__s IS NOT NULL AND __s <> __b")
+    switch = turns.select("track_id", "sample", "emit", "k", F.lit(MODE).alias("prio"), F.lit(PORT0).alias("type"), F.lit(0x2B).alias("register"), (F.col("__s") * 0x80).alias("value"))
+    return acts.unionByName(switch, allowMissingColumns=True)
+
+
+def synthesise(notes: DataFrame, kit: DataFrame | None = None) -> DataFrame:
+    """``track_id, content``: a log of each track's notes, with the waits between its writes.
+
+    With a drum kit (slot, pcm: a few samples) its bytes are the bank of every log, and drum notes that
+    carry a ``slot`` play them.
+    """
+    acts, bank = differences(actions(notes)), b""
+    samples = {r["slot"]: bytes(r["pcm"]) for r in kit.where("length(pcm) > 0").orderBy("slot").collect()} if kit is not None else {}
+    if samples:
+        sizes = {}
+        for slot, pcm in samples.items():
+            sizes[slot], bank = (len(bank), len(pcm)), bank + pcm
+        acts = with_dac_mode(acts.unionByName(drum_hits(notes, sizes), allowMissingColumns=True))
+    else:
+        acts = acts.withColumn("pcm_offset", F.lit(None).cast("long"))
     w = W.partitionBy("track_id").orderBy("sample", "prio", "emit", "k")
     ordered = acts.withColumns({"seq": F.row_number().over(w) * 2, "gap": F.col("sample") - F.coalesce(F.lag("sample").over(w), F.lit(0))})
-    row = lambda seq, kind, register, value: F.struct(seq.alias("seq"), kind.cast("tinyint").alias("type"), register.cast("smallint").alias("register"), value.cast("int").alias("value"))
-    write = row(F.col("seq"), F.col("type"), F.col("register"), F.col("value"))
-    wait = row(F.col("seq") - 1, F.lit(WAIT), F.lit(0), F.col("gap"))
+    row = lambda seq, kind, register, value, offset: F.struct(seq.alias("seq"), kind.cast("tinyint").alias("type"), register.cast("smallint").alias("register"), value.cast("int").alias("value"), offset.cast("long").alias("pcm_offset"))
+    write = row(F.col("seq"), F.col("type"), F.col("register"), F.col("value"), F.col("pcm_offset"))
+    wait = row(F.col("seq") - 1, F.lit(WAIT), F.lit(0), F.col("gap"), F.lit(None))
     rows = ordered.select("track_id", F.explode(F.when(F.col("gap") > 0, F.array(wait, write)).otherwise(F.array(write))).alias("x"))
     full = rows.select("track_id", "x.*").withColumns({"sample_pos": F.lit(0).cast("long"), "error": F.lit(None).cast("string")})
-    return write_tracks(full)
+    return write_tracks(full, bank)
+
+
+TAIL, SHORTEST = 44_100, 441_000  # a second after the last note; ten seconds where there is none
+
+
+def lengths(notes: DataFrame) -> DataFrame:
+    """``track_id, samples``: a second beyond the end of the last note that has one."""
+    return notes.groupBy("track_id").agg(F.coalesce(F.max(F.coalesce("sample_off", "sample_on")) + TAIL, F.lit(SHORTEST)).cast("long").alias("samples"))
 
 
 def strip_prompt(notes: DataFrame, prompt: DataFrame) -> DataFrame:

@@ -62,13 +62,6 @@ def log_notes(spark, sf_dir):
     return n.where("channel = 0").select("track_id", "pitch", "sample_on", "sample_off")
 
 
-@query()
-def log_features(spark, sf_dir):
-    files = stored(_files(spark, sf_dir), "logs")
-    e = vgm.read_events(files)
-    return chips.features(e, chips.decode_notes(e), vgm.read_headers(files)).withColumn("cluster", analysis.cluster())
-
-
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = stored(_files(spark, sf_dir), "logs")
     e = vgm.read_events(files)
@@ -86,8 +79,3 @@ def log_encode(spark, sf_dir):
     """Notes that come back out of the token sequences: none is lost."""
     back = score.decode(_encoded(spark, sf_dir))
     return back.where("channel = 0").groupBy("track_id").agg(F.count("*").alias("notes"))
-
-
-@query()
-def log_tokens(spark, sf_dir):
-    return _encoded(spark, sf_dir).select("track_id", F.size("tokens").alias("n"), F.slice("tokens", 1, 8).alias("head"))

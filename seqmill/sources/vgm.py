@@ -290,8 +290,8 @@ def wait_bytes(samples: int) -> bytes:
     return bytes(out)
 
 
-def write_bytes(rows: list[tuple], fm_clock: int = 7670453, psg_clock: int = 3579545, loop_row: int | None = None, bank: bytes = b"", version: int = 0x171) -> bytes:
-    """A file of rows (type, register, value, sample_pos, pcm_offset), with a loop from ``loop_row`` on."""
+def write_bytes(rows: list[tuple], fm_clock: int = 7670453, psg_clock: int = 3579545, loop_row: int | None = None, bank: bytes = b"", version: int = 0x171, tags: dict[str, str] | None = None) -> bytes:
+    """A file of rows (type, register, value, sample_pos, pcm_offset), with a loop from ``loop_row`` on, and tags by their names in TAGS."""
     body, total, loop_at, loop_from = bytearray(), 0, 0, 0
     if bank:
         body += struct.pack("<BBBI", 0x67, 0x66, 0, len(bank)) + bank
@@ -317,24 +317,34 @@ def write_bytes(rows: list[tuple], fm_clock: int = 7670453, psg_clock: int = 357
         elif kind == END:
             break
     body += b"\x66"
-    head = bytearray(0x100)
+    head, gd3 = bytearray(0x100), 0
     head[:4] = b"Vgm "
+    if tags:
+        gd3 = len(head) + len(body)
+        text = "".join(tags.get(t, "") + "\0" for t in TAGS).encode("utf-16-le")
+        body += b"Gd3 " + struct.pack("<II", 0x100, len(text)) + text
     size = len(head) + len(body)
     for f, v in {"eof": size - 4, "version": version, "psg_clock": psg_clock, "fm_clock": fm_clock, "total_samples": total, "data": 0x100 - 0x34}.items():
         struct.pack_into("<I", head, FIELDS[f], v)
+    if gd3:
+        struct.pack_into("<I", head, FIELDS["gd3"], gd3 - FIELDS["gd3"])
     if loop_at:
         struct.pack_into("<I", head, FIELDS["loop"], loop_at - FIELDS["loop"])
         struct.pack_into("<I", head, FIELDS["loop_samples"], total - loop_from)
     return bytes(head + body)
 
 
-def write_tracks(rows: DataFrame) -> DataFrame:
-    """``track_id, content``: event rows grouped back to files. One track is one task's work."""
+def write_tracks(rows: DataFrame, bank: bytes = b"") -> DataFrame:
+    """``track_id, content``: event rows grouped back to files. One track is one task's work.
+
+    With a ``bank`` of samples every file holds it, and drum writes play it from their ``pcm_offset`` on.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
         cols = [table.column(c).to_pylist() for c in ("type", "register", "value", "sample_pos")]
-        data = write_bytes([(*r, -1) for r in zip(*cols, strict=True)])
+        offsets = table.column("pcm_offset").to_pylist() if bank and "pcm_offset" in table.column_names else [None] * table.num_rows
+        data = write_bytes([(*r, -1 if o is None else o) for *r, o in zip(*cols, offsets, strict=True)], bank=bank)
         return pa.table({"track_id": [table.column("track_id")[0].as_py()], "content": pa.array([data], pa.binary())})
 
     return rows.where("error IS NULL").groupBy("track_id").applyInArrow(run, "track_id string, content binary")

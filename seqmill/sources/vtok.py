@@ -60,3 +60,33 @@ def column(tokens: str, vocabulary: int):
 
     run.__annotations__ = {"lists": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "binary")(F.col(tokens))
+
+
+def write(df: DataFrame, name: str, tokens: str, vocabulary: int, path: str) -> DataFrame:
+    """``path, n``: one file for each row, ``name`` under ``path``, written where the row is.
+
+    ``path`` is a URI of a file system that pyarrow knows (a plain path is local); a file appears under
+    its name when it is whole, so a task that is run again does no harm. Names must be distinct.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        for b in batches:
+            out = []
+            for file, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at = f"{root.rstrip('/')}/{file}.vtok"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                values = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else [], np.int64)
+                with system.open_output_stream(part) as f:
+                    f.write(pack(values, vocabulary))
+                system.move(part, at)
+                out.append((at, len(values)))
+            paths, sizes = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "n"])
+
+    return df.select(name, tokens).mapInArrow(run, "path string, n long")
