@@ -13,7 +13,7 @@ WAIT, P0, P1, PSG, DAC = vgm.WAIT, vgm.PORT0, vgm.PORT1, vgm.PSG, vgm.DAC
 
 def song(game, author, title, seconds=12, pitches=8, drum=None, channels=2):
     """A file of a scale on some FM channels, at 120 to the minute, with a drum on each beat."""
-    rows, fnums = [], [(0x22, 0x69 + 8 * k) for k in range(pitches)]
+    rows, fnums = [], [divmod((4 << 11) + round(617 * 2 ** (k / 12)), 256) for k in range(pitches)]  # semitones
     bank = bytes(range(64)) if drum is not None else b""
     if drum is not None:
         rows.append((P0, 0x2B, 0x80, 0, -1))
@@ -55,7 +55,9 @@ def test_prepare(spark, files, tmp_path):
     assert names == ["Ann Bee", "Cid Dee"]
     games = {r.name: r.id for r in p.games.collect()}
     assert games["game 0"] == 0 and games["game 8"] == 8
-    for one in (r for r in rows if r.split == "train" and r.variant == "key+0" and r.track_id.startswith("game")):
+    heads = [r for r in rows if r.split == "train" and r.variant == "key+0" and r.track_id.startswith("game")]
+    assert len(heads) > 30
+    for one in heads:
         g, k = int(one.track_id[4]), int(one.track_id[6:8])
         assert one.tokens[0] == score.BOS and one.tokens[1] == 4 + 60 and one.tokens[3] == 209 and one.tokens[4:8] == [492, 825 + g, (891, 892, 890)[k % 3], 896] and one.tokens[-1] == score.EOS
     drums = p.drums.collect()
@@ -70,6 +72,7 @@ def test_prepare(spark, files, tmp_path):
     val = p.sequences.where("split = 'val'")
     path = str(tmp_path / "val")
     n = flat.write(val, "track_id", "tokens", path, vocabulary=1024, split="val")
+    assert n > 1000
     assert n == got["val"].tokens and flat.meta(spark, path) == {"tokens": n, "vocabulary": 1024, "split": "val"}
     whole = [t for r in sorted((r for r in rows if r.split == "val"), key=lambda r: r.track_id) for t in r.tokens]
     assert [r.token for r in flat.stretch(spark, path, 100, 50).orderBy("position").collect()] == whole[100:150]
