@@ -273,21 +273,13 @@ def weighted_oversample(spark, sf_dir):
     return augment.repeat_by(c, F.col("cluster"))
 
 
-@query("""WITH l AS (SELECT vec_id AS lib, embedding AS v FROM embeddings WHERE vec_id < 100), p AS (SELECT e.vec_id, l.lib, round(list_sum(list_transform(list_zip(e.embedding, l.v), lambda z: abs(CAST(z[1] AS DOUBLE) - z[2]))), 9) AS d FROM embeddings e, l)
+@query("""WITH l AS (SELECT embedding AS v, count(*) AS n, min(vec_id) AS lib FROM embeddings GROUP BY 1 ORDER BY n DESC, lib LIMIT 128), p AS (SELECT e.vec_id, l.lib, round(list_sum(list_transform(list_zip(e.embedding, l.v), lambda z: abs(CAST(z[1] AS DOUBLE) - z[2]))), 9) AS d FROM embeddings e, l)
   SELECT vec_id, lib, round(d, 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, lib) = 1""")
 def patch_nearest_l1(spark, sf_dir):
+    """Each vector's nearest of the 128 most frequent ones."""
     e = table(spark, sf_dir, "embeddings")
-    library = e.where("vec_id < 100").select(F.col("vec_id").alias("lib"), F.col("embedding").cast("array<double>").alias("vec"))
-    return corpus.nearest_l1(e, "vec_id", "embedding", library)
-
-
-@query("""WITH f AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: CAST(floor(abs(x) * 100) AS INTEGER)) AS p FROM embeddings)
-  SELECT vec_id, label, list_concat(list_transform(range(0, 8), lambda k: CASE WHEN k = label % 8 THEN 4.0 ELSE 0.0 END), list_transform(p, lambda x: round(x / 127.0, 6))) AS vec FROM f""")
-def patch_vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    p = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(F.abs(x) * 100).cast("int"))
-    hot = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(k == F.col("label") % 8, 4.0).otherwise(0.0))
-    return e.select("vec_id", "label", F.concat(hot, F.transform(p, lambda x: F.round(x / 127.0, 6))).alias("vec"))
+    library = e.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("lib")).orderBy(F.col("n").desc(), "lib").limit(128)
+    return corpus.nearest_l1(e, "vec_id", "embedding", library.select("lib", F.col("embedding").cast("array<double>").alias("vec")))
 
 
 @query("""WITH l AS (SELECT DISTINCT name FROM (VALUES ('src1'), ('src2'), ('src2'), ('lost')) t(name)), o AS (SELECT lower(trim(source)) AS name, count(*) AS n FROM documents GROUP BY 1)

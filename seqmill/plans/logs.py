@@ -273,14 +273,6 @@ def direction_change(spark, sf_dir):
     return s.groupBy("user_id").agg(((F.count("*") >= 4) & up & down).alias("both_ways"))
 
 
-@query(f"""WITH {EV}, f AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_seen, max(cents) >= 40000 AS loud FROM ev GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY loud DESC, n DESC, first_seen) AS k FROM f) SELECT user_id, event_type, n FROM r WHERE k = 1""")
-def dominant_patch(spark, sf_dir):
-    f = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen"), (F.max("cents") >= 40000).alias("loud"))
-    best = F.max_by(F.struct("event_type", "n"), F.struct("loud", "n", -F.col("first_seen")))  # first_seen is unique: no ties
-    return f.groupBy("user_id").agg(best.alias("b")).select("user_id", "b.*")
-
-
 # -- two versions of one log ----------------------------------------------------------------------
 
 PAIRS = f"""a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM ev),
@@ -332,7 +324,8 @@ def wait_bins(spark, sf_dir):
     return e.withColumn("wait", bin_value(F.col("bin"), BINS))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM ev), r AS (SELECT user_id, event_id, k, value AS ema, false AS spike FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.k, CAST(0.98 AS DOUBLE) * r.ema + (1 - CAST(0.98 AS DOUBLE)) * o.value, o.value > 5 * r.ema FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT user_id, event_id, round(ema, 9) AS ema, spike FROM r""")
 def ema_spike(spark, sf_dir):
-    """Exponential mean of each track's values, and values beyond five times it; a recursion, so no SQL."""
+    """Exponential mean of each track's values, and values beyond five times it."""
     return analysis.ema(events(spark, sf_dir), "user_id", ["event_id"], "value", 0.98, 5.0)

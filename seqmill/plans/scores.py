@@ -170,6 +170,23 @@ def voice_lookup(spark, sf_dir):
     return library.to_library(own, "key", "patch", lib).select("key.algorithm", "key.level", "key.pan", "lib")
 
 
+@query(f"""WITH {SCORE}, v AS (SELECT DISTINCT alg, tl, pan FROM sc WHERE channel < 6), o AS (SELECT *, list_transform([tl / 127, 1.0, 1 / 31, 2 / 31, 3 / 15, 4 / 15, 1 / 15, 0.0, 0.0], lambda x: round(x, 6)) AS op FROM v)
+  SELECT alg AS algorithm, tl AS level, pan, list_concat(list_transform(range(0, 8), lambda k: CASE WHEN k = alg THEN 4.0 ELSE 0.0 END), [round(3 / 7, 6)], op, op, op, op, [0.0, 0.0]) AS vec FROM o""")
+def patch_vectors(spark, sf_dir):
+    """47 numbers of each voice."""
+    at = lambda k: F.element_at("patch", k + 1)
+    own = notes(spark, sf_dir).where("channel < 6").select("patch").distinct()
+    return own.select(at(0).alias("algorithm"), at(5).alias("level"), at(4).alias("pan"), F.transform(score.patch_vector(F.col("patch")), lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query(f"""WITH {SCORE}, c AS (SELECT track_id, channel, alg, tl, pan, count(*) AS n, min(event_id) AS first FROM sc WHERE channel < 6 GROUP BY ALL)
+  SELECT track_id, channel, alg AS algorithm, tl AS level, pan FROM c QUALIFY row_number() OVER (PARTITION BY track_id, channel ORDER BY n DESC, first) = 1""")
+def dominant_patch(spark, sf_dir):
+    """The voice that each channel uses most; all are audible here."""
+    at = lambda k: F.element_at("patch", k + 1)
+    return score.dominant_patches(notes(spark, sf_dir)).select("track_id", "channel", at(0).alias("algorithm"), at(5).alias("level"), at(4).alias("pan"))
+
+
 @query(f"""WITH {SCORE}, n AS (SELECT track_id, list(pitch ORDER BY event_id) AS p FROM sc WHERE pitch IS NOT NULL GROUP BY 1), s AS (SELECT track_id, p, CAST(unnest([-5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6]) AS INTEGER) AS shift FROM n)
   SELECT track_id, shift, len(p) AS notes, CAST(list_sum(p) + shift * len(p) AS BIGINT) AS total FROM s WHERE list_min(p) + shift >= 50 AND list_max(p) + shift <= 84""")
 def transpose_range(spark, sf_dir):
