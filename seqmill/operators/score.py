@@ -39,22 +39,24 @@ RATE = 44100
 # -- pieces ---------------------------------------------------------------------------------------
 
 
-def patch_tokens(patch: Column) -> Column:
-    """44 tokens of a patch array (five values, then eleven for each operator)."""
+def patch_tokens(patch: Column, ssg: bool = True) -> Column:
+    """44 tokens of a patch array (five values, then eleven for each operator); 40 without SSG-EG."""
     at = lambda k: F.element_at(patch, k + 1)
     out = [ALG + at(0), P8 + at(1), P4 + at(2), FMS + at(3)]
     for op in range(4):
-        out += [base + at(5 + 11 * op + k).bitwiseAND(mask) for k, (base, mask) in enumerate(zip(OP_BASES, OP_MASKS, strict=True))]
+        out += [base + at(5 + 11 * op + k).bitwiseAND(mask) for k, (base, mask) in enumerate(zip(OP_BASES, OP_MASKS, strict=True)) if ssg or base != SSG]
     return F.array(*[x.cast("int") for x in out])
 
 
-def patch_from_tokens(tokens: list[int]) -> list[int] | None:
-    """The patch array of 44 tokens (pan and AM as at reset); None if they are no patch block."""
-    if len(tokens) < PATCH_TOKENS or not 0 <= tokens[0] - ALG < 8:
+def patch_from_tokens(tokens: list[int], ssg: bool = True) -> list[int] | None:
+    """The patch array of 44 tokens, or 40 without SSG-EG (pan and AM as at reset); None if they are no patch block."""
+    each = 10 if ssg else 9
+    if len(tokens) < 4 + 4 * each or not 0 <= tokens[0] - ALG < 8:
         return None
     out = [tokens[0] - ALG, tokens[1] - P8, tokens[2] - P4, tokens[3] - FMS, 3]
     for op in range(4):
-        out += [t - base for t, base in zip(tokens[4 + 10 * op : 14 + 10 * op], OP_BASES, strict=True)] + [0]
+        own = [t - base for t, base in zip(tokens[4 + each * op : 4 + each * (op + 1)], OP_BASES, strict=False)]
+        out += [*own, *([] if ssg else [0]), 0]
     return out
 
 
@@ -215,9 +217,9 @@ def _channel(token: int) -> int | None:
     return TONE0 + token - CH_PSG if CH_PSG <= token < CH_PSG + 3 else None
 
 
-def decode_tokens(tokens: list[int]) -> Decoded:
-    """Notes as dicts and the header; times lie on the grid, in whole samples."""
-    out, at, n = Decoded(), 0, len(tokens)
+def decode_tokens(tokens: list[int], ssg: bool = True) -> Decoded:
+    """Notes as dicts and the header; times lie on the grid, in whole samples. ``ssg``: as in patch_tokens()."""
+    out, at, n, size = Decoded(), 0, len(tokens), PATCH_TOKENS if ssg else PATCH_TOKENS - 4
     peek = lambda: tokens[at] if at < n else PAD
     if peek() == BOS:
         at += 1
@@ -237,9 +239,9 @@ def decode_tokens(tokens: list[int]) -> Decoded:
     while at + 1 < n and (c := _channel(tokens[at])) is not None and ROLE <= tokens[at + 1] < ROLE + len(ROLES):
         out.roles[c] = ROLES[tokens[at + 1] - ROLE]
         at += 2
-        if c < 6 and (p := patch_from_tokens(tokens[at : at + PATCH_TOKENS])) is not None:
+        if c < 6 and (p := patch_from_tokens(tokens[at : at + size], ssg)) is not None:
             patches[c] = p
-            at += PATCH_TOKENS
+            at += size
     bar_len = max(1, int(RATE * 60.0 / out.bpm / 4.0 * (out.beats * (2 if out.beats == 6 else 4))))
     beat_len = max(1, bar_len // 16)
     bar, beat, open_notes = -1, 0, {}
@@ -268,9 +270,9 @@ def decode_tokens(tokens: list[int]) -> Decoded:
             elif action == NOTE_OFF and c in open_notes:
                 out.notes.append(open_notes.pop(c) | {"sample_off": now})
             elif action == CHANGE:
-                if (p := patch_from_tokens(tokens[at : at + PATCH_TOKENS])) is not None:
+                if (p := patch_from_tokens(tokens[at : at + size], ssg)) is not None:
                     patches[c] = p
-                at += PATCH_TOKENS
+                at += size
     end = bar * bar_len + beat * beat_len
     out.notes += [x | {"sample_off": end} for x in open_notes.values()]
     out.notes.sort(key=lambda x: (x["sample_on"], x["channel"]))
@@ -280,17 +282,20 @@ def decode_tokens(tokens: list[int]) -> Decoded:
 _DECODED = "track_id string, place int, channel int, pitch int, velocity int, sample_on long, sample_off long, patch array<int>, slot int, bpm int"
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("track_id", pa.string()), ("place", pa.int32()), ("channel", pa.int32()), ("pitch", pa.int32()), ("velocity", pa.int32()), ("sample_on", pa.int64()), ("sample_off", pa.int64()), ("patch", pa.list_(pa.int32())), ("slot", pa.int32()), ("bpm", pa.int32())])
-    for b in batches:
-        for track, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            d = decode_tokens(tokens or [])
-            yield pa.RecordBatch.from_pylist([{"track_id": track, "place": k, "bpm": d.bpm, **x} for k, x in enumerate(d.notes)], schema)
+def _decoded(ssg: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("track_id", pa.string()), ("place", pa.int32()), ("channel", pa.int32()), ("pitch", pa.int32()), ("velocity", pa.int32()), ("sample_on", pa.int64()), ("sample_off", pa.int64()), ("patch", pa.list_(pa.int32())), ("slot", pa.int32()), ("bpm", pa.int32())])
+        for b in batches:
+            for track, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                d = decode_tokens(tokens or [], ssg)
+                yield pa.RecordBatch.from_pylist([{"track_id": track, "place": k, "bpm": d.bpm, **x} for k, x in enumerate(d.notes)], schema)
 
+    return run
 
-def decode(sequences: DataFrame) -> DataFrame:
-    """``track_id, tokens`` -> a row for each note. Null and empty sequences have none."""
-    return sequences.select("track_id", "tokens").mapInArrow(_decoded, _DECODED)
+
+def decode(sequences: DataFrame, ssg: bool = True) -> DataFrame:
+    """``track_id, tokens`` -> a row for each note. Null and empty sequences have none. Without ``ssg``: sequences of version 6."""
+    return sequences.select("track_id", "tokens").mapInArrow(_decoded(ssg), _DECODED)
 
 
 def patch_vector(patch: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqmill.functions import music
 from seqmill.functions.text import event_key, safe_file_name
-from seqmill.operators import align, analysis, augment, chips, corpus, library, report, score, sections, synth, tokens, tracks
+from seqmill.operators import align, analysis, augment, chips, corpus, library, report, score, score_plain, sections, synth, tokens, tracks
 from seqmill.plans.logs import EV, events
 from seqmill.plans.registry import query
 from seqmill.session import stored, table
@@ -260,10 +260,49 @@ def score_decode(spark, sf_dir):
     return score.decode(_encoded(spark, sf_dir)).groupBy("track_id", "channel", "pitch").agg(F.count("*").alias("notes"))
 
 
-@query(f"""WITH {SCORE}, o AS (SELECT track_id, count(*) FILTER (pitch IS NOT NULL) AS original FROM sc GROUP BY 1) SELECT track_id, 'v7' AS version, original, original AS kept, CASE WHEN original > 0 THEN 100.0 END AS retention FROM o""")
+@query(f"""WITH {SCORE}, o AS (SELECT track_id, count(*) FILTER (pitch IS NOT NULL) AS original FROM sc GROUP BY 1) SELECT track_id, unnest(['v6', 'v7']) AS version, original, original AS kept, CASE WHEN original > 0 THEN 100.0 END AS retention FROM o""")
 def roundtrip_fidelity(spark, sf_dir):
-    t = stored(_encoded(spark, sf_dir), "encoded")
-    return report.fidelity(notes(spark, sf_dir), {"v7": (t, score.decode(t))}).select("track_id", "version", "original", "kept", "retention")
+    t, old = stored(_encoded(spark, sf_dir), "encoded"), stored(_plain(spark, sf_dir, score_plain.V6), "encoded")
+    return report.fidelity(notes(spark, sf_dir), {"v7": (t, score.decode(t)), "v6": (old, score.decode(old, ssg=False))}).select("track_id", "version", "original", "kept", "retention")
+
+
+def _plain(spark: SparkSession, sf_dir: str, layout: score_plain.Layout) -> DataFrame:
+    n = notes(spark, sf_dir)
+    cards = headers(spark, sf_dir).select("track_id", F.lit(120).alias("bpm"), F.lit(110.0).alias("tempo"), F.lit(5).alias("key_index"), F.lit(True).alias("is_minor"), F.lit(4).alias("beats"), *[F.lit(None).cast("int").alias(c) for c in ("composer", "game", "context")], F.lit(False).alias("has_loop"))
+    roles = n.select("track_id", "channel").distinct().withColumn("role", F.lit("LEAD"))
+    voices = stored(library.voice_library(library.final_patches(n)), "voices") if layout.voice is not None else None
+    return score_plain.encode(n, cards, roles, library.drum_slots(n), layout, voices)
+
+
+def _stream(bar: float, place: str, jumps: str) -> str:
+    """Tokens of the grid by track: bars passed and places in them, from notes in their order."""
+    return f"""nu AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY sample_on, channel, event_id) AS n FROM sc),
+  ro AS (SELECT track_id, sample_on AS s, 1 AS p, n FROM nu UNION ALL SELECT track_id, sample_off, 0, n FROM nu), q AS (SELECT *, floor(s / {bar}) AS b0, {place} AS t0 FROM (SELECT *, (s - floor(s / {bar}) * {bar}) / ({bar} / 16) AS r FROM ro)),
+  g AS (SELECT track_id, s, p, n, CASE WHEN t0 >= 16 THEN b0 + 1 ELSE b0 END AS bar, CASE WHEN t0 >= 16 THEN 0 ELSE t0 END AS beat FROM q),
+  m AS (SELECT *, bar - lag(bar, 1, -1) OVER w AS bars, lag(beat) OVER w AS before FROM g WINDOW w AS (PARTITION BY track_id ORDER BY s, p, n)),
+  gr AS (SELECT track_id, sum({jumps}) AS bars, count(*) FILTER (bars > 0 OR before IS DISTINCT FROM beat) AS beats FROM m GROUP BY 1)"""
+
+
+PLAIN = "SELECT track_id, {head} AS head, CAST(bars AS BIGINT) AS bars, beats, ons, CAST({size} + fm * {fm} + (roles - fm) * {other} + bars + beats + ons * 6 + drums + noise + 1 AS BIGINT) AS n FROM gr JOIN c USING (track_id)"
+KINDS = "c AS (SELECT track_id, count(*) FILTER (pitch IS NOT NULL) AS ons, count(*) FILTER (channel = 6) AS drums, count(*) FILTER (channel = 10) AS noise, count(DISTINCT channel) FILTER (channel <> 10) AS roles, count(DISTINCT channel) FILTER (channel < 6) AS fm FROM sc GROUP BY 1)"
+
+
+def _counted(t: DataFrame, layout: score_plain.Layout, head: int) -> DataFrame:
+    rest = F.slice("tokens", head + 1, F.size("tokens"))
+    n = lambda low, k=1: F.size(F.filter(rest, lambda y: y.between(low, low + k - 1))).cast("long")
+    return t.select("track_id", F.slice("tokens", 1, head).alias("head"), n(layout.bar).alias("bars"), n(layout.beat, 16).alias("beats"), n(layout.on).alias("ons"), F.size("tokens").cast("long").alias("n"))
+
+
+@query(f"WITH {SCORE}, {KINDS}, {_stream(88200.0, 'floor(r + 0.5)', 'bars')} " + PLAIN.format(head="[1, 64, 202, 209, 620, 889, 890, 896]", size=8, fm=42, other=2))
+def score_tokens_v6(spark, sf_dir):
+    """The sixth version: header, bars, places, notes and the number of all tokens."""
+    return _counted(_plain(spark, sf_dir, score_plain.V6), score_plain.V6, 8)
+
+
+@query(f"WITH {SCORE}, {KINDS}, {_stream(44100 * 60 / 110.0 * 4, 'least(floor(r), 15)', 'least(bars, 1)')} " + PLAIN.format(head="[1, 64, 37, 44, 455]", size=5, fm=3, other=3))
+def score_tokens_v4(spark, sf_dir):
+    """The fourth version, on the grid of the tempo found."""
+    return _counted(_plain(spark, sf_dir, score_plain.V4), score_plain.V4, 5)
 
 
 WRITES = f"""{EV}, cl AS (SELECT *, CAST(sum(735 * (1 + event_id % 5)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS clock FROM ev),
