@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqmill.functions import music
 from seqmill.functions.text import event_key, safe_file_name
-from seqmill.operators import align, analysis, augment, chips, corpus, library, report, score, score_plain, sections, synth, tokens, tracks
+from seqmill.operators import align, analysis, augment, chips, corpus, diff, library, report, score, score_plain, sections, synth, tokens, tracks
 from seqmill.plans.logs import EV, events
 from seqmill.plans.registry import query
 from seqmill.session import stored, table
@@ -403,3 +403,24 @@ def repetition_penalty(spark, sf_dir):
     t = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 50).cast("int").alias("token"), (F.col("value") - 50).alias("logit"))
     recent = t.where("event_id % 3 = 0").select("user_id", "token")
     return corpus.penalised(t, "user_id", "logit", "token", recent, 1.3, 0.9).select("event_id", F.round("scaled", 6).alias("scaled"))
+
+
+@query("""WITH l(name, id) AS (VALUES ('src3', 0), ('src1', 1), ('lost', 2)) SELECT doc_id, coalesce(l.id, 64) AS id FROM documents d LEFT JOIN l ON l.name = d.source""")
+def game_lookup(spark, sf_dir):
+    """Ids of names in a curated list, by the order of the list; suffixes and case do not count."""
+    groups = spark.createDataFrame([([{"games": [{"gd3_name_hint": "SRC3 (Japan)"}, {"gd3_name_hint": "src1"}]}, {"games": [{"gd3_name_hint": "Src3"}, {"gd3_name_hint": " lost "}]}],)], library.CURATED)
+    docs = table(spark, sf_dir, "documents").withColumn("game", F.concat(F.upper("source"), F.lit(" (Rev 2)")))
+    return library.game_ids(docs, "doc_id", "game", library.curated_names(groups), 64)
+
+
+@query(f"""WITH {SCORE}, a AS (SELECT track_id, channel, event_id, pitch, sample_on, sample_off FROM sc), b AS (SELECT track_id, channel, event_id, pitch + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS pitch, sample_on + event_id % 5 * 100 AS sample_on, sample_off FROM sc WHERE event_id % 11 <> 0),
+  na AS (SELECT *, row_number() OVER (PARTITION BY track_id, channel ORDER BY sample_on, event_id) AS k FROM a), nb AS (SELECT *, row_number() OVER (PARTITION BY track_id, channel ORDER BY sample_on, event_id) AS k FROM b),
+  p AS (SELECT na.track_id, na.channel, k, nb.sample_on - na.sample_on AS d_on, (nb.sample_off - nb.sample_on) - (na.sample_off - na.sample_on) AS d_dur, nb.pitch - na.pitch AS d_pitch FROM na JOIN nb USING (track_id, channel, k)),
+  d AS (SELECT track_id, channel, round(avg(d_on), 2) AS mean_on, round(avg(d_dur), 2) AS mean_dur, max(abs(d_on)) AS max_on, list_sort(list(abs(d_on))) AS l, count(*) FILTER (d_pitch <> 0) AS pitch_mismatches FROM p GROUP BY 1, 2),
+  ca AS (SELECT track_id, channel, count(*) AS count_a FROM a GROUP BY 1, 2), cb AS (SELECT track_id, channel, count(*) AS count_b FROM b GROUP BY 1, 2)
+  SELECT track_id, channel, count_a, coalesce(count_b, 0) AS count_b, count_a - coalesce(count_b, 0) AS dropped, mean_on, mean_dur, max_on, l[least(CAST(floor(0.95 * len(l)) AS BIGINT), len(l) - 1) + 1] AS p95_on, pitch_mismatches FROM ca LEFT JOIN cb USING (track_id, channel) LEFT JOIN d USING (track_id, channel)""")
+def channel_diff(spark, sf_dir):
+    """How the channels of two versions of all tracks differ."""
+    a = notes(spark, sf_dir)
+    b = a.where("emit % 11 <> 0").withColumns({"pitch": F.col("pitch") + F.when(F.col("emit") % 9 == 0, 1).otherwise(0), "sample_on": F.col("sample_on") + F.col("emit") % 5 * 100})
+    return diff.summary(a, b).select("track_id", "channel", "count_a", "count_b", "dropped", "mean_on", "mean_dur", "max_on", "p95_on", "pitch_mismatches")

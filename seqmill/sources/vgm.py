@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -186,6 +186,13 @@ def read_events(found: DataFrame) -> DataFrame:
     return found.select("track_id", "content").mapInArrow(_events, EVENT_SCHEMA)
 
 
+def drum_writes(rows: DataFrame) -> DataFrame:
+    """``track_id, seq, sample_pos, pcm_offset, value, seek``: writes of sample bytes; ``seek`` where one does not follow the byte before."""
+    w = Window.partitionBy("track_id").orderBy("seq")
+    own = rows.where((F.col("type") == DAC) & F.col("error").isNull()).select("track_id", "seq", "sample_pos", "pcm_offset", "value")
+    return own.withColumn("seek", F.col("pcm_offset").isNotNull() & ~F.col("pcm_offset").eqNullSafe(F.lag("pcm_offset").over(w) + 1))
+
+
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []

@@ -5,6 +5,7 @@ The same rules as the batch versions; tests hold both against each other on the
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seqmill.operators.chips import Decoder
+
 
 def onset_windows(stream: DataFrame, clock: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Onsets by tumbling window; rows later than ``late`` behind the watermark no longer count."""
@@ -72,3 +75,33 @@ def register_changes(stream: DataFrame, track: str, register: str, seq: str, val
     """Rows whose value is not the register's last one; the first of each register always."""
     rows = stream.select(F.col(track).cast("long").alias("track"), F.col(register).alias("register"), F.col(seq).cast("long").alias("seq"), F.col(value).cast("long").alias("value"))
     return rows.groupBy("track", "register").applyInPandasWithState(_changed, "track long, register string, seq long, value long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+_NOTE = "track_id string, emit int, channel int, pitch int, velocity int, sample_on long, sample_off long, patch array<int>, dac_sample_id long, noise_mode int"
+
+
+def _decoded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: both chips' registers and open notes, and how many notes were put out."""
+    decoder, emit = pickle.loads(state.get[0]) if state.exists else (Decoder(), 0)
+    out = []
+    fields = ["channel", "pitch", "velocity", "sample_on", "sample_off", "patch", "dac_sample_id", "noise_mode"]
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    for kind, register, value, offset in zip(rows["type"], rows["register"], rows["value"], rows["pcm_offset"], strict=True):
+        found = list(decoder.feed(int(kind), int(register), int(value), None if pd.isna(offset) else int(offset)))
+        if decoder.ended and not found and (last := list(decoder.finish())):
+            found = last
+        for n in found:
+            out.append((key[0], emit, *(getattr(n, f) for f in fields)))
+            emit += 1
+    state.update((pickle.dumps((decoder, emit)),))
+    frame = pd.DataFrame(out, columns=["track_id", "emit", *fields])
+    yield frame.astype({"pitch": "Int32", "dac_sample_id": "Int64", "sample_off": "Int64"})
+
+
+def decode_notes(stream: DataFrame) -> DataFrame:
+    """Notes of event rows (track_id, seq, type, register, value, pcm_offset) as they close, the rest at a track's end mark.
+
+    What is kept of a track is the register file and its open notes. A batch never goes back in a track.
+    """
+    rows = stream.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("type").cast("int").alias("type"), F.col("register").cast("int").alias("register"), F.col("value").cast("int").alias("value"), F.col("pcm_offset").cast("long").alias("pcm_offset"))
+    return rows.groupBy("track_id").applyInPandasWithState(_decoded, _NOTE, "chips binary", "append", GroupStateTimeout.NoTimeout)

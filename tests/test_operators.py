@@ -140,6 +140,67 @@ def test_stream_of_windows(log):
     assert got and all(batch[k] == n for k, n in got.items()) and len(batch) - len(got) <= 6
 
 
+def test_stream_of_notes(spark, tmp_path):
+    """Both chips on state: register writes that come in four batches give the notes that one batch gives."""
+    import random
+
+    from seqmill.operators import chips
+
+    rng, rows = random.Random(4), []
+    for t in ("a", "b", "c"):
+        for k in range(400):
+            kind = rng.choice([0, 0, 0, 1, 2, 2, 3, 3, 5])
+            register, value = {0: (rng.choice([0x28, 0x28, 0xA4, 0xA0, 0xB0, 0x40, 0x4C, 0x2B]), rng.choice([0, 0xF0, 0xF1, 1, 0x22, 0x69, 200])), 1: (rng.choice([0xA4, 0xA0]), rng.randrange(256)), 2: (0, rng.choice([0x80, 0x90, 0x9F, 0x05, 0xA3, 0xB1, 0xBF, 0xE4, 0xF3, 0xFF])), 3: (0, rng.randrange(1, 900)), 5: (0x2A, 7)}[kind]
+            rows.append((t, k, kind, register, value, rng.randrange(9) if kind == 5 else None, None))
+        rows.append((t, 400, 4, 0, 0, None, None))
+    base = spark.createDataFrame(rows, "track_id string, seq int, type int, register int, value int, pcm_offset long, error string")
+    for f in range(4):
+        base.where(f"seq DIV 101 = {f}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", "1").option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = streams.decode_notes(stream).writeStream.format("memory").queryName("heard").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    columns = ["track_id", "emit", "channel", "pitch", "velocity", "sample_on", "sample_off", "patch", "dac_sample_id", "noise_mode"]
+    want = chips.decode_notes(base).select(*columns).collect()
+    assert len(want) > 60 and sorted(map(str, spark.table("heard").select(*columns).collect())) == sorted(map(str, want))
+
+
+def test_differences_as_files(spark, tmp_path):
+    from seqmill.operators import chips, diff
+
+    rows = [{"track_id": "t", "emit": k, **chips.Note(k % 2, 100 * k, 60 + k, 9, 100 * k + 50).__dict__} for k in range(10)]
+    a = spark.createDataFrame(rows, chips.NOTE_SCHEMA)
+    b = a.where("emit <> 8").withColumn("sample_on", F.when(F.col("emit") == 2, 5000).otherwise(F.col("sample_on") + 3).cast("long"))
+    diff.write(a, b, str(tmp_path))
+    pairs = spark.read.option("header", "true").csv(str(tmp_path / "pairs"))
+    assert {(r.channel, int(r.k)) for r in pairs.collect()} == {("FM1", k) for k in range(1, 5)} | {("FM2", k) for k in range(1, 6)} and "d_on_ms" in pairs.columns
+    got = {r.name: r for r in spark.read.json(str(tmp_path / "summary")).collect()}
+    assert (got["FM1"].count_a, got["FM1"].count_b, got["FM1"].dropped, got["FM1"].inserted) == (5, 4, 1, 0) and (got["FM2"].mean_on, got["FM2"].max_on, got["FM2"].reorders) == (3.0, 3, 0)
+
+
+def test_sound_files(spark, tmp_path):
+    import wave
+
+    from seqmill.sources import wav
+
+    for name, width, channels, raw in (("a", 2, 1, (1 << 14).to_bytes(2, "little") + (-(1 << 14)).to_bytes(2, "little", signed=True)), ("b", 3, 2, (1 << 22).to_bytes(3, "little") + (0).to_bytes(3, "little")), ("c", 1, 1, b"ab")):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(width)
+            f.setframerate(8000)
+            f.writeframes(raw)
+    (tmp_path / "d.wav").write_bytes(b"junk")
+    got = {r.path[-5]: r for r in wav.read(spark, str(tmp_path)).collect()}
+    assert got["a"].samples == [0.5, -0.5] and got["b"].samples == [0.25] and got["a"].rate == 8000 and got["c"].error and got["d"].error
+
+
+def test_drum_writes(spark):
+    from seqmill.sources import vgm
+
+    rows = [("t", k, 5, 0x2A, k, 0, o, None) for k, o in enumerate([4, 5, 6, 2, 3, 3])] + [("t", 9, 3, 0, 5, 0, None, None)]
+    got = vgm.drum_writes(spark.createDataFrame(rows, vgm.EVENT_SCHEMA)).orderBy("seq").collect()
+    assert [r.seek for r in got] == [True, False, False, True, False, True]
+
+
 def test_samples_and_orders(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("k"))
     a, b = ({r.k for r in corpus.sample(df.repartition(n), "k", 50).collect()} for n in (1, 7))
