@@ -19,6 +19,7 @@ from seqmill.session import stored
 from seqmill.sources import vgm
 
 COMPOSERS, GAMES = 128, 64
+DRUM_SHARE = 0.50  # a track of more drum tokens than that says little of anything else
 COMPOSER, GAME = score.UNK_COMPOSER - COMPOSERS, score.UNK_GAME - GAMES  # first token ids
 
 
@@ -69,6 +70,11 @@ def split(heads: DataFrame, game: DataFrame, unknown: int, skip: int = 5, held:
     return rest.select("track_id", "split").unionByName(marked.where("held").select("track_id", F.lit("holdout").alias("split")))
 
 
+def drum_share(tokens: Column) -> Column:
+    """Share of a sequence's tokens that are drum hits."""
+    return F.size(F.filter(tokens, lambda t: (t >= score.DAC_HIT) & (t < score.DAC_HIT + score.DAC_SLOTS))) / F.greatest(F.size(tokens), F.lit(1))
+
+
 def prepare(files: DataFrame, curated: DataFrame | None = None, augmented: bool = True, skip: int = 5, held: int = 8, share: float = 0.05, seed: int = 42) -> Prepared:
     """``files``: track_id, content. Files that cannot be read have an error and no split."""
     all_heads = stored(vgm.read_headers(files), "heads")
@@ -90,7 +96,8 @@ def prepare(files: DataFrame, curated: DataFrame | None = None, augmented: bool
     )
     roles = heard.select("track_id", F.explode("roles").alias("channel", "role"))
     hardware = score.hardware_changes(events.join(kept, "track_id", "left_semi"), heads.join(kept, "track_id", "left_semi"))
-    encoded = stored(score.encode(own, hardware, cards, roles, drums).join(splits, "track_id"), "encoded")
+    coded = stored(score.encode(own, hardware, cards, roles, drums).join(splits, "track_id").withColumn("heavy", drum_share(F.col("tokens")) > DRUM_SHARE), "encoded")
+    encoded = coded.where("NOT heavy").drop("heavy")
     profile = chips.features(events, notes, heads).select("track_id", analysis.cluster().alias("cluster"))
     train = encoded.where("split = 'train'")
     changed = augment.fan_out(train, "tokens") if augmented else train.withColumn("variant", F.lit("key+0"))
@@ -98,7 +105,8 @@ def prepare(files: DataFrame, curated: DataFrame | None = None, augmented: bool
     others = encoded.where("split <> 'train'").withColumns({"variant": F.lit("key+0"), "copy": F.lit(0)})
     columns = ["split", "track_id", "variant", "copy", "tokens"]
     sequences = repeated.select(*columns).unionByName(others.select(*columns))
-    listed = all_heads.select("track_id", "error").join(wanted, "track_id", "left").select("track_id", "split", "reason", "error")
+    heavy = coded.where("heavy").select("track_id", F.lit("drums").alias("heavy"))
+    listed = all_heads.select("track_id", "error").join(wanted, "track_id", "left").join(heavy, "track_id", "left").select("track_id", "split", F.coalesce("reason", "heavy").alias("reason"), "error")
     return Prepared(sequences, listed, names, titles, drums, notes)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqmill.functions import music
 from seqmill.functions.text import event_key, safe_file_name
-from seqmill.operators import align, analysis, augment, chips, corpus, diff, library, report, score, score_plain, sections, synth, tokens, tracks
+from seqmill.operators import align, analysis, augment, chips, corpus, diff, library, musicality, report, score, score_plain, sections, synth, tokens, tracks
 from seqmill.plans.logs import EV, events
 from seqmill.plans.registry import query
 from seqmill.session import stored, table
@@ -424,3 +424,44 @@ def channel_diff(spark, sf_dir):
     a = notes(spark, sf_dir)
     b = a.where("emit % 11 <> 0").withColumns({"pitch": F.col("pitch") + F.when(F.col("emit") % 9 == 0, 1).otherwise(0), "sample_on": F.col("sample_on") + F.col("emit") % 5 * 100})
     return diff.summary(a, b).select("track_id", "channel", "count_a", "count_b", "dropped", "mean_on", "mean_dur", "max_on", "p95_on", "pitch_mismatches")
+
+
+NAMED = """nt AS (SELECT event_id, user_id, 'user' || user_id AS track_id, event_type AS k, 'FM' || (1 + cents % 3) AS ch, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][cents % 19 % 12 + 1] || (3 + cents % 19 // 12) AS note, 48 + cents % 19 AS midi FROM ev),
+  no AS (SELECT *, midi - lag(midi) OVER w AS step, lag(note) OVER w || ' ' || note AS two, lag(note, 2) OVER w || ' ' || lag(note) OVER w || ' ' || note AS three FROM nt WHERE k IN ('click', 'purchase') WINDOW w AS (PARTITION BY user_id, ch ORDER BY event_id)),
+  pc AS (SELECT track_id, regexp_replace(note, '[0-9]+$', '') AS c, count(*) AS n FROM no GROUP BY 1, 2), en AS (SELECT track_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS bits FROM pc GROUP BY 1),
+  bi AS (SELECT track_id, count(*) FILTER (n > 1) / count(*) AS r FROM (SELECT track_id, two, count(*) AS n FROM no WHERE two IS NOT NULL GROUP BY 1, 2) GROUP BY 1), tr AS (SELECT track_id, count(*) FILTER (n > 1) / count(*) AS r FROM (SELECT track_id, three, count(*) AS n FROM no WHERE three IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+  iv AS (SELECT track_id, count(DISTINCT note) AS pitches, count(DISTINCT ch) AS channels, coalesce(count(*) FILTER (abs(step) <= 12) / nullif(count(step), 0), 0) AS melodic, coalesce(count(*) FILTER (abs(step) IN (1, 2)) / nullif(count(step), 0), 0) AS stepwise FROM no GROUP BY 1),
+  wr AS (SELECT track_id, k = 'error' AS h, sum(CASE WHEN k = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM nt), wl AS (SELECT track_id, max(n) AS longest FROM (SELECT track_id, i, count(*) FILTER (h) AS n FROM wr GROUP BY 1, 2) GROUP BY 1),
+  sh AS (SELECT track_id, count(*) FILTER (k IN ('click', 'purchase', 'view')) / count(*) AS notes, count(*) FILTER (k = 'error') / count(*) AS waits, count(*) FILTER (k = 'signup') / count(*) AS raw FROM nt GROUP BY 1),
+  mu AS (SELECT track_id, round(CAST(pitches AS DOUBLE), 3) AS unique_pitches, round(bits, 3) AS pitch_class_entropy, round(melodic, 3) AS melodic, round(stepwise, 3) AS stepwise, round(coalesce(bi.r, 0), 3) AS bigram_repeat, round(coalesce(tr.r, 0), 3) AS trigram_repeat,
+    round(CAST(channels AS DOUBLE), 3) AS channels, round(CAST(longest AS DOUBLE), 3) AS longest_waits, round(notes, 3) AS note_share, round(waits, 3) AS wait_share, round(raw, 3) AS raw_share FROM iv JOIN en USING (track_id) LEFT JOIN bi USING (track_id) LEFT JOIN tr USING (track_id) JOIN wl USING (track_id) JOIN sh USING (track_id))"""
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    c = F.col("cents")
+    name = F.concat(F.lit("FM"), (1 + c % 3).cast("string"))
+    note = music.midi_name(48 + c % 19)
+    token = (
+        F.when(F.col("event_type") == "click", F.concat_ws(":", name, F.lit("ON"), note)).when(F.col("event_type") == "purchase", F.concat_ws(":", name, F.lit("PITCH"), note))
+        .when(F.col("event_type") == "view", F.concat_ws(":", name, F.lit("OFF"))).when(F.col("event_type") == "error", F.lit("WAIT:3")).otherwise(F.lit("P0:30:01"))
+    )
+    return musicality.measures(e.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("track_id"), F.col("event_id").alias("seq"), token.alias("token")))
+
+
+@query(f"WITH {EV}, {NAMED} SELECT * FROM mu")
+def musicality_measures(spark, sf_dir):
+    """One row of measures for each track."""
+    return _measures(spark, sf_dir)
+
+
+GROUPS = "la AS (SELECT *, CASE WHEN CAST(substr(track_id, 5) AS INTEGER) % 3 = 0 THEN 'made' ELSE 'real' END AS label FROM mu), me AS (SELECT label, " + ", ".join(f"round(avg({m}), 3) AS {m}" for m in musicality.MEASURES) + " FROM la GROUP BY 1)"
+GAPS = " UNION ALL ".join(f"SELECT '{m}' AS measure, r.{m} AS \"real\", o.{m} AS other FROM (SELECT * FROM me WHERE label = 'real') r, (SELECT * FROM me WHERE label = 'made') o" for m in musicality.MEASURES)
+
+
+@query(f"""WITH {EV}, {NAMED}, {GROUPS}, ga AS ({GAPS}) SELECT measure, "real", other, round(other - "real", 3) AS gap, CASE measure WHEN 'pitch_class_entropy' THEN other > 0.8 * "real" WHEN 'melodic' THEN other > 0.6 WHEN 'stepwise' THEN other > 0.15 WHEN 'bigram_repeat' THEN other > 0.3 * "real" WHEN 'channels' THEN other >= 2 END AS fine FROM ga""")
+def musicality_verdict(spark, sf_dir):
+    """Means of two groups of tracks, their gap, and whether the second is fine."""
+    rows = _measures(spark, sf_dir)
+    label = F.when(F.substring("track_id", 5, 10).cast("int") % 3 == 0, "made").otherwise("real")
+    return musicality.gap(musicality.means(rows.withColumn("label", label), "label"), "label", "real", "made")
