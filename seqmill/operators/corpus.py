@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from seqmill.functions.text import hash_bucket, normal_name, split_names
 
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
-BROADCAST = 200_000  # rows up to which a dimension is sent to every task
+BROADCAST, BROADCAST_BYTES = 200_000, 32 << 20  # rows and bytes up to which a dimension is sent to every task
 
 
-def small(dim: DataFrame, most: int = BROADCAST) -> DataFrame:
-    """A dimension to join with: broadcast if it is counted small, else left to a shuffled join."""
-    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
+def small(dim: DataFrame, most: int = BROADCAST, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A dimension to join with: broadcast if its rows and their bytes are counted small, else left to a shuffled join."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns]))))
+    seen = dim.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dim) if seen["n"] <= most and seen["bytes"] <= most_bytes else dim
 
 
 def first_wins(df: DataFrame, key: Column, order: list[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def drum_share(tokens: Column) -> Column:
 
 def prepare(files: DataFrame, curated: DataFrame | None = None, augmented: bool = True, skip: int = 5, held: int = 8, share: float = 0.05, seed: int = 42) -> Prepared:
     """``files``: track_id, content. Files that cannot be read have an error and no split."""
-    all_heads = stored(vgm.read_headers(files), "heads")
+    all_heads = stored(vgm.read_headers(files, notes=False), "heads")
     heads = all_heads.where("error IS NULL")
     events = stored(vgm.read_events(files).where("error IS NULL"), "events")
     notes = stored(score.split_notes(score.reclassify(chips.decode_notes(events))), "notes")

@@ -193,26 +193,32 @@ def drum_writes(rows: DataFrame) -> DataFrame:
     return own.withColumn("seek", F.col("pcm_offset").isNotNull() & ~F.col("pcm_offset").eqNullSafe(F.lag("pcm_offset").over(w) + 1))
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for track, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            row: dict = {"track_id": track}
-            try:
-                data = gunzip(content.as_py() or b"")
-                row |= header(data)
-                row |= {"has_fm_notes": has_notes(data, row["data"]), "bytes": len(data)} | (tags(data, row["gd3"]) or {})
-            except (ValueError, zlib.error, struct.error) as e:
-                row["error"] = f"{type(e).__name__}: {e}"
-            rows.append(row)
+def _heads(notes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("track_id", pa.string()), *((f, pa.int64()) for f in FIELDS), ("version_string", pa.string()), ("seconds", pa.float64()), ("has_fm_notes", pa.bool_()), ("bytes", pa.int64()), *((t, pa.string()) for t in TAGS), ("error", pa.string())])
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def read_headers(found: DataFrame) -> DataFrame:
-    """A row for each file: header, tags (empty ones null), whether it has FM notes, ``error``."""
+        for b in batches:
+            rows = []
+            for track, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                row: dict = {"track_id": track}
+                try:
+                    data = gunzip(content.as_py() or b"")
+                    row |= header(data)
+                    row |= {"has_fm_notes": has_notes(data, row["data"]) if notes else None, "bytes": len(data)} | (tags(data, row["gd3"]) or {})
+                except (ValueError, zlib.error, struct.error) as e:
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
+def read_headers(found: DataFrame, notes: bool = True) -> DataFrame:
+    """A row for each file: header, tags (empty ones null), whether it has FM notes, ``error``.
+
+    Without ``notes`` the commands are not looked at, and ``has_fm_notes`` is null.
+    """
     schema = f"track_id string, {HEADER_SCHEMA}, has_fm_notes boolean, bytes long, " + ", ".join(f"{t} string" for t in TAGS) + ", error string"
-    heads = found.select("track_id", "content").mapInArrow(_heads, schema)
+    heads = found.select("track_id", "content").mapInArrow(_heads(notes), schema)
     empty = {t: F.nullif(F.trim(t), F.lit("")) for t in TAGS}
     zero = {f: F.nullif(f, F.lit(0)) for f in ("gd3", "loop", "ym2413_clock")}
     return heads.withColumns(empty | zero)
