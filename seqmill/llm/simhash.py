@@ -37,6 +37,7 @@ BUDGET = 4
 BITS = 64
 TILE = 1 << 16  # distinct fingerprints that one task joins with themselves or with as many others
 AIM = 1 << 11  # distinct fingerprints that an even group should hold
+HOT_SHARE, SALTS = 100, 64  # a fingerprint with a hundredth of all rows (there are a hundred at most) is joined in so many parts
 LEAF = 1 << 14  # node pairs of at most so many word pairs are compared directly
 FRONT = 1 << 15  # node pairs that go down together
 
@@ -325,12 +326,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`")).alias("fp")), "fingerprints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     roots = components(link_forest(prints, budget))
     placed = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(labels, "fp")
+    # fingerprints of many of all rows, such as those of mass copies, are joined in parts
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    hot = [r["fp"] for r in prints.where(F.col("n") >= max(2.0, total / HOT_SHARE)).select("fp").collect()]
+    part = F.when(F.col("fp").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("fp").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn("part", part).join(labels.withColumn("part", F.explode(parts)), ["fp", "part"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
