@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 200_000  # pieces whose ids a worker keeps
+KEPT = 400_000  # pieces whose ids a worker keeps
 PAIRS = 400_000  # entries of the pair table that a worker keeps
 #: Fixed values of the vocabulary's format: white space and the pattern that splits texts.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
