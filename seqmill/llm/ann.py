@@ -41,7 +41,7 @@ ORDERINGS = 7
 RECALL = 0.93  # share of true neighbours that the reach is chosen for
 TRIED = 256  # queries that the reach is measured with
 BLOCK = 1 << 15  # rows of a block at most
-LEAST_BLOCKS = 64
+LEAST_BLOCKS = 32
 ASKED = 1 << 14  # queries that a task compares with a block, about
 DIMS, DEPTH = 4, 10  # coordinates kept and bits of each
 SAMPLE = 20_000  # vectors that the quantiles are taken from
