@@ -174,11 +174,12 @@ class _Search:
                     return True
         return False
 
-    def options(self, fit_first: bool) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+    def options(self, fit_first: bool, few: int = 1) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
         """Windows around the largest piece left and how often to lay them: as often as can be, half as often, ..., once.
 
         Fillings come from the enumeration a few at a time, and of these the one that leaves least first;
-        as all come in the end, and each is tried once, the search misses nothing.
+        as all come in the end, and each is tried once, the search misses nothing. Of those that leave as
+        much, those of few pieces come first, or with ``few`` -1 those of many.
         """
         top = self.pieces.lengths[-1]
 
@@ -189,7 +190,7 @@ class _Search:
             while True:
                 some = list(islice(found, TOGETHER))
                 self.pieces.take(own, -1)
-                yield from (f for _, f in sorted(some, key=lambda x: (x[0], sum(x[1].values()), sorted(x[1].items(), reverse=True))))
+                yield from (f for _, f in sorted(some, key=lambda x: (x[0], few * sum(x[1].values()), sorted(x[1].items(), reverse=True))))
                 if not some:
                     return
                 self.pieces.take(own, 1)
@@ -229,21 +230,38 @@ class _Search:
             self.pieces.take(*out[-1])
         return out
 
+    def dive(self, few: int) -> list[Pattern] | None:
+        """A packing that always takes the first option, which leaves least; None if the steps do not suffice."""
+        out: list[Pattern] = []
+        try:
+            while self.pieces.lengths:
+                out.append(next(self.options(False, few)))
+                self.pieces.take(*out[-1])
+        except _Spent:
+            return None
+        return out
+
     def run(self) -> tuple[list[Pattern], int]:
         """Iterative broadening: depth first with two options a level, then four, and so on, until none is left out.
 
         Each breadth has two passes: with what best fit would lay tried first, and with what leaves least first.
         """
         bound, steps = lower_bound(self.pieces.array, self.window), self.steps
+        size = lambda patterns: sum(t for _, t in patterns)
         best = self.best_fit()
+        for few in (1, -1):  # two more packings to begin with, for a quarter of the steps each at most
+            if size(best) > bound:
+                self.steps = None if steps is None else self.looked + steps // 4
+                self.pieces = _Pieces(self.histogram, self.window)
+                best = min(best, self.dive(few) or best, key=size)
         breadth, limit = 2, FIRST
-        while sum(t for _, t in best) > bound and (steps is None or self.looked < steps):
+        while size(best) > bound and (steps is None or self.looked < steps):
             for fit_first in (True, False):
                 self.steps = self.looked + limit if steps is None else min(steps, self.looked + limit)
                 self.pieces = _Pieces(self.histogram, self.window)
                 best, whole = self.broad(best, bound, breadth, fit_first)
                 if whole:
-                    return best, sum(t for _, t in best)
+                    return best, size(best)
             breadth, limit = 2 * breadth, 4 * limit
         return best, bound
 
