@@ -153,3 +153,17 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 4)
     with pytest.raises(ValueError):
         langid.learn(docs, host="source")
+
+
+def test_query_over_pages(spark):
+    """Every page is identified, and what its markup or path says is found in nearly all of those that say something."""
+    import re
+
+    from seqmill.llm.queries import language_of_pages
+
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r for r in language_of_pages(spark, sf).collect()}
+    assert got.keys() == pages.keys() and all(0 <= r.posterior <= 1 for r in got.values())
+    said = {i: m[1].lower() for i, r in pages.items() if (m := re.search(r"""<html[^>]*\blang\s*=\s*["']?([a-zA-Z]{2})""", r.html or ""))}
+    assert len(said) > 100 and sum(got[i].language == lang for i, lang in said.items()) / len(said) > 0.9
