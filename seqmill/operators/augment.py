@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,18 +50,32 @@ def shift_velocity(tokens: Column, by: Column | int) -> Column:
     return F.transform(tokens, lambda t: F.when(_within(t, VELOCITY), F.greatest(F.lit(VELOCITY[0]), F.least(F.lit(VELOCITY[0] + VELOCITY[1] - 1), t + by))).otherwise(t).cast("int"))
 
 
+#: Variants of a sequence: name, what is changed, by how much.
+VARIANTS = (
+    [(f"key{s:+d}", "key", float(s)) for s in SHIFTS] + [(f"tempo{f}", "tempo", f) for f in TEMPI] + [(f"velocity{v:+d}", "velocity", float(v)) for v in VELOCITIES]
+)
+
+
+def _changed(tokens: Column, kind: Column, by: Column) -> Column:
+    return F.when(kind == "key", transpose(tokens, by.cast("int"))).when(kind == "tempo", shift_tempo(tokens, by)).otherwise(shift_velocity(tokens, by.cast("int")))
+
+
 def fan_out(df: DataFrame, tokens: str) -> DataFrame:
     """Eighteen variants of a sequence, each changed in one way: keys (0 included), tempi, velocities.
 
-    A row is first multiplied by what is done to it, so one sequence is changed at a time.
+    What each does to every token that it can change is worked out once, as a table; a row is then
+    multiplied by the tables, which are constants, and each token looked up. So one sequence is changed
+    at a time, and each token costs a look into an array.
     """
-    how = [(f"key{s:+d}", "key", float(s)) for s in SHIFTS] + [(f"tempo{f}", "tempo", f) for f in TEMPI] + [(f"velocity{v:+d}", "velocity", float(v)) for v in VELOCITIES]
-    variants = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(kind).alias("kind"), F.lit(by).alias("by")) for name, kind, by in how])
-    how_col, t = fresh("how")[0], F.col(f"`{tokens}`")
+    ids = VELOCITY[0] + VELOCITY[1]  # no variant changes the tokens from here on
+    all_ids = df.sparkSession.range(1).select(F.sequence(F.lit(0), F.lit(ids - 1)).alias("t"))
+    how = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(k).alias("kind"), F.lit(by).alias("by")) for n, k, by in VARIANTS]))
+    tables = all_ids.withColumn("x", how).select("x.variant", _changed(F.col("t"), F.col("x.kind"), F.col("x.by")).alias("table")).collect()
+    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in tables])), "array<struct<variant: string, table: array<int>>>")  # folds to a constant
+    (own,) = fresh("how")
     rest = [F.col(f"`{c}`") for c in df.columns if c != tokens]
-    kind, by = F.col(f"{how_col}.kind"), F.col(f"{how_col}.by")
-    changed = F.when(kind == "key", transpose(t, by.cast("int"))).when(kind == "tempo", shift_tempo(t, by)).otherwise(shift_velocity(t, by.cast("int")))
-    return df.withColumn(how_col, F.explode(variants)).select(*rest, F.col(f"{how_col}.variant").alias("variant"), changed.alias(tokens))
+    looked_up = F.transform(F.col(f"`{tokens}`"), lambda t: F.coalesce(F.get(F.col(f"{own}.table"), t), t))
+    return df.withColumn(own, F.explode(listed)).select(*rest, F.col(f"{own}.variant").alias("variant"), looked_up.alias(tokens))
 
 
 def transpose_checked(df: DataFrame, notes: str, shifts: tuple[int, ...] = SHIFTS, low: int = 21, high: int = 108) -> DataFrame:
