@@ -60,97 +60,102 @@ def tags(data: bytes, at: int) -> dict | None:
     return dict(zip(TAGS, parts + [""] * (len(TAGS) - len(parts)), strict=True))
 
 
-def _length(op: int) -> int:
-    """Bytes of a command that says nothing of interest, itself included."""
-    if 0x30 <= op <= 0x3F or op == 0x4F:
-        return 2
-    if 0x40 <= op <= 0x4E or op == 0x51 or 0x54 <= op <= 0x5F or 0xA0 <= op <= 0xBF:
-        return 3
-    if 0xC0 <= op <= 0xDF:
-        return 4
-    return 5 if op >= 0xE1 else 1
+#: Fixed values of the format: bytes of the commands from one to another, themselves included; all others have one.
+SPANS = ((0x30, 0x3F, 2), (0x40, 0x4E, 3), (0x4F, 0x50, 2), (0x51, 0x5F, 3), (0x61, 0x61, 3), (0x67, 0x67, 7), (0xA0, 0xBF, 3), (0xC0, 0xDF, 4), (0xE0, 0xFF, 5))
+SIZES = [next((size for low, high, size in SPANS if low <= op <= high), 1) for op in range(256)]
+FRAME, PAL_FRAME = 735, 882
 
 
-def events(data: bytes, start: int) -> tuple[list[tuple], bytes]:
-    """Rows (type, register, value, sample_pos, pcm_offset) and the last PCM bank. Waits in a row are one."""
-    rows: list[tuple] = []
-    bank, cursor, clock, at, n = b"", 0, 0, start, len(data)
-
-    def wait(k: int) -> None:
-        nonlocal clock
-        if not k:
-            return
-        if rows and rows[-1][0] == WAIT:
-            last = rows[-1]
-            rows[-1] = (WAIT, 0, last[2] + k, last[3], -1)
-        else:
-            rows.append((WAIT, 0, k, clock, -1))
-        clock += k
+class _Log:
+    """What the commands so far have put out, and the state that they work on."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.rows, self.bank, self.cursor, self.clock, self.ended = data, [], b"", 0, 0, False
+
+    def wait(self, samples: int) -> None:
+        """Waits in a row are one."""
+        if samples and self.rows and self.rows[-1][0] == WAIT:
+            _, _, before, begun, _ = self.rows.pop()
+            self.rows.append((WAIT, 0, before + samples, begun, -1))
+        elif samples:
+            self.rows.append((WAIT, 0, samples, self.clock, -1))
+        self.clock += samples
+
+    def number(self, at: int) -> int:
+        return int.from_bytes(self.data[at : at + 4], "little")
+
+    def block_size(self, at: int) -> int:
+        return self.number(at + 3) & 0x7FFFFFFF
+
+    def fm(self, op: int, at: int) -> None:
+        self.rows.append((PORT1 if op & 1 else PORT0, self.data[at + 1], self.data[at + 2], self.clock, -1))
+
+    def psg(self, op: int, at: int) -> None:
+        self.rows.append((PSG, 0, self.data[at + 1], self.clock, -1))
+
+    def long_wait(self, op: int, at: int) -> None:
+        self.wait(int.from_bytes(self.data[at + 1 : at + 3], "little"))
+
+    def frame(self, op: int, at: int) -> None:
+        self.wait(PAL_FRAME if op & 1 else FRAME)
+
+    def short_wait(self, op: int, at: int) -> None:
+        self.wait((op & 15) + 1)
 
-    while at < n:
+    def sample(self, op: int, at: int) -> None:
+        if self.cursor < len(self.bank):
+            self.rows.append((DAC, 0x2A, self.bank[self.cursor], self.clock, self.cursor))
+            self.cursor += 1
+        self.wait(op & 15)
+
+    def block(self, op: int, at: int) -> int:
+        """A block of data, of which only the kind of sample banks counts; its bytes follow the command."""
+        size = self.block_size(at)
+        if self.data[at + 2] == 0:
+            self.bank = self.data[at + 7 : at + 7 + size]
+        return size
+
+    def seek(self, op: int, at: int) -> None:
+        self.cursor = self.number(at + 1)
+
+    def end(self, op: int, at: int) -> None:
+        self.rows.append((END, 0, 0, self.clock, -1))
+        self.ended = True
+
+
+#: What a command does; None: nothing that counts here.
+HANDLERS: list = [None] * 256
+for _ops, _handler in (
+    ((0x52, 0x53), _Log.fm), ((0x50,), _Log.psg), ((0x61,), _Log.long_wait), ((0x62, 0x63), _Log.frame), ((0x66,), _Log.end), ((0x67,), _Log.block), (range(0x70, 0x80), _Log.short_wait), (range(0x80, 0x90), _Log.sample), ((0xE0,), _Log.seek),
+):
+    for _op in _ops:
+        HANDLERS[_op] = _handler
+
+
+def events(data: bytes, start: int) -> tuple[list[tuple], bytes]:
+    """Rows (type, register, value, sample_pos, pcm_offset) and the last PCM bank. A cut command ends the log."""
+    log, at, n = _Log(data), start, len(data)
+    while at < n and not log.ended:
         op = data[at]
-        if op in (0x52, 0x53):
-            if at + 3 > n:
-                break
-            rows.append((PORT0 if op == 0x52 else PORT1, data[at + 1], data[at + 2], clock, -1))
-            at += 3
-        elif op == 0x50:
-            if at + 2 > n:
-                break
-            rows.append((PSG, 0, data[at + 1], clock, -1))
-            at += 2
-        elif op == 0x61:
-            if at + 3 > n:
-                break
-            wait(data[at + 1] | data[at + 2] << 8)
-            at += 3
-        elif op in (0x62, 0x63):
-            wait(735 if op == 0x62 else 882)
-            at += 1
-        elif op == 0x66:
-            rows.append((END, 0, 0, clock, -1))
+        size, handler = SIZES[op], HANDLERS[op]
+        if at + size > n:
             break
-        elif 0x70 <= op <= 0x7F:
-            wait((op & 15) + 1)
-            at += 1
-        elif 0x80 <= op <= 0x8F:
-            if cursor < len(bank):
-                rows.append((DAC, 0x2A, bank[cursor], clock, cursor))
-                cursor += 1
-            wait(op & 15)
-            at += 1
-        elif op == 0x67:
-            if at + 7 > n:
-                break
-            size = struct.unpack_from("<I", data, at + 3)[0] & 0x7FFFFFFF
-            if data[at + 2] == 0:
-                bank = data[at + 7 : at + 7 + size]
-            at += 7 + size
-        elif op == 0xE0:
-            if at + 5 > n:
-                break
-            cursor = struct.unpack_from("<I", data, at + 1)[0]
-            at += 5
-        else:
-            at += _length(op)
-    return rows, bank
+        if handler is not None:
+            size += handler(log, op, at) or 0
+        at += size
+    return log.rows, log.bank
 
 
 def has_notes(data: bytes, start: int) -> bool:
-    """Is any FM channel keyed on? Stops at the first."""
-    at, n = start, len(data)
-    while at < n:
-        op = data[at]
-        if op == 0x52 and at + 2 < n:
-            if data[at + 1] == 0x28 and data[at + 2] & 0xF0 and data[at + 2] & 3 != 3:
-                return True
-            at += 3
-        elif op == 0x66:
-            return False
-        elif op == 0x67 and at + 7 <= n:
-            at += 7 + (struct.unpack_from("<I", data, at + 3)[0] & 0x7FFFFFFF)
+    """Is any FM channel keyed on? Stops at the first. Of a block whose head is cut only the first byte is skipped."""
+    log, at, n = _Log(data), start, len(data)
+    while at < n and (op := data[at]) != 0x66:
+        if op == 0x52 and at + 2 < n and data[at + 1] == 0x28 and data[at + 2] & 0xF0 and data[at + 2] & 3 != 3:
+            return True
+        if op == 0x67:
+            at += 7 + log.block_size(at) if at + 7 <= n else 1
         else:
-            at += 3 if op in (0x52, 0x53, 0x61) else 2 if op == 0x50 else 5 if op == 0xE0 else _length(op)
+            at += SIZES[op]
     return False
 
 
