@@ -260,7 +260,7 @@ def score_decode(spark, sf_dir):
     return score.decode(_encoded(spark, sf_dir)).groupBy("track_id", "channel", "pitch").agg(F.count("*").alias("notes"))
 
 
-@query(f"""WITH {SCORE}, o AS (SELECT track_id, count(*) FILTER (pitch IS NOT NULL) AS original FROM sc GROUP BY 1) SELECT track_id, unnest(['v6', 'v7']) AS version, original, original AS kept, CASE WHEN original > 0 THEN 100.0 END AS retention FROM o""")
+@query(f"""WITH {SCORE}, o AS (SELECT track_id, count(*) FILTER (pitch IS NOT NULL) AS original FROM sc GROUP BY 1) SELECT track_id, unnest(['v6', 'v7']) AS version, original, original AS kept, CASE WHEN original > 0 THEN CAST(100 AS DOUBLE) END AS retention FROM o""")
 def roundtrip_fidelity(spark, sf_dir):
     t, old = stored(_encoded(spark, sf_dir), "encoded"), stored(_plain(spark, sf_dir, score_plain.V6), "encoded")
     return report.fidelity(notes(spark, sf_dir), {"v7": (t, score.decode(t)), "v6": (old, score.decode(old, ssg=False))}).select("track_id", "version", "original", "kept", "retention")
@@ -349,7 +349,7 @@ def feature_report(spark, sf_dir):
     greatest(count(DISTINCT (coalesce(voice, 0), coalesce(pan, 192), coalesce(ssg, 0))) FILTER (k = 'click') - 1, 0) AS more, coalesce(sum(span) FILTER (k = 'signup' AND cents % 2 = 1), 0) AS lfo, coalesce(sum(span) FILTER (k = 'purchase' AND cents % 3 = 0), 0) AS ch3 FROM sp GROUP BY 1),
   f AS (SELECT track_id, round(pans / (total / 44100), 6) AS pan_rate, CAST(max_fb AS INTEGER) AS max_fb, round(more / (total / 44100), 6) AS ic_rate, CASE WHEN ssg THEN 1 ELSE 0 END AS ssg_eg, round(lfo / total, 6) AS lfo_frac, round(ch3 / total, 6) AS ch3_frac,
     pans / (total / 44100) > {analysis.LIMITS["pan_rate"]} OR lfo / total > {analysis.LIMITS["lfo_frac"]} OR ch3 / total > {analysis.LIMITS["ch3_frac"]} AS five, more / (total / 44100) > {analysis.LIMITS["ic_rate"]} OR ssg AS four FROM a)
-  SELECT track_id, pan_rate, max_fb, ic_rate, 0.0 AS dac_frac, 0.0 AS psg_frac, ssg_eg, lfo_frac, ch3_frac, CASE WHEN five THEN 5 WHEN four THEN 4 ELSE 1 END AS cluster FROM f""")
+  SELECT track_id, pan_rate, max_fb, ic_rate, CAST(0 AS DOUBLE) AS dac_frac, CAST(0 AS DOUBLE) AS psg_frac, ssg_eg, lfo_frac, ch3_frac, CASE WHEN five THEN 5 WHEN four THEN 4 ELSE 1 END AS cluster FROM f""")
 def log_features(spark, sf_dir):
     """Eight hardware features of each log, and its profile."""
     files = stored(_writes(spark, sf_dir), "logs")
