@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.llm import ann, bpe, chat, langid, media, packing, simhash, tokencount, toxicity, warc
+from seqmill.llm import ann, audit, bpe, chat, langid, media, packing, simhash, tokencount, toxicity, warc
 from seqmill.llm.sql import ORACLES
 from seqmill.session import ship, small_batches, table
 
@@ -81,13 +81,17 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_chat_formatting, op2_telephony_audio, op3_hilbert_ann, op4_toxicity, op5_warc, op6_best_fit_packing, op7_language_id, language_of_pages, op8_token_counts, op9_bpe, op10_simhash_neardup, pipeline]
+_ALL = [op1_chat_formatting, op2_telephony_audio, op3_hilbert_ann, op4_toxicity, op5_warc, op6_best_fit_packing, op7_language_id, language_of_pages, op8_token_counts, op9_bpe, op10_simhash_neardup, op13_filter_audit, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,5 +40,52 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 FROM c
 """
 
+#: Filter audit: masks by document, then every step of every order against the cells.
+AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), f(letter, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS filter FROM o, range(1, 6) r(k)
+), t AS (
+  SELECT s.filter_order, s.step, s.filter, max(CASE WHEN f.letter = s.filter THEN f.bit END) AS bit,
+    sum(CASE WHEN instr(s.filter_order, f.letter) < s.step THEN f.bit ELSE 0 END) AS earlier
+  FROM s, f GROUP BY ALL
+), x AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN CAST(mask AS BIGINT) & CAST(earlier + bit AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(earlier AS BIGINT) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(earlier AS BIGINT) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(earlier AS BIGINT) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND CAST(mask AS BIGINT) & CAST(earlier AS BIGINT) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, t GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM x
+"""
+
 #: Nearest neighbours have no exact SQL here: the search is approximate. The rest is not SQL either.
-ORACLES: dict[str, str] = {"op5_warc": WARC, "op1_chat_formatting": CHAT}
+ORACLES: dict[str, str] = {"op5_warc": WARC, "op1_chat_formatting": CHAT, "op13_filter_audit": AUDIT}
