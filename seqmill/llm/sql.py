@@ -87,5 +87,45 @@ SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(remo
 FROM x
 """
 
+#: Runs: pairs of equal words at each distance, islands of them, and the smallest period of each stretch.
+RUNS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM documents
+), c AS (
+  SELECT doc_id, words, len(words) AS n, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda crc, byte:
+    list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS h
+  FROM d
+), a AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, h // 10 AS g FROM c
+), i AS (
+  SELECT doc_id, n, unnest(range(n)) AS i, a, 1 + (n - a) // (3 + g % 8) AS p, words FROM a
+), w AS (
+  SELECT doc_id, n, i, CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % p + 1] END AS word FROM i
+), pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS q FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length
+), found AS (
+  SELECT doc_id, count(*) AS n_runs, max({'length': length, 's': -start, 'q': -q}) AS longest,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines
+  FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-longest.s AS BIGINT) AS start,
+  CAST(longest.length AS BIGINT) AS length, CAST(-longest.q AS BIGINT) AS period,
+  CAST(1000 * longest.length // -longest.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 #: Nearest neighbours have no exact SQL here: the search is approximate. The rest is not SQL either.
-ORACLES: dict[str, str] = {"op5_warc": WARC, "op1_chat_formatting": CHAT, "op13_filter_audit": AUDIT}
+ORACLES: dict[str, str] = {"op5_warc": WARC, "op1_chat_formatting": CHAT, "op12_periodic_runs": RUNS, "op13_filter_audit": AUDIT}
