@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.llm import ann, audit, bpe, chat, langid, media, packing, periodic, simhash, tokencount, toxicity, warc
+from seqmill.llm import ann, audit, bpe, chat, langid, media, nbsvm, packing, periodic, simhash, tokencount, toxicity, warc
 from seqmill.llm.sql import ORACLES
 from seqmill.session import ship, small_batches, table
 
@@ -81,6 +81,11 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.repetitions(table(spark, sf_dir, "documents"), alter=periodic.loop_tail))
 
@@ -95,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = [op1_chat_formatting, op2_telephony_audio, op3_hilbert_ann, op4_toxicity, op5_warc, op6_best_fit_packing, op7_language_id, language_of_pages, op8_token_counts, op9_bpe, op10_simhash_neardup, op12_periodic_runs, op13_filter_audit, pipeline]
+_ALL = [op1_chat_formatting, op2_telephony_audio, op3_hilbert_ann, op4_toxicity, op5_warc, op6_best_fit_packing, op7_language_id, language_of_pages, op8_token_counts, op9_bpe, op10_simhash_neardup, op11_nb_svm_quality, op12_periodic_runs, op13_filter_audit, pipeline]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
