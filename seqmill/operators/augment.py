@@ -14,7 +14,8 @@ from seqmill.session import fresh, stored
 WAIT_BINS = wait_bins()
 #: Fixed values of the token layout: first id and number of ids.
 TEMPO, KEY, PITCH, VELOCITY = (4, 181), (185, 24), (379, 88), (467, 16)
-SHIFTS = (-5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6)
+SHIFTS = tuple(range(12))  # of the variants: up by less than an octave
+BOTH_WAYS = (-5, -4, -3, -2, -1, 0, 1, 2, 3, 4, 5, 6)  # of note lists that are held to a range
 TEMPI = (0.85, 0.92, 1.08, 1.15)
 VELOCITIES = (-1, 1)
 REPEATS = {1: 1, 2: 5, 3: 1, 4: 1, 5: 10}
@@ -78,7 +79,7 @@ def fan_out(df: DataFrame, tokens: str) -> DataFrame:
     return df.withColumn(own, F.explode(listed)).select(*rest, F.col(f"{own}.variant").alias("variant"), looked_up.alias(tokens))
 
 
-def transpose_checked(df: DataFrame, notes: str, shifts: tuple[int, ...] = SHIFTS, low: int = 21, high: int = 108) -> DataFrame:
+def transpose_checked(df: DataFrame, notes: str, shifts: tuple[int, ...] = BOTH_WAYS, low: int = 21, high: int = 108) -> DataFrame:
     """Every shift of a note list whose notes all stay in range."""
     moved = df.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn(notes, F.transform(notes, lambda n: n + F.col("shift")))
     return moved.where(F.forall(notes, lambda n: n.between(low, high)))

@@ -260,7 +260,7 @@ def velocity_augment(spark, sf_dir):
     return _digest(_ids(spark, sf_dir).select("doc_id", F.lit("velocity+1").alias("variant"), augment.shift_velocity(F.col("ids"), 1).alias("ids")), "variant")
 
 
-@query(_hashed(" UNION ALL ".join((_augment_sql(T_KEY, augment.SHIFTS, "key{:+d}"), _augment_sql(T_TEMPO, augment.TEMPI, "tempo{}"), _augment_sql(T_VEL, augment.VELOCITIES, "velocity{:+d}")))))
+@query(_hashed(" UNION ALL ".join((_augment_sql(T_KEY, (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11), "key{:+d}"), _augment_sql(T_TEMPO, (0.85, 0.92, 1.08, 1.15), "tempo{}"), _augment_sql(T_VEL, (-1, 1), "velocity{:+d}")))))
 def additive_fanout(spark, sf_dir):
     return _digest(augment.fan_out(_ids(spark, sf_dir), "ids"), "variant")
 

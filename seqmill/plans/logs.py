@@ -172,14 +172,15 @@ def pitch_class_hist(spark, sf_dir):
     return _pitch_classes(spark, sf_dir)
 
 
-def _profile_rows() -> str:
-    return ", ".join(f"({root}, {minor}, {(p + root) % 12}, {v})" for root in range(12) for minor, profile in enumerate(analysis.PROFILES) for p, v in enumerate(profile))
+#: The profiles, major and minor, written out: the SQL takes nothing from the operator.
+PROFILES = """pf AS (SELECT 0 AS minor, [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88] AS v UNION ALL SELECT 1, [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]),
+  pr AS (SELECT root, minor, (p + root) % 12 AS pc, CAST(v[p + 1] AS DOUBLE) AS v FROM pf, range(12) r(root), range(12) q(p))"""
 
 
-@query(f"""WITH {EV}, {PCH}, pr(root, minor, pc, v) AS (VALUES {_profile_rows()}), t AS (SELECT DISTINCT event_type FROM ev),
+@query(f"""WITH {EV}, {PCH}, {PROFILES}, t AS (SELECT DISTINCT event_type FROM ev),
   k AS (SELECT t.event_type, root, minor, corr(coalesce(weight, 0), v) AS r FROM t CROSS JOIN pr LEFT JOIN pc ON pc.event_type = t.event_type AND pc.pc = pr.pc GROUP BY 1, 2, 3),
   s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(r, 9) DESC, root, minor) AS n FROM k)
-  SELECT event_type, root AS key_index, minor = 1 AS is_minor, round(r, 6) AS score FROM s WHERE n = 1""")
+  SELECT event_type, CAST(root AS INTEGER) AS key_index, minor = 1 AS is_minor, round(r, 6) AS score FROM s WHERE n = 1""")
 def key_profile_corr(spark, sf_dir):
     return analysis.key(_pitch_classes(spark, sf_dir), "event_type")
 
@@ -315,7 +316,7 @@ def interval_probe(spark, sf_dir):
 BINS = augment.WAIT_BINS
 
 
-@query(f"""WITH {EV}, bl AS (SELECT {BINS} AS l), q AS (SELECT event_id, cents, l, list_position(list_transform(l, lambda b: b >= cents), true) AS p FROM ev, bl),
+@query(f"""WITH {EV}, bl AS (SELECT list_sort(list_distinct(list_transform(range(64), lambda k: CAST(round(exp(ln(3000000) * k / 63)) AS BIGINT)))) AS l), q AS (SELECT event_id, cents, l, list_position(list_transform(l, lambda b: b >= cents), true) AS p FROM ev, bl),
   u AS (SELECT *, CASE WHEN p IS NULL OR p = 0 THEN len(l) ELSE p END AS up FROM q),
   n AS (SELECT event_id, l, CASE WHEN up > 1 AND cents - l[up - 1] < l[up] - cents THEN up - 2 ELSE up - 1 END AS bin FROM u)
   SELECT event_id, CAST(bin AS INTEGER) AS bin, CAST(l[bin + 1] AS INTEGER) AS wait FROM n""")

@@ -348,7 +348,7 @@ def feature_report(spark, sf_dir):
   a AS (SELECT track_id, max(total) AS total, count(*) FILTER (k = 'error' AND cents % 4 <> 3) AS pans, coalesce(max(cents % 8) FILTER (k = 'error'), 0) AS max_fb, bool_or(k = 'purchase' AND cents % 5 = 0) AS ssg,
     greatest(count(DISTINCT (coalesce(voice, 0), coalesce(pan, 192), coalesce(ssg, 0))) FILTER (k = 'click') - 1, 0) AS more, coalesce(sum(span) FILTER (k = 'signup' AND cents % 2 = 1), 0) AS lfo, coalesce(sum(span) FILTER (k = 'purchase' AND cents % 3 = 0), 0) AS ch3 FROM sp GROUP BY 1),
   f AS (SELECT track_id, round(pans / (total / 44100), 6) AS pan_rate, CAST(max_fb AS INTEGER) AS max_fb, round(more / (total / 44100), 6) AS ic_rate, CASE WHEN ssg THEN 1 ELSE 0 END AS ssg_eg, round(lfo / total, 6) AS lfo_frac, round(ch3 / total, 6) AS ch3_frac,
-    pans / (total / 44100) > {analysis.LIMITS["pan_rate"]} OR lfo / total > {analysis.LIMITS["lfo_frac"]} OR ch3 / total > {analysis.LIMITS["ch3_frac"]} AS five, more / (total / 44100) > {analysis.LIMITS["ic_rate"]} OR ssg AS four FROM a)
+    pans / (total / 44100) > 1.0 OR lfo / total > 0.10 OR ch3 / total > 0.05 AS five, more / (total / 44100) > 0.5 OR ssg AS four FROM a)
   SELECT track_id, pan_rate, max_fb, ic_rate, CAST(0 AS DOUBLE) AS dac_frac, CAST(0 AS DOUBLE) AS psg_frac, ssg_eg, lfo_frac, ch3_frac, CASE WHEN five THEN 5 WHEN four THEN 4 ELSE 1 END AS cluster FROM f""")
 def log_features(spark, sf_dir):
     """Eight hardware features of each log, and its profile."""
@@ -363,7 +363,7 @@ TOKENS = """tk AS (SELECT track_id, unnest(CASE k WHEN 'click' THEN ['P0:28:F0']
   WHEN 'signup' THEN ['P0:22:' || format('{:02X}', cents % 2 * 8 + cents % 7)] ELSE ['P0:27:' || CASE WHEN cents % 3 = 0 THEN '40' ELSE '00' END, 'P0:90:' || CASE WHEN cents % 5 = 0 THEN '08' ELSE '00' END] END) AS token FROM st)"""
 
 
-@query(f"""WITH {WRITES}, {TOKENS}, c AS (SELECT token, count(*) AS n FROM tk GROUP BY 1 HAVING count(*) >= 2) SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + {3 + len(tokens.BINS)} AS id FROM c""")
+@query(f"""WITH {WRITES}, {TOKENS}, c AS (SELECT token, count(*) AS n FROM tk GROUP BY 1 HAVING count(*) >= 2) SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 + 61 AS id FROM c""")
 def event_vocabulary(spark, sf_dir):
     """Events as strings, and their dictionary by frequency."""
     return tokens.build_vocabulary(tokens.event_tokens(vgm.read_events(_writes(spark, sf_dir))))

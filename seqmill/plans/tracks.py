@@ -51,6 +51,16 @@ def log_headers(spark, sf_dir):
     return h.select("track_id", "version_string", "total_samples", F.round("seconds", 6).alias("seconds"), "has_fm_notes")
 
 
+@query(f"""{LOG} SELECT 'user' || user_id AS track_id, CAST(sum(CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 1 ELSE 0 END) AS BIGINT) AS fm_writes, CAST(0 AS BIGINT) AS ends, max(clock) AS samples, bool_or(event_type = 'click') AS has_fm_notes FROM w GROUP BY 1""")
+def log_bounds(spark, sf_dir):
+    """Logs without an end mark, followed by more: they end where their header says."""
+    unmarked = F.concat(F.expr("substring(content, 1, length(content) - 1)"), F.unhex(F.lit("64")), F.unhex(F.lit("5228F0627066")))
+    files = stored(_files(spark, sf_dir).withColumn("content", unmarked), "logs")
+    e, t = vgm.read_events(files), F.col("type")
+    counts = e.groupBy("track_id").agg(F.count_if(t == vgm.PORT0).alias("fm_writes"), F.count_if(t == vgm.END).alias("ends"), F.sum(F.when(t == vgm.WAIT, F.col("value"))).alias("samples"))
+    return counts.join(vgm.read_headers(files).select("track_id", "has_fm_notes"), "track_id")
+
+
 NOTES = f"""{LOG}, t AS (SELECT user_id, max(clock) AS stops FROM w GROUP BY 1), g AS (SELECT user_id, event_type, clock, cents, lead(clock) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM w WHERE event_type IN ('click', 'view'))
   , n AS (SELECT g.user_id, 48 + cents % 24 AS pitch, clock AS sample_on, coalesce(nxt, stops) AS sample_off FROM g JOIN t USING (user_id) WHERE event_type = 'click')"""
 

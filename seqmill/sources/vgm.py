@@ -132,9 +132,14 @@ for _ops, _handler in (
         HANDLERS[_op] = _handler
 
 
-def events(data: bytes, start: int) -> tuple[list[tuple], bytes]:
+def end_of(data: bytes, h: dict) -> int:
+    """Where the header says that the log ends, if the file is that long; what follows is not read."""
+    return min(h["eof"] or FIELDS["eof"], len(data))
+
+
+def events(data: bytes, start: int, stop: int | None = None) -> tuple[list[tuple], bytes]:
     """Rows (type, register, value, sample_pos, pcm_offset) and the last PCM bank. A cut command ends the log."""
-    log, at, n = _Log(data), start, len(data)
+    log, at, n = _Log(data), start, len(data) if stop is None else stop
     while at < n and not log.ended:
         op = data[at]
         size, handler = SIZES[op], HANDLERS[op]
@@ -146,9 +151,9 @@ def events(data: bytes, start: int) -> tuple[list[tuple], bytes]:
     return log.rows, log.bank
 
 
-def has_notes(data: bytes, start: int) -> bool:
+def has_notes(data: bytes, start: int, stop: int | None = None) -> bool:
     """Is any FM channel keyed on? Stops at the first. Of a block whose head is cut only the first byte is skipped."""
-    log, at, n = _Log(data), start, len(data)
+    log, at, n = _Log(data), start, len(data) if stop is None else stop
     while at < n and (op := data[at]) != 0x66:
         if op == 0x52 and at + 2 < n and data[at + 1] == 0x28 and data[at + 2] & 0xF0 and data[at + 2] & 3 != 3:
             return True
@@ -177,7 +182,8 @@ def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for track, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             try:
                 data = gunzip(content.as_py() or b"")
-                rows, _ = events(data, header(data)["data"])
+                h = header(data)
+                rows, _ = events(data, h["data"], end_of(data, h))
                 out = [(track, k, t, r, v, s, p if p >= 0 else None, None) for k, (t, r, v, s, p) in enumerate(rows)]
             except (ValueError, zlib.error, struct.error) as e:
                 out = [(track, *(None,) * 6, f"{type(e).__name__}: {e}")]
@@ -208,7 +214,7 @@ def _heads(notes: bool):
                 try:
                     data = gunzip(content.as_py() or b"")
                     row |= header(data)
-                    row |= {"has_fm_notes": has_notes(data, row["data"]) if notes else None, "bytes": len(data)} | (tags(data, row["gd3"]) or {})
+                    row |= {"has_fm_notes": has_notes(data, row["data"], end_of(data, row)) if notes else None, "bytes": len(data)} | (tags(data, row["gd3"]) or {})
                 except (ValueError, zlib.error, struct.error) as e:
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)

@@ -256,3 +256,14 @@ def test_tally_by_definition(spark):
         n = sum(counts.values())
         assert (r.c.n, r.c.distinct, r.c.repeated) == (n, len(counts), sum(c > 1 for c in counts.values()))
         assert abs(r.c.bits - (math.log2(n) - sum(c * math.log2(c) for c in counts.values()) / n if n else 0)) < 1e-9
+
+
+def test_variants_of_one_sequence_by_hand(spark):
+    """Up by 0 to 11 half tones; pitches stop at the top, keys turn within their mode."""
+    ids = [1, 4 + 60, 185 + 11, 185 + 12, 379, 379 + 85, 467, 482, 500]
+    rows = augment.fan_out(spark.createDataFrame([(1, ids)], "id int, ids array<int>"), "ids").collect()
+    got = {r.variant: r.ids for r in rows}
+    assert len(rows) == len(got) == 18
+    assert [got[f"key+{s}"] for s in range(12)] == [[1, 64, 185 + (11 + s) % 12, 197 + s, 379 + s, min(464 + s, 466), 467, 482, 500] for s in range(12)]
+    assert got["tempo0.85"][1] == 4 + 102 - 60 and got["tempo1.15"][1] == 4 + 138 - 60 and got["tempo0.92"][1] == 4 + 110 - 60
+    assert got["velocity-1"][6:] == [467, 481, 500] and got["velocity+1"][6:] == [468, 482, 500]

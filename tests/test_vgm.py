@@ -124,3 +124,18 @@ def test_token_files(spark, tmp_path):
     assert got["a.vtok"].tokens == [0, 5, 1023] and got["b.vtok"].error
     df = spark.createDataFrame([([1, 2],)], "t array<int>")
     assert bytes(df.select(vtok.column("t", 10).alias("b")).first().b) == vtok.pack(np.array([1, 2]), 10)
+
+
+def test_logs_end_where_their_header_says(spark):
+    whole = log(bytes([0x50, 0x01, 0x52, 0x28, 0xF0]))  # no end mark
+    end = len(whole)
+    longer = whole + bytes([0x52, 0x28, 0xF1, 0x66])
+    h = vgm.header(longer)
+    assert h["eof"] == end and vgm.end_of(longer, h) == end and vgm.end_of(whole[:-2], h) == end - 2
+    assert vgm.events(longer, h["data"], end)[0] == vgm.events(whole, h["data"])[0] == [(2, 0, 1, 0, -1), (0, 0x28, 0xF0, 0, -1)]
+    early = longer[:4] + struct.pack("<I", 0x102 - 4) + longer[8:]  # the key-on lies behind the end
+    none = longer[:4] + bytes(4) + longer[8:]  # no end given: nothing before it
+    files = spark.createDataFrame([("whole", whole), ("longer", longer), ("early", early), ("none", none)], "track_id string, content binary")
+    rows = vgm.read_events(files).where("error IS NULL").groupBy("track_id").count().collect()
+    assert {r.track_id: r["count"] for r in rows} == {"whole": 2, "longer": 2, "early": 1}
+    assert {r.track_id: r.has_fm_notes for r in vgm.read_headers(files).collect()} == {"whole": True, "longer": True, "early": False, "none": False}
