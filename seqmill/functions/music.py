@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 CLOCK, PSG_CLOCK, RATE = 7670454, 3579545, 44100
 NAMES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
+FLATS = ("C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B")
+#: Fixed values of note texts: their clock, and an octave scale a step above the one used elsewhere.
+TEXT_CLOCK, TEXT_SCALE = 7670453, 21
 #: Carrier operators of the eight algorithms.
 CARRIERS = ((3,), (3,), (3,), (3,), (1, 3), (1, 2, 3), (1, 2, 3), (0, 1, 2, 3))
 
@@ -17,8 +20,8 @@ def hz_to_midi(hz: Column) -> Column:
     return F.when(hz > 0, F.bround(69 + 12 * F.log2(hz / 440)).cast("int")).otherwise(F.lit(-1))
 
 
-def fnumber_to_midi(fnum: Column, block: Column, clock: int = CLOCK) -> Column:
-    hz = fnum * F.lit(float(clock)) / (144 * F.pow(F.lit(2.0), 20 - block))
+def fnumber_to_midi(fnum: Column, block: Column, clock: int = CLOCK, scale: int = 20) -> Column:
+    hz = fnum * F.lit(float(clock)) / (144 * F.pow(F.lit(2.0), scale - block))
     return F.when(fnum == 0, F.lit(-1)).otherwise(hz_to_midi(hz))
 
 
@@ -34,12 +37,28 @@ def best_block(midi: Column, clock: int = CLOCK) -> Column:
     return F.coalesce(-F.array_max(F.filter(tries, lambda t: (t["f"] <= 2047) & (t["f"] > 0)))["b"], F.lit(4))
 
 
-def midi_name(midi: Column) -> Column:
-    return F.concat(F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod(midi, F.lit(12)) + 1).cast("int")), (F.floor(midi / 12) - 1).cast("string"))
+def least_error(midi: Column, clock: int = TEXT_CLOCK, scale: int = TEXT_SCALE) -> Column:
+    """``struct<fnum, block>`` whose frequency is nearest to the pitch's; of equal ones the lowest block; noughts if none fits."""
+    hz = 440 * F.pow(F.lit(2.0), (midi - 69) / 12)
+
+    def tried(b: Column) -> Column:
+        unit = 144 * F.pow(F.lit(2.0), scale - b)
+        fnum = F.bround(hz * unit / clock)
+        return F.struct(F.abs(fnum * F.lit(float(clock)) / unit - hz).alias("error"), b.alias("block"), fnum.cast("int").alias("fnum"))
+
+    fit = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), tried), lambda t: t["fnum"].between(1, 2047))
+    best = F.array_min(fit)
+    return F.struct(F.coalesce(best["fnum"], F.lit(0)).alias("fnum"), F.coalesce(best["block"], F.lit(0)).alias("block"))
+
+
+def midi_name(midi: Column, names: tuple[str, ...] = NAMES) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, names)), (F.pmod(midi, F.lit(12)) + 1).cast("int")), (F.floor(midi / 12) - 1).cast("string"))
 
 
 def name_to_midi(name: Column) -> Column:
-    place = F.array_position(F.array(*map(F.lit, NAMES)), F.regexp_extract(name, r"^([A-G]#?)", 1)) - 1
+    """Of names with sharps or flats."""
+    tone = F.regexp_extract(name, r"^([A-G][#b]?)", 1)
+    place = F.greatest(*(F.array_position(F.array(*map(F.lit, names)), tone) for names in (NAMES, FLATS))) - 1
     return (place + 12 * (F.regexp_extract(name, r"(-?\d+)$", 1).cast("int") + 1)).cast("int")
 
 

@@ -20,7 +20,7 @@ def measures(tokens: DataFrame) -> DataFrame:
     Intervals and n-grams run along a channel's notes and bends; equal n-grams of different channels count together.
     """
     part = F.split("token", ":")
-    kind = F.when(part[1] == "ON", "on").when(part[1] == "PITCH", "bend").when(part[1] == "OFF", "off").when(part[0] == "WAIT", "wait").otherwise("raw")
+    kind = F.when(part[1] == "ON", "on").when(part[1] == "PITCH", "bend").when(part[1] == "OFF", "off").when(part[0].isin("WAIT", "<WAIT"), "wait").otherwise("raw")
     t = tokens.select("track_id", "seq", kind.alias("kind"), part[0].alias("channel"), F.when(kind.isin("on", "bend"), part[2]).alias("note"))
     share = lambda *k: F.count_if(F.col("kind").isin(*k)) / F.count("*")
     whole = t.groupBy("track_id").agg(share("on", "off", "bend").alias("note_share"), share("wait").alias("wait_share"), share("raw").alias("raw_share"))

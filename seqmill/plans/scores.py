@@ -383,7 +383,7 @@ def event_roundtrip(spark, sf_dir):
 @query(f"""WITH {WRITES}, k AS (SELECT track_id, event_id, k FROM st WHERE k IN ('click', 'view')) SELECT track_id, count(*) FILTER (k = 'click') AS ons, count(*) FILTER (k = 'view') AS offs FROM k GROUP BY 1""")
 def note_token_counts(spark, sf_dir):
     t = tokens.note_tokens(vgm.read_events(_writes(spark, sf_dir)))
-    return t.where(F.col("token").rlike("^FM1:(ON|OFF)")).groupBy("track_id").agg(F.count_if(F.col("token").startswith("FM1:ON")).alias("ons"), F.count_if(F.col("token") == "FM1:OFF").alias("offs"))
+    return t.where(F.col("token").rlike("^CH1:(ON|OFF)")).groupBy("track_id").agg(F.count_if(F.col("token") == "CH1:ON:X").alias("ons"), F.count_if(F.col("token") == "CH1:OFF").alias("offs"))
 
 
 @query("""WITH f AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS INTEGER)) AS t FROM documents), l AS (SELECT doc_id, len(t) AS n, t FROM f), p AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmill.operators import analysis, chips, score
+from seqmill.functions import music
+from seqmill.operators import analysis, chips, score, tokens
 from seqmill.plans.logs import EV, events
 from seqmill.plans.registry import query
 from seqmill.session import stored
@@ -17,9 +18,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     midi = 48 + F.col("cents") % 24
     wait = 735 * (1 + F.col("event_id") % 5)
-    from seqmill.functions.music import midi_to_fnumber
-
-    fnum = midi_to_fnumber(midi, F.lit(4))
+    fnum = music.midi_to_fnumber(midi, F.lit(4))
     row = lambda k, t, r, v: F.struct(F.lit(k).alias("k"), F.lit(t).cast("tinyint").alias("type"), F.lit(r).cast("smallint").alias("register"), v.cast("int").alias("value"))
     on = F.array(row(0, vgm.WAIT, 0, wait), row(1, vgm.PORT0, 0xA4, F.lit(4 << 3) + F.shiftright(fnum, 8)), row(2, vgm.PORT0, 0xA0, fnum.bitwiseAND(255)), row(3, vgm.PORT0, 0x28, F.lit(0xF0)))
     off = F.array(row(0, vgm.WAIT, 0, wait), row(1, vgm.PORT0, 0x28, F.lit(0)))
@@ -89,3 +88,54 @@ def log_encode(spark, sf_dir):
     """Notes that come back out of the token sequences: none is lost."""
     back = score.decode(_encoded(spark, sf_dir))
     return back.where("channel = 0").groupBy("track_id").agg(F.count("*").alias("notes"))
+
+
+#: Note texts of the logs: the pitch of a written F-number, on the scale and clock of note texts; the nearest bin of each wait.
+TEXT = f"""{LOG}, bl AS (SELECT list_sort(list_distinct(list_transform(range(64), lambda k: CAST(round(exp(ln(3000000) * k / 63)) AS BIGINT)))) AS l),
+  q AS (SELECT w.*, l, 735 * (1 + event_id % 5) AS wait, list_position(list_transform(l, lambda b: b >= 735 * (1 + event_id % 5)), true) AS up, 48 + cents % 24 AS pitch FROM w, bl),
+  b AS (SELECT *, CAST(CASE WHEN wait - l[up - 1] < l[up] - wait THEN up - 2 ELSE up - 1 END AS BIGINT) AS bin, round_even(440 * power(2, (pitch - 69) / 12) * 144 * 65536 / 7670454, 0) AS fnum FROM q),
+  m AS (SELECT *, CAST(round_even(69 + 12 * log2(fnum * 7670453 / (144 * 131072) / 440), 0) AS BIGINT) AS midi FROM b),
+  nt AS (SELECT *, ['C', 'Db', 'D', 'Eb', 'E', 'F', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B'][midi % 12 + 1] || (midi // 12 - 1) AS note FROM m),
+  kv AS (SELECT event_id, lag(event_type) OVER w = 'click' AND lag(midi) OVER w <> midi AS bends FROM nt WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  tt AS (SELECT user_id, event_id, event_type, unnest(['<WAIT:' || bin || '>', CASE WHEN event_type = 'click' AND bends THEN 'CH1:PITCH:' || note END,
+    CASE event_type WHEN 'click' THEN 'CH1:ON:' || note WHEN 'view' THEN 'CH1:OFF' ELSE 'PSG:' || format('{{:02X}}', 128 + cents % 64) END]) AS token FROM nt LEFT JOIN kv USING (event_id))"""
+#: A pitch that is written while the key is down bends the note before the key strikes again.
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.note_tokens(vgm.read_events(_files(spark, sf_dir)))
+
+
+@query(f"{TEXT} SELECT token, count(*) AS n FROM tt WHERE token IS NOT NULL GROUP BY 1")
+def note_text_counts(spark, sf_dir):
+    """Logs as note texts: how often each occurs."""
+    return _texts(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(f"""{TEXT}, c AS (SELECT token, count(*) AS n FROM tt WHERE token NOT LIKE '<%' GROUP BY 1 HAVING count(*) >= 2)
+  SELECT CAST(4 AS BIGINT) AS special, CAST(61 AS BIGINT) AS waits, count(*) FILTER (token LIKE 'CH%') AS notes, count(*) FILTER (token NOT LIKE 'CH%') AS writes, 65 + count(*) AS size FROM c""")
+def note_vocabulary(spark, sf_dir):
+    """The vocabulary of note texts, by kind."""
+    return tokens.vocabulary_summary(tokens.build_vocabulary(_texts(spark, sf_dir)))
+
+
+@query(f"""{TEXT}, rc AS (SELECT user_id, event_id, event_type, pitch, sum(l[bin + 1]) OVER (PARTITION BY user_id ORDER BY event_id) AS clock, sum(l[bin + 1]) OVER (PARTITION BY user_id) AS stops FROM nt),
+  rk AS (SELECT *, lead(clock) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM rc WHERE event_type IN ('click', 'view'))
+  SELECT 'user' || user_id AS track_id, CAST(pitch AS INTEGER) AS pitch, CAST(clock AS BIGINT) AS sample_on, CAST(coalesce(nxt, stops) AS BIGINT) AS sample_off FROM rk WHERE event_type = 'click'""")
+def note_text_roundtrip(spark, sf_dir):
+    """Writes to note texts, to ids, to texts, to writes, to bytes, to notes: every note comes back, at the waits' bins."""
+    texts = stored(_texts(spark, sf_dir), "texts")
+    vocabulary = stored(tokens.build_vocabulary(texts, least=1), "vocabulary")
+    back = tokens.token_strings(tokens.encode(texts, vocabulary, marks=True), vocabulary)
+    logs = vgm.write_tracks(tokens.note_writes(back, changes_only=True))
+    return chips.decode_notes(vgm.read_events(logs)).where("channel < 6").select("track_id", "pitch", "sample_on", "sample_off")
+
+
+@query(f"""WITH {EV}, mi AS (SELECT event_id, CAST(cents % 128 AS INTEGER) AS midi, 440 * power(2, (cents % 128 - 69) / 12) AS hz FROM ev), tr AS (SELECT *, CAST(b AS INTEGER) AS block, round_even(hz * (144 * power(2, 21 - b)) / 7670453, 0) AS fnum FROM mi, range(8) r(b)),
+  er AS (SELECT event_id, midi, hz, b, block, fnum, abs(fnum * 7670453 / (144 * power(2, 21 - b)) - hz) AS error FROM tr WHERE fnum BETWEEN 1 AND 2047 UNION ALL SELECT event_id, midi, hz, 0, 0, 0, 1e9 FROM mi)
+  SELECT event_id, midi, CAST(fnum AS INTEGER) AS fnum, block, CASE WHEN fnum = 0 THEN -1 ELSE CAST(round_even(69 + 12 * log2(fnum * 7670453 / (144 * power(2, 21 - block)) / 440), 0) AS INTEGER) END AS sounds FROM er QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY error, block) = 1""")
+def least_error_tuning(spark, sf_dir):
+    """F-number and block of least error for each event's pitch, and the pitch that they sound."""
+    e = events(spark, sf_dir).select("event_id", (F.col("cents") % 128).cast("int").alias("midi"))
+    tuned = e.withColumn("t", music.least_error(F.col("midi"))).select("event_id", "midi", "t.fnum", "t.block")
+    return tuned.withColumn("sounds", music.fnumber_to_midi(F.col("fnum"), F.col("block"), music.TEXT_CLOCK, music.TEXT_SCALE))

@@ -1,7 +1,11 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqmill.functions import music
 from seqmill.operators import chips, synth, tokens, tracks
 from seqmill.sources import vgm
 
@@ -152,4 +156,110 @@ def test_note_tokens(spark):
     own = [(0, 0xA4, 0x22), (0, 0xA0, 0x69), (0, 0x28, 0xF0), (3, 0, 735), (0, 0xA0, 0x6A), (0, 0xA4, 0x2A), (0, 0xA0, 0x69), (0, 0x28, 0), (0, 0xA0, 0), (2, 0, 0x80), (0, 0x30, 1), (1, 0xA4, 0x22), (1, 0xA0, 0x69), (0, 0x28, 0xF4)]
     df = spark.createDataFrame([("t", k, t, r, v, 0, None, None) for k, (t, r, v) in enumerate(own)], ROWS)
     got = [r.token for r in tokens.note_tokens(df).orderBy("seq").collect()]
-    assert [x for x in got if not x.startswith("WAIT")] == ["FM1:ON:B4", "FM1:PITCH:B5", "FM1:OFF", "PSG:80", "P0:30:01", "FM4:ON:B4"]
+    assert [x for x in got if not x.startswith("<WAIT")] == ["CH1:ON:B3", "CH1:PITCH:B4", "CH1:OFF", "PSG:80", "FM0:30:01", "CH4:ON:B3"]
+
+
+def rows_of(spark, *logs):
+    return spark.createDataFrame([(f"t{n}", k, t, r, v, 0, None, None) for n, own in enumerate(logs) for k, (t, r, v) in enumerate(own)], ROWS)
+
+
+def plain_note_tokens(own, drums=False):
+    """The rules of note texts one event at a time."""
+    names = ["C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B"]
+    high, low, down, pitch = ({c: 0 for c in range(1, 7)} for _ in range(4))
+    out, pending = [], 0
+
+    def flush():
+        nonlocal pending
+        if pending:
+            out.append(f"<WAIT:{min(range(len(tokens.BINS)), key=lambda k: (abs(tokens.BINS[k] - pending), -k))}>")
+        pending = 0
+
+    def tune(c):
+        f = (high[c] & 7) * 256 + low[c]
+        pitch[c] = round(69 + 12 * math.log2(f * 7670453 / (144 * 2 ** (21 - (high[c] >> 3 & 7))) / 440)) if f else 0
+        return names[pitch[c] % 12] + str(pitch[c] // 12 - 1)
+
+    for kind, reg, value in own:
+        if kind == 4:
+            break
+        if kind == 5 and not drums:
+            continue
+        if kind == 3:
+            pending += value
+            continue
+        flush()
+        n = value & 7
+        key = n + 1 if n <= 2 else n if 4 <= n <= 6 else 0
+        c = reg % 4 + 1 + 3 * kind
+        if kind == 2:
+            out.append(f"PSG:{value:02X}")
+        elif kind == 0 and reg == 0x28 and key:
+            down[key] = value >> 4
+            if down[key]:
+                name = tune(key)
+                out.append(f"CH{key}:ON:{name if pitch[key] > 0 else 'X'}")
+            else:
+                out.append(f"CH{key}:OFF")
+        elif kind < 2 and 0xA4 <= reg <= 0xA6:
+            high[c] = value
+        elif kind < 2 and 0xA0 <= reg <= 0xA2:
+            low[c], before = value, pitch[c]
+            name = tune(c)
+            if down[c] and pitch[c] != before and pitch[c] > 0:
+                out.append(f"CH{c}:PITCH:{name}")
+        else:
+            out.append(f"FM{kind % 5}:{reg:02X}:{value:02X}")
+    flush()
+    return out
+
+
+def test_note_tokens_by_their_rules(spark):
+    rng = random.Random(9)
+    logs = []
+    for _ in range(30):
+        own = []
+        for _ in range(rng.randint(1, 120)):
+            kind = rng.choice([0, 0, 0, 0, 1, 1, 2, 3, 3, 5])
+            reg = {0: rng.choice([0x28, 0x28, 0xA0, 0xA1, 0xA2, 0xA3, 0xA4, 0xA5, 0xA6, 0xA7, 0x30]), 1: rng.choice([0xA0, 0xA4, 0xA2, 0xA6, 0x28, 0x90]), 5: 0x2A}.get(kind, 0)
+            own.append((kind, reg, rng.choice([0, 1, 735, 882, 40_000]) if kind == 3 else rng.choice([0, rng.randrange(256)])))
+        logs.append(own + [(4, 0, 0)])
+    df = rows_of(spark, *logs)
+    for drums in (False, True):
+        got = {}
+        for r in tokens.note_tokens(df, drums).orderBy("track_id", "seq").collect():
+            got.setdefault(r.track_id, []).append(r.token)
+        for n, own in enumerate(logs):
+            assert got.get(f"t{n}", []) == plain_note_tokens(own, drums)
+
+
+def test_note_writes(spark):
+    own = ["CH1:ON:A4", "<WAIT:20>", "CH1:OFF", "CH4:OFF", "CH2:PITCH:D4", "FM0:30:71", "FM1:B0:3A", "PSG:9F", "<PAD>", "nonsense", "CH5:ON:X", "CH5:ON:C4", "CH7:ON:C4"]
+    df = spark.createDataFrame([("t", k, x) for k, x in enumerate(own)], "track_id string, seq int, token string")
+    rows = [(r.type, r.register, r.value, r.sample_pos) for r in tokens.note_writes(df).orderBy("seq").collect()]
+    wait = tokens.BINS[20]
+    f = {r.m: (r.fnum, r.block) for r in spark.createDataFrame([(69,), (62,), (60,)], "m int").select("m", music.least_error(F.col("m")).alias("t")).select("m", "t.*").collect()}
+    pair = lambda m, port, c, at: [(port, 0xA4 + c, f[m][1] * 8 + f[m][0] // 256, at), (port, 0xA0 + c, f[m][0] % 256, at)]
+    want = [*pair(69, 0, 0, 0), (0, 0x28, 0xF0, 0), (3, 0, wait, 0), (0, 0x28, 0, wait), (0, 0x28, 4, wait), *pair(62, 0, 1, wait), (0, 0x30, 0x71, wait), (1, 0xB0, 0x3A, wait), (2, 0, 0x9F, wait)]
+    want += [*pair(60, 1, 1, wait), (0, 0x28, 0xF5, wait), *pair(60, 1, 1, wait), (0, 0x28, 0xF5, wait), (4, 0, 0, wait)]
+    assert rows == want
+    fewer = [(r.type, r.register, r.value, r.sample_pos) for r in tokens.note_writes(df, changes_only=True).orderBy("seq").collect()]
+    assert fewer == want[:-4] + want[-2:]
+    # every pitch that a channel can reach comes back by name, from the least error
+    notes = [f"CH{1 + m % 6}:ON:{n}{o}" for o in range(0, 8) for m, n in enumerate(music.FLATS)]
+    df = spark.createDataFrame([("t", k, x) for k, x in enumerate(notes)], "track_id string, seq int, token string")
+    again = [r.token for r in tokens.note_tokens(tokens.note_writes(df)).orderBy("seq").collect()]
+    assert [x for x in again if ":ON:" in x] == notes
+
+
+def test_note_ids(spark):
+    df = rows_of(spark, [(0, 0xA4, 0x22), (0, 0xA0, 0x69), (0, 0x28, 0xF0), (3, 0, 735), (0, 0x28, 0), (0, 0x28, 0xF0), (0, 0x30, 9), (4, 0, 0)], [(0, 0x40, 1), (4, 0, 0)])
+    t = tokens.note_tokens(df)
+    v = tokens.build_vocabulary(t, least=2)
+    assert [r.token for r in v.collect()] == ["CH1:ON:B3"]
+    assert tokens.vocabulary_summary(v).first().asDict() == {"special": 4, "waits": 61, "notes": 1, "writes": 0, "size": 66}
+    ids = tokens.encode(t, v, marks=True)
+    (wait,) = [k for k, b in enumerate(tokens.BINS) if b == min(tokens.BINS, key=lambda b: abs(b - 735))]
+    assert {r.track_id: r.ids for r in ids.collect()} == {"t0": [1, 65, 4 + wait, 65, 2], "t1": [1, 2]}
+    assert [r.token for r in tokens.token_strings(ids, v).orderBy("seq").collect()] == ["CH1:ON:B3", f"<WAIT:{wait}>", "CH1:ON:B3"]
+    assert {r.track_id: r.ids for r in tokens.encode(t, v).collect()} == {"t0": [65, 4 + wait, 65]}
