@@ -15,6 +15,9 @@ rows and ``FIT_FEATURES`` of their features, taken by a hash of the id where the
 are mixed with their mean size, as is usual for such models. Margins become probabilities by a
 logistic curve, fitted to margins of rows that the model at hand did not see (two halves).
 
+Texts do not move where the labels are counted few enough to be sent to every task (``AT_HAND``);
+beyond, labels and labelled texts meet by id.
+
 Scoring is one pass over all whole texts with the ``BUCKETS`` weights at hand.
 
 Odd input: a null text is empty; an empty text has no features and gets the score of the constant.
@@ -47,6 +50,7 @@ MIXING = 0.5  # share of a weight's own value, the rest is the mean size of all
 COST = 4.0  # of a margin of nought
 ROUNDS, CLOSE = 60, 0.01  # of coordinate descent: the most, and the gap of projected gradients that ends it
 FIT_ROWS, FIT_FEATURES = 10_000, 8_000_000  # bounds of the labelled sample that the weights are fitted to
+AT_HAND, AT_HAND_BYTES = 1_000_000, 32 << 20  # labels, and bytes of their ids, up to which every task gets them all
 THRESHOLD = 0.7
 KEPT = 200_000  # words that a worker keeps
 
@@ -255,13 +259,19 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def _at_hand(marks: DataFrame) -> DataFrame:
+    """Labels that were counted to be few go to the texts; of more, labels and texts meet by a shuffle of both."""
+    size = marks.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col("id").cast("string"))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(marks) if size["rows"] <= AT_HAND and size["bytes"] <= AT_HAND_BYTES else marks.hint("merge")
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Ratios over all labelled rows, weights over a bounded part of them; the held-out fold is left out of both."""
     small_batches(docs.sparkSession)
     key, label = F.col(f"`{id_col}`"), F.col(f"`{label_col}`")
     marks = labels.where(label.isin(0, 1) & key.isNotNull() & (fold(key) != HELD_OUT)).select(key.alias("id"), label.cast("int").alias("label")).distinct()
     texts = docs.select(key.alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    read = texts.join(marks, "id").select(F.col("id").cast("string").alias("id"), "label", "text")
+    read = texts.join(_at_hand(marks), "id").select(F.col("id").cast("string").alias("id"), "label", "text")
     train = stored(read.mapInArrow(_featured, "id string, label int, buckets array<int>"), "labelled")
     counts = train.select("label", "buckets").mapInArrow(_partial_counts, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     held = counts.toPandas()  # a row for each bucket at most

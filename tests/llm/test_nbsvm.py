@@ -124,6 +124,17 @@ def test_counts_and_scores_against_a_plain_version(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["predicted"]}
 
 
+def test_many_labels_meet_their_texts_by_a_shuffle(spark, monkeypatch):
+    docs, labels = labelled(3, 200)
+    d, la = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    near = nbsvm.learn(d, la)
+    for bound in ("AT_HAND", "AT_HAND_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(nbsvm, bound, 10)
+            far = nbsvm.learn(d, la)
+        assert (far.weights == near.weights).all() and (far.ratios == near.ratios).all() and far.offset == near.offset
+
+
 def test_the_sample_is_bounded(spark, monkeypatch):
     docs, labels = labelled(2, 500)
     monkeypatch.setattr(nbsvm, "FIT_ROWS", 150)
