@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmill.functions import music
-from seqmill.operators import analysis, chips, score, tokens
+from seqmill.operators import analysis, chips, prepare_text, score, tokens
 from seqmill.plans.logs import EV, events
 from seqmill.plans.registry import query
 from seqmill.session import stored
@@ -97,7 +97,7 @@ TEXT = f"""{LOG}, bl AS (SELECT list_sort(list_distinct(list_transform(range(64)
   m AS (SELECT *, CAST(round_even(69 + 12 * log2(fnum * 7670453 / (144 * 131072) / 440), 0) AS BIGINT) AS midi FROM b),
   nt AS (SELECT *, ['C', 'Db', 'D', 'Eb', 'E', 'F', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B'][midi % 12 + 1] || (midi // 12 - 1) AS note FROM m),
   kv AS (SELECT event_id, lag(event_type) OVER w = 'click' AND lag(midi) OVER w <> midi AS bends FROM nt WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-  tt AS (SELECT user_id, event_id, event_type, unnest(['<WAIT:' || bin || '>', CASE WHEN event_type = 'click' AND bends THEN 'CH1:PITCH:' || note END,
+  tt AS (SELECT user_id, event_id, event_type, bin, midi, unnest(range(3)) AS k, unnest(['<WAIT:' || bin || '>', CASE WHEN event_type = 'click' AND bends THEN 'CH1:PITCH:' || note END,
     CASE event_type WHEN 'click' THEN 'CH1:ON:' || note WHEN 'view' THEN 'CH1:OFF' ELSE 'PSG:' || format('{{:02X}}', 128 + cents % 64) END]) AS token FROM nt LEFT JOIN kv USING (event_id))"""
 #: A pitch that is written while the key is down bends the note before the key strikes again.
 
@@ -139,3 +139,49 @@ def least_error_tuning(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", (F.col("cents") % 128).cast("int").alias("midi"))
     tuned = e.withColumn("t", music.least_error(F.col("midi"))).select("event_id", "midi", "t.fnum", "t.block")
     return tuned.withColumn("sounds", music.fnumber_to_midi(F.col("fnum"), F.col("block"), music.TEXT_CLOCK, music.TEXT_SCALE))
+
+
+#: Sequences from strings: ids of the vocabulary, marks, the track's name decides on validation.
+CODED = """vc AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 64 AS id FROM {strings} WHERE token NOT LIKE '%WAIT:%' GROUP BY 1 HAVING count(*) >= 2)"""
+HASHED = "CASE WHEN CAST('0x' || substr(md5('user' || user_id), 1, 8) AS BIGINT) % 10000 < {below} THEN 'val' ELSE 'train' END"
+
+
+def _digested(found: prepare_text.Texts) -> DataFrame:
+    text = F.array_join(F.transform("ids", lambda t: t.cast("string")), ",")
+    return found.sequences.select("track_id", "shift", "split", F.size("ids").alias("n"), F.md5(text.cast("binary")).alias("ids"))
+
+
+@query(f"""{TEXT}, kt AS (SELECT * FROM tt WHERE token IS NOT NULL), {CODED.format(strings="kt")}, du AS (SELECT user_id, max(clock) / 44100 AS seconds, bool_or(event_type = 'click') AS notes FROM w GROUP BY 1), fu AS (SELECT user_id FROM du WHERE seconds >= 3.0 AND notes),
+  sh AS (SELECT user_id, s FROM (SELECT user_id, min(midi) FILTER (token LIKE 'CH%:O%:%' OR token LIKE 'CH%:P%') AS low, max(midi) FILTER (token LIKE 'CH%:O%:%' OR token LIKE 'CH%:P%') AS high FROM kt GROUP BY 1), range(-5, 7) r(s) WHERE s = 0 OR low IS NULL OR (low + s >= 21 AND high + s <= 108)),
+  mv AS (SELECT kt.user_id, s, event_id, k, bin, CASE WHEN token LIKE 'CH%:O%:%' OR token LIKE 'CH%:P%' THEN regexp_replace(token, '[^:]+$', ['C', 'Db', 'D', 'Eb', 'E', 'F', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B'][(midi + s) % 12 + 1] || ((midi + s) // 12 - 1)) ELSE token END AS token FROM kt JOIN sh USING (user_id)),
+  cd AS (SELECT user_id, s, event_id, k, CASE WHEN token LIKE '<%' THEN 4 + bin ELSE id END AS id FROM mv LEFT JOIN vc USING (token)),
+  sq AS (SELECT user_id, s, list_concat(list_concat([CAST(1 AS BIGINT)], coalesce(list(id ORDER BY event_id, k) FILTER (id IS NOT NULL), [])), [2]) AS ids FROM cd SEMI JOIN fu USING (user_id) GROUP BY 1, 2)
+  SELECT 'user' || user_id AS track_id, CAST(s AS INTEGER) AS shift, {HASHED.format(below=2000)} AS split, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS ids FROM sq WHERE len(ids) >= 32 AND user_id IN (SELECT user_id FROM sq WHERE s = 0 AND len(ids) >= 32)""")
+def prepare_v3(spark, sf_dir):
+    """Note texts of all tracks that a table of measures lets pass, in all the keys that their notes allow."""
+    files = stored(_files(spark, sf_dir), "logs")
+    heads = vgm.read_headers(files).select("track_id", F.col("seconds").alias("duration"), F.col("has_fm_notes"))
+    found = prepare_text.prepare(files, 3, vocabulary=stored(tokens.build_vocabulary(_texts(spark, sf_dir)), "vocabulary"), validation=0.2, measures=heads, shortest=3.0)
+    return _digested(found)
+
+
+@query(f"""{TEXT}, r1 AS (SELECT user_id, event_id, unnest(CASE event_type WHEN 'click' THEN ['WAIT:' || bin, 'P0:A4:' || format('{{:02X}}', 32 + CAST(fnum AS BIGINT) // 256), 'P0:A0:' || format('{{:02X}}', CAST(fnum AS BIGINT) % 256), 'P0:28:F0'] WHEN 'view' THEN ['WAIT:' || bin, 'P0:28:00', NULL, NULL] ELSE ['WAIT:' || bin, 'SN:00:' || format('{{:02X}}', 128 + cents % 64), NULL, NULL] END) AS token, unnest(range(4)) AS k, bin FROM nt),
+  kt AS (SELECT * FROM r1 WHERE token IS NOT NULL), {CODED.format(strings="kt")}, cd AS (SELECT user_id, event_id, k, CASE WHEN token LIKE 'WAIT%' THEN 4 + bin ELSE id END AS id FROM kt LEFT JOIN vc USING (token)),
+  sq AS (SELECT user_id, list_concat(list_concat([CAST(1 AS BIGINT)], coalesce(list(id ORDER BY event_id, k) FILTER (id IS NOT NULL), [])), [2]) AS ids FROM cd GROUP BY 1)
+  SELECT 'user' || user_id AS track_id, CAST(0 AS INTEGER) AS shift, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ',')) AS ids FROM sq WHERE len(ids) >= 32""")
+def prepare_v1(spark, sf_dir):
+    """Register texts of all tracks, by a vocabulary counted from them."""
+    return _digested(prepare_text.prepare(_files(spark, sf_dir), 1)).drop("split")
+
+
+@query(f"""{TEXT}, kt AS (SELECT * FROM tt WHERE token IS NOT NULL), {CODED.format(strings="kt")}, cd AS (SELECT user_id, CASE WHEN token LIKE '<%' THEN 4 + bin ELSE id END AS id FROM kt LEFT JOIN vc USING (token)),
+  sq AS (SELECT user_id, count(id) + 2 AS n FROM cd GROUP BY 1), t AS (SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS tokens, greatest(1, CAST(floor(0.05 * count(*)) AS BIGINT)) AS val FROM sq WHERE n >= 32)
+  SELECT files AS total_files, tokens AS total_tokens, val AS val_seqs, files - val AS train_seqs, (SELECT count(*) FROM sq WHERE n < 32) AS skipped_files, (SELECT count(*) FROM vc) + 65 AS vocab_size FROM t""")
+def prepare_v2(spark, sf_dir):
+    """Note texts of all tracks, written as flat arrays: the description beside them."""
+    from seqmill.session import scratch_path
+
+    path = scratch_path(spark, "texts")
+    prepare_text.prepare(_files(spark, sf_dir), 2).write(path, seq_len=4096)
+    keys = ["total_files", "total_tokens", "val_seqs", "train_seqs", "skipped_files", "vocab_size"]
+    return spark.read.json(f"{path}/train/meta").select(*keys)

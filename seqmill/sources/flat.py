@@ -15,7 +15,7 @@ from seqmill.operators.augment import positions, windows
 def write(df: DataFrame, order: str, tokens: str, path: str, **about: object) -> int:
     """Write ``df``'s token arrays in the order of the unique column ``order``; returns the length of the whole."""
     starts, total = positions(df.select(order, F.coalesce(F.size(tokens), F.lit(0)).alias("__n")), order, "__n")
-    pieces = df.select(order, F.col(tokens).alias("tokens")).join(starts.where("__n > 0").select(order, "start"), order).select("start", "tokens")
+    pieces = df.select(order, F.col(tokens).alias("tokens")).join(starts.where("__n > 0").select(order, "start"), order).select("start", (F.col("start") + F.size("tokens")).alias("stop"), "tokens")
     pieces.repartitionByRange("start").sortWithinPartitions("start").write.mode("overwrite").parquet(f"{path}/array")
     row = {"tokens": total, **about}
     spark = df.sparkSession
@@ -28,13 +28,13 @@ def meta(spark: SparkSession, path: str) -> dict:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``start, tokens``: the pieces of an array."""
+    """``start, stop, tokens``: the pieces of an array."""
     return spark.read.parquet(f"{path}/array")
 
 
 def stretch(spark: SparkSession, path: str, begin: int, n: int) -> DataFrame:
-    """``position, token`` of n places from ``begin`` on; pieces outside are not read."""
-    pieces = read(spark, path).where((F.col("start") < begin + n) & (F.col("start") + F.size("tokens") > begin))
+    """``position, token`` of n places from ``begin`` on; row groups outside are skipped by their bounds."""
+    pieces = read(spark, path).where((F.col("start") < begin + n) & (F.col("stop") > begin))
     flat = pieces.select("start", F.posexplode("tokens").alias("k", "token")).select((F.col("start") + F.col("k")).alias("position"), "token")
     return flat.where(F.col("position").between(begin, begin + n - 1))
 
