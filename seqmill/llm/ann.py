@@ -1,25 +1,28 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each ordering turns the vectors by its own random rotation, keeps a few coordinates, maps them to
-quantiles (of a bounded sample), shifts the grid and numbers its cells along a Hilbert curve. Spark
-sorts the keys of all orderings by range; a row's rank in its ordering is its place in its partition
-plus the rows of the partitions before. Ranks are cut into blocks of a bounded size, whatever the
-keys: many equal vectors, or many in one cell, make no large block. A query looks at all blocks
-within a reach to either side of its own; each block's task ranks its members against the queries
-that come by, and the lists of all blocks and orderings are merged and scored again from the original
+Each ordering turns the vectors by a random rotation, keeps a few coordinates (orderings that share a
+rotation keep different ones), maps them to quantiles (of a bounded sample), shifts the grid and
+numbers its cells along a Hilbert curve. Spark sorts the keys of all orderings by range; a row's rank
+in its ordering is its place in its partition plus the rows of the partitions before. Ranks are cut
+into blocks of a bounded size, whatever the keys: many equal vectors, or many in one cell, make no
+large block. A query looks at the members whose ranks are within a reach of its own, in each block
+that they lie in; the lists of all blocks and orderings are merged and scored again from the original
 vectors. Where many queries come by, they are dealt to several tasks, so both sides are bounded.
 
-The reach is measured: a bounded number of the queries are answered exactly, in one pass over all
-vectors, and their true neighbours' distances in rank along the nearest ordering give the smallest
-reach that finds the share ``RECALL`` of them.
+Orderings and reach are chosen together by measurement: a bounded number of the queries are answered
+exactly, in one pass over all vectors, and their true neighbours' distances in rank give, for each
+number of orderings, the smallest reach that finds the share ``RECALL`` of them. Of all numbers the one
+is taken whose windows, and rows moved for them, cost least.
 
 For inner products the vectors get one more coordinate that makes all norms equal (that of a query
 is zero), so that near on the curve means a large product. Equal vectors are searched as one class:
 of its ids the ``top + 1`` smallest suffice, as ties go to the smaller id, so nothing is lost.
 
 Neighbours in high dimensions without structure are near in few projections only; there the reach
-comes out as a share of all rows, and the cost grows with rows times queries. Where vectors have
-structure it is a few blocks, and the cost grows with the rows.
+comes out as a share of all rows, and the cost grows with rows times queries, a little below that of
+comparing all. Where vectors have structure the reach is a few ranks, and the cost grows with the
+rows. A pair that lies in several windows is multiplied again in each: to look up whether it was costs
+more than the product.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,13 +40,15 @@ from pyspark.sql import functions as F
 from seqmill.session import small_batches, stored
 
 TOP = 20
-ORDERINGS = 7
-RECALL = 0.93  # share of true neighbours that the reach is chosen for
+ORDERINGS = 16  # at most
+RECALL = 0.92  # share of true neighbours that the reach is chosen for
 TRIED = 256  # queries that the reach is measured with
 BLOCK = 1 << 15  # rows of a block at most
-LEAST_BLOCKS = 32
+LEAST_BLOCK = 1 << 10  # and at least, unless the table is smaller
+MOVED = 16.0  # inner products that a row costs that is moved to one more ordering
 ASKED = 1 << 14  # queries that a task compares with a block, about
-DIMS, DEPTH = 4, 10  # coordinates kept and bits of each
+DIMS, DEPTH = 6, 10  # coordinates kept and bits of each
+MERGED = 256  # queries whose lists a task merges at once, about
 SAMPLE = 20_000  # vectors that the quantiles are taken from
 SEED = 7
 
@@ -111,8 +116,11 @@ def fit(sample: np.ndarray, norm: float, kind: str, orderings: int = ORDERINGS,
     n = sample.shape[1] + 1
     curves = Curves(norm, kind, [], [], [])
     lifted = curves.lift(sample, False)
-    for _ in range(orderings):
-        turn = np.linalg.qr(rng.normal(size=(n, n)))[0][:, : min(DIMS, n)]
+    dims = min(DIMS, n)
+    for k in range(orderings):
+        at = k % (n // dims) * dims  # the next coordinates of the rotation, or of a new one
+        rotation = np.linalg.qr(rng.normal(size=(n, n)))[0] if at == 0 else rotation
+        turn = rotation[:, at : at + dims]
         curves.projections.append(turn)
         curves.quantiles.append(np.quantile(lifted @ turn, np.linspace(0, 1, 1 << DEPTH), axis=0))
         curves.shifts.append(rng.random(turn.shape[1]) / 2)
@@ -198,28 +206,40 @@ def _best(score: np.ndarray, least: np.ndarray, top: int) -> np.ndarray:
     return np.lexsort((least, -score))[:top]
 
 
-def _search(kind: str, top: int):
-    """Grouped: a block's members and the queries that come by -> a short list for each query."""
+def _search(kind: str, top: int, reach: int, compared: Accumulator | None):
+    """Grouped: a block's members and the queries that come by -> a short list for each query.
+
+    Both go by rank, so what a few queries look at is one stretch of the members.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
         query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        vectors = _vectors(table.column("vec"), kind)
+        vectors, rank = _vectors(table.column("vec"), kind), table.column("rank").to_numpy()
         cid, least = table.column("cid").to_numpy(), table.column("least").to_numpy()
-        members, asked = vectors[~query].astype(np.float64), vectors[query]
-        mc, ml, out = cid[~query], least[~query], {"cid": [], "found": [], "scores": [], "least": []}
-        k = min(len(mc), 2 * top)
-        if k:
-            for at in range(0, len(asked), 64):
-                some = asked[at : at + 64].astype(np.float64)
-                rough = some @ members.T
-                near = np.argpartition(-rough, k - 1, axis=1)[:, :k] if k < len(mc) else np.tile(np.arange(k), (len(some), 1))
-                for c, q, own in zip(cid[query][at : at + 64].tolist(), some, near, strict=True):
-                    score = _exact(q[None, :], members[own])
-                    keep = _best(score, ml[own], top)
-                    out["cid"].append(c)
-                    out["found"].append(mc[own][keep])
-                    out["scores"].append(score[keep])
-                    out["least"].append(ml[own][keep])
+        members, asked = vectors[~query], vectors[query]
+        mr, qr, mc, ml, qc = rank[~query], rank[query], cid[~query], least[~query], cid[query]
+        out: dict[str, list] = {"cid": [], "found": [], "scores": [], "least": []}
+        upto = 0
+        while (at := upto) < len(asked):  # queries at much the same place go together
+            upto = min(at + 64, int(np.searchsorted(qr, qr[at] + reach // 8, "right")))
+            some = asked[at:upto]
+            begin = int(np.searchsorted(mr, qr[at] - reach))
+            end = int(np.searchsorted(mr, qr[at + len(some) - 1] + reach, "right"))
+            k = min(end - begin, 2 * top)
+            if not k:
+                continue
+            if compared is not None:
+                compared.add(len(some) * (end - begin))
+            rough = some @ members[begin:end].T
+            near = np.argpartition(-rough, k - 1, axis=1)[:, :k] if k < end - begin else np.tile(np.arange(k), (len(some), 1))
+            for c, q, own in zip(qc[at:upto].tolist(), some, near + begin, strict=True):
+                score = _exact(q[None, :], members[own])
+                keep = _best(score, ml[own], top)
+                out["cid"].append(c)
+                out["found"].append(mc[own][keep])
+                out["scores"].append(score[keep])
+                out["least"].append(ml[own][keep])
         longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
         return pa.table({"cid": pa.array(out["cid"], pa.int64()), "found": pa.array(out["found"], longs), "scores": pa.array(out["scores"], doubles), "least": pa.array(out["least"], longs)})
 
@@ -227,11 +247,24 @@ def _search(kind: str, top: int):
 
 
 def _merge(top: int):
+    """Grouped: the lists of some queries -> the best of each."""
+
     def run(table: pa.Table) -> pa.Table:
-        found, scores, least = (np.concatenate([np.asarray(x.as_py()) for x in table.column(c)]) for c in ("found", "scores", "least"))
-        found, first = np.unique(found, return_index=True)
-        keep = _best(scores[first], least[first], top)
-        return pa.table({"asker": pa.array(np.full(len(keep), table.column("cid")[0].as_py()), pa.int64()), "cid": pa.array(found[keep], pa.int64()), "score": pa.array(scores[first][keep], pa.float64())})
+        table = table.sort_by("cid").combine_chunks()
+        asker = table.column("cid").to_numpy()
+        lists = [table.column(c).chunk(0) for c in ("found", "scores", "least")]
+        at = lists[0].offsets.to_numpy() - lists[0].offsets[0].as_py()
+        found, scores, least = (x.flatten().to_numpy() for x in lists)
+        begins = np.flatnonzero(np.append(True, asker[1:] != asker[:-1]))
+        askers, cids, best = [], [], []
+        for a, b in zip(begins, np.append(begins[1:], len(asker)), strict=True):
+            own = slice(at[a], at[b])
+            ids, first = np.unique(found[own], return_index=True)
+            keep = _best(scores[own][first], least[own][first], top)
+            askers.append(np.full(len(keep), asker[a]))
+            cids.append(ids[keep])
+            best.append(scores[own][first][keep])
+        return pa.table({"asker": pa.array(np.concatenate(askers)), "cid": pa.array(np.concatenate(cids)), "score": pa.array(np.concatenate(best))})
 
     return run
 
@@ -257,8 +290,8 @@ def _exactly(kind: str, cids: np.ndarray, asked: np.ndarray, top: int):
     return run
 
 
-def _reach(classes: DataFrame, ranked: DataFrame, kind: str, top: int, recall: float) -> int:
-    """Ranks to either side within which the share ``recall`` of the true neighbours is found in some ordering.
+def _plan(classes: DataFrame, ranked: DataFrame, kind: str, top: int, recall: float, rows: int, queries: int, orderings: int) -> tuple[int, int]:
+    """(orderings, reach): ranks to either side within which the share ``recall`` of the true neighbours is found in some of the orderings.
 
     Measured with at most TRIED of the classes that ask, taken by a hash; their neighbours are found by
     comparing them with every vector.
@@ -266,25 +299,33 @@ def _reach(classes: DataFrame, ranked: DataFrame, kind: str, top: int, recall: f
     asks = classes.where("asks").select("cid", "vec")
     some = asks.orderBy(F.xxhash64("vec"), "cid").limit(TRIED).toArrow()
     if not some.num_rows:
-        return 0
+        return 1, 0
     cids, asked = some.column("cid").to_numpy(), _vectors(some.column("vec"), kind).astype(np.float64)
     near = classes.select("cid", "vec").mapInArrow(_exactly(kind, cids, asked, top), "asker long, cid long, score double").where("score > double('-inf')")
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("cid"))))  # at most ``top`` from each task
     best = near.groupBy("asker").agg(F.slice(order, 1, top).alias("best")).select("asker", F.explode("best.cid").alias("cid"))
     places = ranked.where("not query").select("ordering", "cid", "rank").join(F.broadcast(best), "cid")  # TRIED x top rows
     of_askers = ranked.where(F.col("query") & F.col("cid").isin(cids.tolist())).select("ordering", F.col("cid").alias("asker"), F.col("rank").alias("from"))
-    gaps = places.join(of_askers, ["ordering", "asker"]).groupBy("asker", "cid").agg(F.min(F.abs(F.col("rank") - F.col("from"))).alias("gap"))
-    gaps = np.sort(gaps.select("gap").toArrow().column("gap").to_numpy())
-    return int(gaps[min(len(gaps) - 1, int(np.ceil(recall * len(gaps))))]) if len(gaps) else 0
-
-
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP, orderings: int = ORDERINGS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    gaps = places.join(of_askers, ["ordering", "asker"]).select("asker", "cid", "ordering", F.abs(F.col("rank") - F.col("from")).alias("gap")).toPandas()  # TRIED x top x orderings
+    if gaps.empty:
+        return 1, 0
+    by_ordering = gaps.pivot(index=["asker", "cid"], columns="ordering", values="gap").reindex(columns=range(orderings)).to_numpy()
+    least = np.sort(np.minimum.accumulate(by_ordering, axis=1), axis=0)
+    reach = least[min(len(least) - 1, int(np.ceil(recall * len(least))))].astype(int)
+    n = np.arange(1, orderings + 1)
+    cost = n * (queries * np.minimum(2 * reach + 1, rows) + MOVED * (rows + queries))
+    best_n = int(cost.argmin())
+    return best_n + 1, int(reach[best_n])
+
+
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = TOP, orderings: int = ORDERINGS, recall: float = RECALL, block: int = BLOCK, compared: Accumulator | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its ``top`` nearest found, nearest first.
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows but the query's own.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids
     and vectors of another length than most (of equally many, the longer) have. Rows that repeat both
-    id and vector count once. No rows give no rows. ``recall`` is what the reach is chosen for.
+    id and vector count once. No rows give no rows. ``recall`` is what the reach is chosen for;
+    ``compared`` adds up the inner products that the windows take.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -317,20 +358,23 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     before = counted.select("ordering", "part", F.coalesce(F.sum("n").over(W.partitionBy("ordering").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = placed.where("ordering = 0").count()
     ranked = stored(placed.join(before, ["ordering", "part"]).select("ordering", "cid", "query", (F.col("place") + F.col("before")).alias("rank")), "ranks")
-    blocks = max(LEAST_BLOCKS, -(-total // block))
-    size = -(-total // blocks)
+    asking = total - n
+    orderings, reach = _plan(classes, ranked, kind, top, recall, n, asking, orderings)
+    size = min(block, max(LEAST_BLOCK, 2 * reach))
     blocks = -(-total // size)
-    wide = -(-_reach(classes, ranked, kind, top, recall) // size)
     # queries that come by a block, about; where they are many, the block is copied to several tasks
-    salts = max(1, -(-int((total - n) * min(1.0, (2 * wide + 1) / blocks)) // ASKED))
-    ranked = ranked.withColumn("b", F.floor(F.col("rank") / size).cast("int"))
-    to = F.when(F.col("query"), F.sequence(F.greatest(F.lit(0), F.col("b") - wide), F.least(F.lit(blocks - 1), F.col("b") + wide))).otherwise(F.array("b"))
+    salts = max(1, -(-int(asking * min(1.0, (2 * reach + size) / total)) // ASKED))
+    ranked = ranked.where(F.col("ordering") < orderings)
+    place = lambda rank: F.floor(rank / size).cast("int")
+    window = F.sequence(place(F.greatest(F.lit(0), F.col("rank") - reach)), place(F.least(F.lit(total - 1), F.col("rank") + reach)))
+    to = F.when(F.col("query"), window).otherwise(F.array(place(F.col("rank"))))
     salt = F.when(F.col("query"), F.array(F.pmod(F.xxhash64("cid"), F.lit(salts)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    dealt = ranked.join(classes.select("cid", "vec", F.element_at("ids", 1).alias("least")), "cid").select("ordering", F.explode(to).alias("block"), "cid", "query", "vec", "least")
+    dealt = ranked.join(classes.select("cid", "vec", F.element_at("ids", 1).alias("least")), "cid").select("ordering", F.explode(to).alias("block"), "cid", "query", "rank", "vec", "least")
     dealt = dealt.withColumn("salt", F.explode(salt)) if salts > 1 else dealt.withColumn("salt", F.lit(0).cast("long"))
 
-    lists = dealt.groupBy("ordering", "block", "salt").applyInArrow(_search(kind, top + 1), "cid long, found array<long>, scores array<double>, least array<long>")
-    merged = lists.groupBy("cid").applyInArrow(_merge(top + 1), "asker long, cid long, score double")
+    lists = dealt.groupBy("ordering", "block", "salt").applyInArrow(_search(kind, top + 1, reach, compared), "cid long, found array<long>, scores array<double>, least array<long>")
+    some = F.pmod(F.xxhash64("cid"), F.lit(max(1, -(-asking // MERGED))))
+    merged = lists.withColumn("some", some).groupBy("some").applyInArrow(_merge(top + 1), "asker long, cid long, score double")
     # from classes to ids: of each list the first top + 1 ids, one of which may be the query's own
     entries = merged.join(classes.select("cid", "ids"), "cid").select("asker", F.explode("ids").alias("vec_id"), "score")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("id"))))

@@ -60,6 +60,36 @@ def test_recall_by_shape(spark, monkeypatch, shape):
     assert all(len(x) == 20 for x in got.values()) and hits / (20 * len(want)) >= 0.9
 
 
+def products(spark, n, clusters):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(n, 64))
+    if clusters:
+        v = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)] * 3 + v
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    compared = spark.sparkContext.accumulator(0)
+    rows = ann.nearest(df, compared=compared).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    near = v[::20].astype(float) @ v.T.astype(float)
+    near[np.arange(len(near)), np.arange(0, n, 20)] = -9
+    best = np.argsort(-near, axis=1)[:, :20]
+    recall = sum(len(got[20 * k] & set(b.tolist())) for k, b in enumerate(best)) / best.size
+    return compared.value / (len(near) * n), recall
+
+
+def test_fewer_products_than_all_pairs(spark):
+    """Without structure below all pairs; with structure a small share, which falls as rows are added."""
+    share, recall = products(spark, 8000, 0)
+    print(f"unit vectors: {share:.2f} of all pairs, recall {recall:.3f}")
+    assert share < 1 and recall >= 0.9
+    few, recall = products(spark, 4000, 100)
+    more, recall_of_more = products(spark, 16000, 400)
+    print(f"clusters: {few:.3f} of all pairs at 4,000 rows, {more:.3f} at 16,000; recall {recall:.3f}, {recall_of_more:.3f}")
+    assert more < few < 0.4 and min(recall, recall_of_more) >= 0.9
+
+
 def test_copies_ties_and_odd_vectors(spark):
     same = [1.0, 0.0, 0.0]
     rows = [(k, same) for k in range(0, 120)] + [(200, [0.9, 0.1, 0.0]), (201, None), (202, [0.0, 0.0, 0.0]), (203, [float("nan"), 1.0, 0.0]), (204, [1.0, None, 0.0]), (205, [float("inf"), 0.0, 0.0]), (206, [1.0, 2.0]), (40, same), (None, same)]
