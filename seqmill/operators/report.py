@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.functions.music import bits
-from seqmill.operators import score
+from seqmill.operators import quantiles, score
 from seqmill.operators.chips import DRUM, NOISE, TONE0
+from seqmill.session import stored
 from seqmill.sources.vgm import PORT0, PORT1, PSG
 
 FLAGS = ("lfo", "pms", "ams", "ssg_eg", "ch3_special", "dac", "noise")
@@ -138,3 +139,41 @@ def percent(share: Column) -> Column:
 
 def milliseconds(samples: Column, signed: bool = False) -> Column:
     return F.format_string("%+.1f ms" if signed else "%.1f ms", samples * (1000.0 / RATE))
+
+
+#: Seconds that a loop and a track must exceed, tokens a second by estimate, and tokens of a window.
+LEAST_LOOP, LEAST_TRACK, TOKEN_RATE, WINDOW = 0.5, 1.0, 600, 16_384
+LOOP_BOUNDS = (10, 30, 60, 120)
+
+
+def loop_report(headers: DataFrame) -> DataFrame:
+    """``measure, value``: how many tracks loop, and for those lengths, repeats, wasted shares and what one pass would hold.
+
+    ``headers``: total_samples, loop_samples, loop (null or 0: none). A track is its begin and its loop
+    once; what goes beyond that is wasted. Means and medians over no track are null.
+    """
+    total, body = F.col("total_samples") / RATE, F.coalesce("loop_samples", F.lit(0)) / RATE
+    has = F.coalesce("loop", F.lit(0)) != 0
+    h = headers.select(has.alias("has"), total.alias("total"), body.alias("body"), F.when(has, total - body).otherwise(0.0).alias("intro")).where(F.col("total") > LEAST_TRACK)
+    looped = F.col("has") & (F.col("body") > LEAST_LOOP)
+    counted = h.where(looped | ~F.col("has"))
+    marked = stored(
+        counted.select(
+            looped.alias("looped"), "total", "body", "intro", F.try_divide(F.col("total") - F.col("intro"), "body").alias("repeats"),
+            (F.greatest(F.lit(0.0), F.col("total") - F.col("intro") - F.col("body")) / F.col("total")).alias("wasted"), (F.col("intro") + F.col("body")).alias("one_pass"),
+        ), "loops",
+    )
+    own = marked.where("looped")
+    band = F.lit(f">{LOOP_BOUNDS[-1]}s")
+    for bound in reversed(LOOP_BOUNDS):
+        band = F.when(F.col("body") < bound, f"<{bound}s").otherwise(band)
+    names = ("total", "body", "intro", "repeats", "wasted", "one_pass")
+    sums = own.agg(
+        F.count("*").alias("looping"), *[F.avg(c).alias(f"{c}_mean") for c in names], *[F.max(c).alias(f"{c}_max") for c in names],
+        F.count_if(F.col("one_pass") * TOKEN_RATE < WINDOW).alias("fits"), (F.avg("one_pass") * TOKEN_RATE).alias("tokens_mean"),
+    ).crossJoin(marked.agg(F.count_if(~F.col("looped")).alias("plain")))
+    rows = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in sums.columns])))
+    out = sums.select(rows.alias("measure", "value"))
+    each = own.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(f"{c}_median").alias("k"), F.col(c).cast("double").alias("v")) for c in names]))).alias("measure", "value"))
+    out = out.unionByName(quantiles.quantiles(each, ["measure"], "value", {"median": 0.5}).withColumnRenamed("median", "value"))
+    return out.unionByName(own.groupBy(F.concat(F.lit("body "), band).alias("measure")).agg(F.count("*").cast("double").alias("value")))

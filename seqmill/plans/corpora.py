@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqmill.functions import text as names
 from seqmill.functions.music import duration_bucket
-from seqmill.operators import augment, corpus
+from seqmill.operators import augment, corpus, quantiles
 from seqmill.plans.registry import query
 from seqmill.session import table
 
@@ -317,20 +317,29 @@ def url_union(spark, sf_dir):
   round(count(*) FILTER (o_orderstatus = 'P') / count(*), 6) AS looped, count(*) FILTER (o_totalprice <= 100000) AS fits FROM orders GROUP BY 1""")
 def loop_stats(spark, sf_dir):
     o, p = table(spark, sf_dir, "orders"), F.col("o_totalprice")
+    middle = quantiles.quantiles(o, ["o_orderpriority"], "o_totalprice", {"median": 0.5}).withColumn("median", F.round("median", 6))
     return o.groupBy("o_orderpriority").agg(
-        F.count("*").alias("n"), F.round(F.median(p), 6).alias("median"), F.round(F.avg(p), 6).alias("mean"), F.max(p).alias("largest"),
+        F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean"), F.max(p).alias("largest"),
         F.round(F.count_if(F.col("o_orderstatus") == "P") / F.count("*"), 6).alias("looped"), F.count_if(p <= 100_000).alias("fits"),
-    )
+    ).join(middle, "o_orderpriority")
 
 
 @query("""SELECT lang, min(n_chars) AS least, round(median(n_chars), 6) AS median, round(avg(n_chars), 6) AS mean, max(n_chars) AS most, count(*) FILTER (n_chars < 100) AS sfx,
   round(100.0 * count(*) FILTER (n_chars BETWEEN 100 AND 5000) / count(*), 6) AS band FROM documents GROUP BY 1""")
 def duration_stats(spark, sf_dir):
-    n = F.col("n_chars")
-    return _docs(spark, sf_dir).groupBy("lang").agg(
-        F.min(n).alias("least"), F.round(F.median(n), 6).alias("median"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("most"), F.count_if(n < 100).alias("sfx"),
+    d, n = _docs(spark, sf_dir), F.col("n_chars")
+    middle = quantiles.quantiles(d, ["lang"], "n_chars", {"median": 0.5}).withColumn("median", F.round("median", 6))
+    return d.groupBy("lang").agg(
+        F.min(n).alias("least"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("most"), F.count_if(n < 100).alias("sfx"),
         F.round(100.0 * F.count_if(n.between(100, 5000)) / F.count("*"), 6).alias("band"),
-    )
+    ).join(middle, "lang")
+
+
+@query("""SELECT source, lang, round(quantile_cont(n_chars, 0.05), 6) AS p05, round(median(n_chars), 6) AS p50, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(quantile_cont(n_chars, 1.0), 6) AS p100 FROM documents GROUP BY ALL""")
+def length_quantiles(spark, sf_dir):
+    """Lengths of texts by source and language, at four shares."""
+    q = quantiles.quantiles(_docs(spark, sf_dir), ["source", "lang"], "n_chars", {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0})
+    return q.select("source", "lang", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95", "p100")])
 
 
 @query("""WITH p AS (SELECT conv_id, max(turn) AS e FROM conversations WHERE role IN ('system', 'user') AND turn < 2 GROUP BY 1)

@@ -465,3 +465,21 @@ def musicality_verdict(spark, sf_dir):
     rows = _measures(spark, sf_dir)
     label = F.when(F.substring("track_id", 5, 10).cast("int") % 3 == 0, "made").otherwise("real")
     return musicality.gap(musicality.means(rows.withColumn("label", label), "label"), "label", "real", "made")
+
+
+LOOPS = f"""WITH {SCORE}, hd AS (SELECT track_id, max(sample_off) AS total FROM sc GROUP BY 1), lo AS (SELECT total / 44100 AS total, CASE WHEN CAST(substr(track_id, 5) AS INTEGER) % 2 = 0 THEN total // 3 ELSE 0 END / 44100 AS body FROM hd),
+  lp AS (SELECT total, body, body > 0 AS has, CASE WHEN body > 0 THEN total - body ELSE 0 END AS intro FROM lo WHERE total > 1.0), lw AS (SELECT *, (total - intro) / body AS repeats, greatest(0, total - intro - body) / total AS wasted, intro + body AS one_pass FROM lp WHERE has AND body > 0.5)"""
+
+
+@query(
+    LOOPS
+    + " UNION ALL ".join(
+        [" SELECT 'looping' AS measure, CAST(count(*) AS DOUBLE) AS value FROM lw", "SELECT 'plain', CAST(count(*) AS DOUBLE) FROM lp WHERE NOT has", "SELECT 'fits', CAST(count(*) AS DOUBLE) FROM lw WHERE one_pass * 600 < 16384", "SELECT 'tokens_mean', round(avg(one_pass) * 600, 6) FROM lw"]
+        + [f"SELECT '{c}_{f}', round({g}({c}), 6) FROM lw" for c in ("total", "body", "intro", "repeats", "wasted", "one_pass") for f, g in (("mean", "avg"), ("max", "max"), ("median", "median"))]
+        + ["SELECT 'body ' || CASE WHEN body < 10 THEN '<10s' WHEN body < 30 THEN '<30s' WHEN body < 60 THEN '<60s' WHEN body < 120 THEN '<120s' ELSE '>120s' END, CAST(count(*) AS DOUBLE) FROM lw GROUP BY 1"]
+    )
+)
+def loop_report(spark, sf_dir):
+    """How the made tracks loop: lengths, repeats, waste, and what one pass holds."""
+    h = headers(spark, sf_dir).withColumn("loop", F.col("loop_samples"))
+    return report.loop_report(h).withColumn("value", F.round("value", 6))
