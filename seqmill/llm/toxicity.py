@@ -9,8 +9,9 @@ documents is noted as known, so that it is not taken for a misspelling.
 Matching. The lexicon is a trie. A word of a text is a Levenshtein automaton, held as one bit mask
 for each number of edits; both are walked together, and a branch ends when no state is left. Short
 terms take no edit, longer ones one; a learned prefix takes it within the prefix, and the whole words
-that a prefix stands for stay in the trie as fuzzy terms. Words repeat, so a worker keeps what it has
-matched.
+that a prefix stands for stay in the trie as fuzzy terms. A digit or a sign between two letters may
+stand for a letter, or for none: what lies around it is one word then, which takes that edit. Words
+repeat, so a worker keeps what it has matched.
 
 Context. Each match is looked at within a window of words: quotation marks around it and verbs of
 reporting before it speak for quotation, words of address for abuse. A logistic model over counts of
@@ -43,6 +44,9 @@ KEPT = 200_000  # words that a worker keeps
 COUNTED = 500_000  # words and prefixes that a task counts before it passes them on
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: A digit or sign (of ASCII, but for the apostrophe) with a letter on both sides, and the letters before and after it.
+INNER = re.compile(r"[!-&(-@\[-`{-~](?<=[^\W\d_].)(?=[^\W\d_])")
+BEFORE, AFTER = re.compile(r"[^\W\d_]+\Z"), re.compile(r"[^\W\d_]+")
 #: Fixed word lists: verbs of reporting, and words that address the reader, in the corpus' languages.
 REPORT = frozenset("said says say wrote writes called calls quote quoted quotes term word words dit disait écrit appelé appelle mot sagte sagt schrieb nannte nennt wort dijo dice escribió llamó llama palabra".split())
 ADDRESS = frozenset("you your youre u ur tu te toi vous votre du dich dir dein ihr euch tú usted ustedes eres sois".split())
@@ -70,6 +74,15 @@ def _starts_within_edit(word: str, term: str) -> bool:
     return word.startswith(rest, i) or word.startswith(rest, i + 1) or word.startswith(term[i:], i + 1)
 
 
+def inner_signs(text: str, longest: int) -> Iterator[tuple[int, int, int]]:
+    """Words with one sign inside, among their first letters: (begin, sign, end)."""
+    for m in INNER.finditer(text):
+        at = m.start()
+        left = BEFORE.search(text, max(0, at - longest), at)
+        if left is not None and at - left.start() < longest:
+            yield left.start(), at, AFTER.match(text, at + 1).end()
+
+
 @dataclass
 class Lexicon:
     """Terms (True: a prefix) and words known from clean documents.
@@ -83,6 +96,7 @@ class Lexicon:
     trie: dict = field(default_factory=dict, repr=False)
     gaps: set = field(default_factory=set, repr=False)
     longest: int = field(default=0, repr=False)
+    whole: dict = field(default_factory=dict, repr=False)  # length of a word -> halves of the whole terms that are as long, or a letter more or less
     halves: tuple = field(default=(), repr=False)  # of the prefixes that take an edit: (length of the first, by first, length of the second, by second)
 
     def __post_init__(self) -> None:
@@ -91,6 +105,11 @@ class Lexicon:
             if len(term) >= FUZZY_FROM:
                 if not prefix:
                     self.gaps |= _with_gaps(term)
+                    h = len(term) // 2
+                    for n in range(len(term) - 1, len(term) + 2):
+                        first, second = self.whole.setdefault(n, {}).setdefault((h, len(term) - h), (set(), set()))
+                        first.add(term[:h])
+                        second.add(term[h:])
                 elif term in self.fuzzy:
                     h = len(term) // 2
                     first, second = halves.setdefault(len(term), ({}, {}))
@@ -123,14 +142,26 @@ class Lexicon:
         if len(word) < FUZZY_FROM - 1 or word in self.known:
             return None
         word = word[: self.longest]
-        # what is one edit apart shares a string with one letter less; few words get to the automaton
-        return self._near(word) if not self.gaps.isdisjoint(_with_gaps(word)) or self._starts_near(word) else None
+        return self._near(word) if self._may_be_near(word) else None
+
+    def match_inner(self, word: str) -> tuple[int, str] | None:
+        """The same for a word with a sign inside, which takes the one edit."""
+        return self._near(word) if len(word) >= FUZZY_FROM and word not in self.known and self._may_be_near(word) else None
+
+    def _may_be_near(self, word: str) -> bool:
+        """What is one edit apart shares a string with one letter less; few words get to the automaton."""
+        for (h, k), (first, second) in self.whole.get(len(word), {}).items():
+            if (word[:h] in first or word[-k:] in second) and not self.gaps.isdisjoint(_with_gaps(word)):  # one half of a term is whole
+                return True
+        return self._starts_near(word)
 
     def _starts_near(self, word: str) -> bool:
         """Does the word start with a prefix that has one edit? One half of the prefix is then whole."""
         for h, first, k, second in self.halves:
-            for found in (first.get(word[:h]), second.get(word[h : h + k]), second.get(word[h - 1 : h - 1 + k]), second.get(word[h + 1 : h + 1 + k])):
-                if found and any(_starts_within_edit(word, term) for term in found):
+            if word[:h] in first and any(_starts_within_edit(word, term) for term in first[word[:h]]):
+                return True
+            for at in (h - 1, h, h + 1):
+                if word[at : at + k] in second and any(_starts_within_edit(word, term) for term in second[word[at : at + k]]):
                     return True
         return False
 
@@ -199,9 +230,11 @@ def _near_words(lexicon: Lexicon):
         match, held = Matcher(lexicon), {}
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for w in set(WORD.findall(text.as_py().lower())):
-                    if (m := match(w)) is not None and m[0] == 2:
-                        held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
+                text = text.as_py().lower()
+                inner = {text[a : min(c, a + lexicon.longest)] for a, _, c in inner_signs(text, lexicon.longest)}
+                near = [w for w in set(WORD.findall(text)) if (m := match.kept[w]) is not None and m[0] == 2]
+                for w in {*near, *(w for w in inner if match.inner[w] is not None)}:
+                    held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
         if held:
             bad, good = zip(*held.values(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["term", "bad", "good"])
@@ -256,31 +289,46 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 # -- features -------------------------------------------------------------------------------------
 
 
+class _Kept(dict):
+    """What a function gives for words, KEPT of them at most."""
+
+    def __init__(self, of) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= KEPT:
+            self.clear()
+        found = self[word] = self.of(word)
+        return found
+
+
 class Matcher:
     def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.kept = lexicon, {}
+        self.lexicon, self.kept, self.inner = lexicon, _Kept(lexicon.match), _Kept(lexicon.match_inner)
 
     def __call__(self, word: str) -> tuple[int, str] | None:
-        try:
-            return self.kept[word]
-        except KeyError:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            found = self.kept[word] = self.lexicon.match(word)
-            return found
+        return self.kept[word]
 
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
-        words = WORD.findall(text)
-        hits = {w: m for w in set(words) if (m := self(w)) is not None}
-        if not hits:
+        words, kept = WORD.findall(text), self.kept
+        hits = {w: m for w in set(words) if (m := kept[w]) is not None}
+        longest = self.lexicon.longest
+        signs = [(a, c, m) for a, _, c in inner_signs(text, longest) if (m := self.inner[text[a : min(c, a + longest)]]) is not None]
+        if not hits and not signs:
             return [0.0] * len(FEATURES)
         spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        matches = {k: m for k, w in enumerate(words) if (m := hits.get(w)) is not None}
+        begins = {a: k for k, (a, _) in enumerate(spans)} if signs else {}
+        for a, c, m in signs:  # a word that is matched by itself does not count twice
+            k = begins.get(a)
+            if k is not None and k not in matches and k + 1 not in matches and k + 1 < len(spans) and spans[k + 1][1] == c:
+                matches[k] = m
+        if not matches:
+            return [0.0] * len(FEATURES)
         kinds, quoted, addressed = [0, 0, 0], 0, 0
-        for k, w in enumerate(words):
-            m = hits.get(w)
-            if m is None:
-                continue
+        for k, m in matches.items():
             around = words[max(0, k - WINDOW) : k + WINDOW + 1]
             left = text[spans[max(0, k - WINDOW)][0] : spans[k][0]]
             right = text[spans[k][1] : spans[min(len(words) - 1, k + WINDOW)][1] + 1]
@@ -290,7 +338,7 @@ class Matcher:
             else:
                 kinds[m[0]] += 1
                 addressed += bool(ADDRESS.intersection(around))
-        terms = len({m[1] for m in hits.values()})
+        terms = len({m[1] for m in matches.values()})
         log = math.log1p
         return [log(kinds[0]), log(kinds[1]), log(kinds[2]), log(quoted), log(addressed), log(terms), log(100 * sum(kinds) / len(words))]
 

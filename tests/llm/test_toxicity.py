@@ -187,3 +187,67 @@ def test_misspelt_stems_of_learned_prefixes(spark):
     caught = [r.predicted for r in held if r.doc_id in bent]
     assert len(caught) > 8 and sum(caught) / len(caught) > 0.9
     assert sum(r.predicted == (r.doc_id % 8 == 0) for r in held) / len(held) > 0.97
+
+
+def test_a_sign_inside_a_word_takes_the_edit():
+    lexicon = tox.Lexicon({"idiot": False, "stupid": False, "clown": False, "grumbl": True}, frozenset({"mo.rons"}), frozenset({"grumbl"}))
+    match = tox.Matcher(lexicon)
+    at = dict(zip(tox.FEATURES, range(len(tox.FEATURES)), strict=True))
+    for word in ("st*pid", "id1ot", "idi_ot", "stu-pid", "cl0wn", "St.upid", "gr*mbling"):
+        f = match.features(f"well you {word}, go")
+        assert f[at["fuzzy"]] == math.log1p(1) and f[at["addressed"]] == math.log1p(1) and f[at["exact"]] == 0, word
+    for text in ("e-mail x_1 3.5 a/b", "st**pid", "s*up*d", "id1", "st *pid", "un-idiomatic", "*stu", "don't", "", "12_34"):
+        assert match.features(text) == [0.0] * len(tox.FEATURES), text
+    # words that are matched by themselves do not count once more; quoted ones are quoted
+    assert match.features("you stupid-idiot")[at["exact"]] == math.log1p(2) and match.features("you stupid-idiot")[at["fuzzy"]] == 0
+    assert match.features('she said "st*pid" once')[at["quoted"]] == math.log1p(1)
+    assert tox.Lexicon({"moron": False}, frozenset({"mor.on"})).match_inner("mor.on") is None
+
+
+def test_inner_signs_against_a_plain_scan():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("abé日_1*.' \n-") for _ in range(rng.randint(0, 40)))
+        want = []
+        for i, c in enumerate(text):
+            if not (c.isalpha() or c.isspace() or c == "'") and 0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha():
+                a, b = i, i + 1
+                while a and text[a - 1].isalpha():
+                    a -= 1
+                while b < len(text) and text[b].isalpha():
+                    b += 1
+                want.append((a, i, b))
+        assert list(tox.inner_signs(text, 80)) == want
+        assert list(tox.inner_signs(text, 3)) == [w for w in want if w[1] - w[0] < 3]
+
+
+def test_counts_and_lexicon_against_a_plain_version(spark):
+    """Documents by word and prefix, and the terms that their evidence gives, counted one text at a time."""
+    rng = random.Random(17)
+    docs, plain = [], [rng.choice("bdgklmnprst") + "".join(rng.choice(["a", "e", "ir", "ol", "un"]) for _ in range(3)) for _ in range(200)]
+    for k in range(700):
+        words = [rng.choice(plain) for _ in range(30)]
+        if k % 7 == 0:
+            words[3:6] = [rng.choice(["vexling", "vexlings", "vexlingo", "dunderk"]), rng.choice(plain), "brunzel"]
+        docs.append((k, int(k % 7 == 0), " ".join(words)))
+    train = spark.createDataFrame(docs, "doc_id long, toxic int, text string").repartition(5)
+    counted = train.select("toxic", "text").mapInArrow(tox._partial_counts, "term string, prefix boolean, bad long, good long").groupBy("term", "prefix").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    want = {}
+    for _, toxic, text in docs:
+        words = set(tox.WORD.findall(text.lower()))
+        for item in {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(4, min(12, len(w)) + 1)}:
+            want.setdefault(item, [0, 0])[0 if toxic else 1] += 1
+    assert {(r.term, r.prefix): [r.bad, r.good] for r in counted.collect()} == want
+    bad, good = sum(t for _, t, _ in docs), sum(1 - t for _, t, _ in docs)
+    share = bad / (bad + good)
+    strong = {
+        item
+        for item, (b, g) in want.items()
+        if b > 1 and b / (b + g) > share and b * math.log(b / (b + g) / share) + (g * math.log(g / (b + g) / (1 - share)) if g else 0) >= tox.EVIDENCE and b / (b + (g + 0.5) / math.sqrt(max(1, good / bad))) >= tox.PURITY
+    }
+    lexicon = tox.learn_lexicon(train)
+    assert lexicon.terms.keys() <= {t for t, _ in strong}
+    for term, _ in strong:  # each is a term, or stands under one, or leads to one that nearly all of its documents have
+        assert term in lexicon.terms or any(term.startswith(t) or t.startswith(term) for t in lexicon.terms), term
+    assert lexicon.terms.get("brunzel") is False and any(p and "vexling".startswith(t[:7]) for t, p in lexicon.terms.items())
+    assert tox.Matcher(lexicon).features("you brun-zel")[tox.FEATURES.index("fuzzy")] > 0
