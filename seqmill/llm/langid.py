@@ -3,7 +3,9 @@
 Four kinds of evidence are taken as independent given the language:
 
 - the text: a multinomial over hashed byte trigrams for each language, counted by grouped
-  aggregation over all labelled rows of the training folds;
+  aggregation over all labelled rows of the training folds. Every language with any labelled letters
+  is learned; its table is smoothed towards the mean of all languages by as much as it has different
+  trigrams, so one of little text is sure of what it has seen and leaves the rest to the others;
 - the language that markup declares (``<html lang="fr">``), with a reliability counted over all rows
   whose text alone is sure, by grouped aggregation;
 - the suffix of the address (``.de``, or a path that starts with ``/fr/``), likewise;
@@ -30,7 +32,7 @@ from seqmill.session import fresh, small_batches, stored
 
 BUCKETS = 1 << 13
 FOLDS, HELD_OUT = 5, 0
-LEAST_BYTES = BUCKETS // 2  # labelled text that a language needs: as many trigrams as the smoothing of its table counts for
+FLAT = 0.5  # share of the even distribution in what tables are smoothed towards
 LANGUAGES = 500  # languages at most, a bound on the table; beyond it learning stops with an error
 TEMPER = 0.3  # weight of a trigram's log likelihood
 RELIABLE = {"declared": 0.9, "says": 0.8}  # how often a language declared by markup or address is the right one, before any rows are counted
@@ -94,16 +96,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_text(labelled: DataFrame, languages: list[str]) -> TextModel:
-    """``labelled(lang, text)`` -> model. The counts are at most languages x BUCKETS."""
+    """``labelled(lang, text)`` -> model of those of the languages whose texts have letters. The counts are at most languages x BUCKETS."""
     known = labelled.where(F.col("lang").isin(languages) & F.col("text").isNotNull()).select("lang", "text")
-    counts = known.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((len(languages), BUCKETS), 0.5)
+    found = known.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(found.lang.unique())
+    counts = np.zeros((len(languages), BUCKETS))
     for k, lang in enumerate(languages):
-        own = counts[counts.lang == lang]
-        table[k, own.bucket.to_numpy(np.int64)] += own.n.to_numpy(float)
-    table = np.log(table / table.sum(axis=1, keepdims=True))
-    flat = np.full((1, BUCKETS), -np.log(BUCKETS))
-    return TextModel([*languages, "und"], TEMPER * np.vstack([table, flat]))
+        own = found[found.lang == lang]
+        counts[k, own.bucket.to_numpy(np.int64)] = own.n.to_numpy(float)
+    flat = np.full((1, BUCKETS), 1 / BUCKETS)
+    table = np.log(np.vstack([smoothed(counts), flat]))
+    return TextModel([*languages, "und"], TEMPER * table)
+
+
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """Probabilities of the trigrams of each language, a row each, from counts.
+
+    What a language has not seen goes by the mean of all languages and by the even distribution; its
+    weight is the share of first occurrences, the number of different trigrams against all of them.
+    """
+    if not len(counts):
+        return counts
+    n, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
+    mean = (counts / n).mean(axis=0, keepdims=True)
+    return (counts + kinds * ((1 - FLAT) * mean + FLAT / BUCKETS)) / (n + kinds)
 
 
 _PARTS = ("ll", "declared", "says", "host", "suffix")
@@ -277,17 +293,14 @@ class Identifier:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **columns: str) -> Identifier:
     """From the rows of ``docs`` that carry a language, held-out fold left out.
 
-    A language needs LEAST_BYTES of labelled text, or a hundredth of the labelled rows where these are
-    few; more than LANGUAGES of them are an error. Rows without id are trained on.
+    Every language with a letter of labelled text is learned; more than LANGUAGES of them are an error.
+    Rows without id are trained on.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.coalesce(fold(F.col(f"`{doc_id}`")), F.lit(1)).alias("fold")).where((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull())
-    held = F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))
-    seen = rows.where("lang <> 'und'").groupBy("lang").agg(F.count("*").alias("n"), held.alias("bytes")).orderBy(F.col("bytes").desc(), F.col("n").desc(), "lang").limit(LANGUAGES + 1).collect()
-    total = rows.count()
-    languages = sorted(r["lang"] for r in seen if r["bytes"] >= LEAST_BYTES or 100 * r["n"] >= total)
+    languages = sorted(r["lang"] for r in rows.where("lang <> 'und'").select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages have {LEAST_BYTES} bytes of labelled text; raise langid.LANGUAGES, which bounds the table")
+        raise ValueError(f"more than {LANGUAGES} languages are labelled; raise langid.LANGUAGES, which bounds the table")
     return Identifier(learn_text(rows, languages), text, **columns)
 
 

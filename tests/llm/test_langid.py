@@ -38,12 +38,15 @@ def test_held_out_accuracy(learned):
 
 def test_counts_by_definition(learned):
     data, _, how = learned
-    counts = np.full((3, langid.BUCKETS), 0.5)
+    counts = np.zeros((3, langid.BUCKETS))
     for i, t, lang, _ in data:
         if zlib.crc32(str(i).encode()) % 5 != 0:
             for b in langid.buckets(t):
                 np.add.at(counts[how.model.languages.index(lang)], b, 1)
-    want = langid.TEMPER * np.log(counts / counts.sum(axis=1, keepdims=True))
+    mean, want = sum(c / c.sum() for c in counts) / 3, np.zeros_like(counts)
+    for k, c in enumerate(counts):
+        kinds = np.count_nonzero(c)
+        want[k] = langid.TEMPER * np.log((c + kinds * (mean / 2 + 0.5 / langid.BUCKETS)) / (c.sum() + kinds))
     assert np.allclose(how.model.table[:3], want)
 
 
@@ -155,6 +158,59 @@ def test_rare_languages_are_learned(spark, monkeypatch):
         langid.learn(docs, host="source")
 
 
+def test_a_language_of_one_short_document(spark):
+    """It is in the model and its other texts are found; texts of the others, and of none, stay where they were."""
+    rng, data = random.Random(23), rows(1500, 5)
+    own = ["zwa", "kru", "pli", "dso", "wyx"]
+    text = lambda n: " ".join("".join(rng.choice(own) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    data = [*data, (1, text(12), "zz", "h"), *((10_000 + k, text(20), None, "h") for k in range(40))]
+    data += [(20_000 + k, " ".join("".join(rng.choice("ωψξφγδλ") for _ in range(6)) for _ in range(20)), None, "h") for k in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    how = langid.learn(docs, host="source")
+    assert how.model.languages == ["de", "en", "fr", "zz", "und"]
+    got = {}
+    for r in langid.identify(docs, how).collect():
+        got.setdefault(r.doc_id, r)
+    assert sum(got[i].language == "zz" for i in range(10_000, 10_040)) >= 38
+    assert {got[i].language for i in range(20_000, 20_020)} == {"und"} and not any(got[i].accepted for i in range(20_000, 20_020))
+    rest = [(i, lang) for i, _, lang, _ in data if lang not in (None, "zz") and i != 1]
+    assert sum(got[i].language == lang for i, lang in rest) / len(rest) > 0.98
+    blank = spark.createDataFrame([(1, "12 34", "xx", "h"), (3, "the ing and", "en", "h")], docs.schema)
+    assert langid.learn(blank, host="source").model.languages == ["en", "und"]
+
+
+def test_pages_whose_markup_is_hidden(spark):
+    """Languages of pages by text and host alone, held against what their markup declares."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from seqmill.session import table
+
+    sf = "/root/testdata/sf0.1"
+    model = langid.learn(table(spark, sf, "documents")).model
+    pages = table(spark, sf, "pages")
+    said = {r.page_id: m[1].lower() for r in pages.collect() if (m := re.search(r"""<html[^>]*\blang\s*=\s*["']?([a-zA-Z]{2})""", r.html or ""))}
+    text = F.regexp_replace("html", r"(?s)<(script|style).*?</\1>|<[^>]*>", " ")
+    hidden = pages.select("page_id", text.alias("text"), F.regexp_extract("url", langid.HOST, 1).alias("host"))
+    got = {r.page_id: r.language for r in langid.identify(hidden, langid.Identifier(model, "text", host="host"), "page_id").collect()}
+    right = sum(got[i] == lang for i, lang in said.items())
+    print(f"{right} of {len(said)} pages as their hidden markup says")
+    assert len(said) > 1000 and right / len(said) > 0.9
+
+
+def test_query_on_odd_pages(spark, tmp_path):
+    """Pages without address or markup, empty or null, each have a row."""
+    from seqmill.llm.queries import language_of_pages
+
+    spark.createDataFrame([(k, t, lang, "h") for k, t, lang, _ in rows(200)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(1, None, None), (2, "", ""), (None, "http://x.de/", "<html lang=de>"), (4, "no address", "<html lang='fr'><body>12"), (4, None, "sch ung ein lich schung " * 9)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = language_of_pages(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r.language is not None and 0 <= r.posterior <= 1 for r in got)
+    assert {r.language for r in got if r.page_id is None} == {"de"}
+
+
 def test_query_over_pages(spark):
     """Every page is identified, and what its markup or path says is found in nearly all of those that say something."""
     import re
