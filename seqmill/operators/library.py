@@ -47,10 +47,16 @@ def final_patches(notes: DataFrame) -> DataFrame:
     return voiced.groupBy("track_id", "channel").agg(F.max_by("patch", F.struct("sample_on", "emit")).alias("patch"))
 
 
+def fingerprint(patch: Column) -> Column:
+    """A voice's key of fixed width: a digest of its values in order; null has none."""
+    text = F.array_join(F.transform(patch, lambda v: v.cast("string")), ",", "-")
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def voice_library(patches: DataFrame, most: int = VOICES) -> DataFrame:
-    """``lib, patch, n``: the voices that most channels end with; ties by the voice's own values."""
-    counts = patches.groupBy("patch").agg(F.count("*").alias("n"))
-    return _ranked(counts, most, "patch", "lib").select("lib", "patch", "n")
+    """``lib, print, patch, n``: the voices that most channels end with, by fingerprint; ties by the voice's own values."""
+    counts = patches.where("patch IS NOT NULL").groupBy(fingerprint(F.col("patch")).alias("print")).agg(F.first("patch").alias("patch"), F.count("*").alias("n"))
+    return _ranked(counts, most, "patch", "lib").select("lib", "print", "patch", "n")
 
 
 def to_library(patches: DataFrame, key: str, patch: str, library: DataFrame, vector: Column | None = None) -> DataFrame:
@@ -59,8 +65,9 @@ def to_library(patches: DataFrame, key: str, patch: str, library: DataFrame, vec
     No voice, or an empty library: 0. ``vector`` maps the library's column ``patch`` to what is compared.
     """
     near = vector if vector is not None else patch_vector(F.col("patch"))
-    own = patches.select(key, F.col(patch).alias("patch"))
-    exact = own.join(corpus.small(library.select("patch", F.col("lib").alias("same"))), "patch", "left")
+    own = patches.select(key, F.col(patch).alias("patch"), fingerprint(F.col(patch)).alias("print"))
+    known = corpus.small(library.select(fingerprint(F.col("patch")).alias("print"), F.col("patch").alias("known"), F.col("lib").alias("same")))
+    exact = own.join(known, "print", "left").withColumn("same", F.when(F.col("known") == F.col("patch"), F.col("same")))  # equal prints are looked at
     rest = corpus.nearest_l1(exact.select(key, "same", near.alias("vec")).withColumn("k", F.struct(key, "same")), "k", "vec", library.select("lib", near.alias("vec")))
     return rest.select(f"k.{key}", F.coalesce("k.same", F.col("lib").cast("int"), F.lit(0)).alias("lib"))
 

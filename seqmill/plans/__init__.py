@@ -8,7 +8,7 @@ from seqmill.session import ship
 
 
 def queries() -> dict[str, Callable]:
-    from seqmill.plans import corpora, logs, rhythm, scores, tracks  # noqa: F401
+    from seqmill.plans import corpora, logs, rhythm, scores, sounds, tracks  # noqa: F401
     from seqmill.plans.registry import QUERIES
 
     def shipped(f: Callable) -> Callable:
@@ -22,7 +22,7 @@ def queries() -> dict[str, Callable]:
 
 
 def oracles() -> dict[str, str]:
-    from seqmill.plans import corpora, logs, rhythm, scores, tracks  # noqa: F401
+    from seqmill.plans import corpora, logs, rhythm, scores, sounds, tracks  # noqa: F401
     from seqmill.plans.registry import ORACLES
 
     return dict(ORACLES)

@@ -483,3 +483,10 @@ def loop_report(spark, sf_dir):
     """How the made tracks loop: lengths, repeats, waste, and what one pass holds."""
     h = headers(spark, sf_dir).withColumn("loop", F.col("loop_samples"))
     return report.loop_report(h).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {SCORE}, fp AS (SELECT md5(array_to_string(list_concat([alg, 3, 0, 0, pan], flatten([[tl, 31, 1, 2, 3, 4, 1, 0, 0, 0, 0] for k in range(4)])), ',')) AS print FROM sc WHERE channel < 6) SELECT print, count(*) AS n FROM fp GROUP BY 1""")
+def patch_fingerprints(spark, sf_dir):
+    """Voices by fingerprint, and the notes that each has."""
+    p = notes(spark, sf_dir).where("patch IS NOT NULL").groupBy(library.fingerprint(F.col("patch")).alias("print")).agg(F.count("*").alias("n"))
+    return p.select(F.lower(F.hex("print")).alias("print"), "n")
