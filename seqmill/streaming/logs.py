@@ -58,50 +58,81 @@ def intervals(stream: DataFrame, key: str, seq: str, clock: str, opens, closes)
     return edges.groupBy("key").applyInPandasWithState(_pair, _INTERVAL, "begun long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _changed(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    last = state.get[0] if state.exists else None
-    out = []
-    for seq, value in zip(rows["seq"], rows["value"], strict=True):
-        value = None if pd.isna(value) else int(value)
-        if not state.exists and not out or value != last:
-            out.append((key[0], key[1], int(seq), value))
-        last = value
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["track", "register", "seq", "value"]).astype({"value": "Int64"})
+def _changed(idle: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State: the register's last value; idle for long, it is forgotten."""
+        columns = ["track", "register", "seq", "value"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns).astype({"value": "Int64"})
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        last = state.get[0] if state.exists else None
+        out = []
+        for seq, value in zip(rows["seq"], rows["value"], strict=True):
+            value = None if pd.isna(value) else int(value)
+            if not state.exists and not out or value != last:
+                out.append((key[0], key[1], int(seq), value))
+            last = value
+        state.update((last,))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame(out, columns=columns).astype({"value": "Int64"})
+
+    return run
+
+
+def _timeout(idle: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
-def register_changes(stream: DataFrame, track: str, register: str, seq: str, value: str) -> DataFrame:
-    """Rows whose value is not the register's last one; the first of each register always."""
+def register_changes(stream: DataFrame, track: str, register: str, seq: str, value: str, idle: int | None = None) -> DataFrame:
+    """Rows whose value is not the register's last one; the first of each register always.
+
+    A register's last value is kept as long as the stream runs, or until nothing came for ``idle``
+    milliseconds; the next row is a first one then.
+    """
     rows = stream.select(F.col(track).cast("long").alias("track"), F.col(register).alias("register"), F.col(seq).cast("long").alias("seq"), F.col(value).cast("long").alias("value"))
-    return rows.groupBy("track", "register").applyInPandasWithState(_changed, "track long, register string, seq long, value long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("track", "register").applyInPandasWithState(_changed(idle), "track long, register string, seq long, value long", "last long", "append", _timeout(idle))
 
 
 _NOTE = "track_id string, emit int, channel int, pitch int, velocity int, sample_on long, sample_off long, patch array<int>, dac_sample_id long, noise_mode int"
 
 
-def _decoded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: both chips' registers and open notes, and how many notes were put out."""
-    decoder, emit = pickle.loads(state.get[0]) if state.exists else (Decoder(), 0)
-    out = []
+def _decoded(idle: int | None):
     fields = ["channel", "pitch", "velocity", "sample_on", "sample_off", "patch", "dac_sample_id", "noise_mode"]
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    for kind, register, value, offset in zip(rows["type"], rows["register"], rows["value"], rows["pcm_offset"], strict=True):
-        found = list(decoder.feed(int(kind), int(register), int(value), None if pd.isna(offset) else int(offset)))
-        if decoder.ended and not found and (last := list(decoder.finish())):
-            found = last
-        for n in found:
-            out.append((key[0], emit, *(getattr(n, f) for f in fields)))
-            emit += 1
-    state.update((pickle.dumps((decoder, emit)),))
-    frame = pd.DataFrame(out, columns=["track_id", "emit", *fields])
-    yield frame.astype({"pitch": "Int32", "dac_sample_id": "Int64", "sample_off": "Int64"})
-
-
-def decode_notes(stream: DataFrame) -> DataFrame:
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State: both chips' registers and open notes, and how many notes were put out; nothing of a track that has ended."""
+        decoder, emit = pickle.loads(state.get[0]) if state.exists else (Decoder(), 0)
+        found: list = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+            for kind, register, value, offset in zip(rows["type"], rows["register"], rows["value"], rows["pcm_offset"], strict=True):
+                found += decoder.feed(int(kind), int(register), int(value), None if pd.isna(offset) else int(offset))
+                if decoder.ended:
+                    break
+        if decoder.ended or state.hasTimedOut:
+            found += decoder.finish()
+            if state.exists:
+                state.remove()
+        else:
+            state.update((pickle.dumps((decoder, emit + len(found))),))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
+        frame = pd.DataFrame([(key[0], emit + k, *(getattr(n, f) for f in fields)) for k, n in enumerate(found)], columns=["track_id", "emit", *fields])
+        yield frame.astype({"pitch": "Int32", "dac_sample_id": "Int64", "sample_off": "Int64"})
+
+    return run
+
+
+def decode_notes(stream: DataFrame, idle: int | None = None) -> DataFrame:
     """Notes of event rows (track_id, seq, type, register, value, pcm_offset) as they close, the rest at a track's end mark.
 
-    What is kept of a track is the register file and its open notes. A batch never goes back in a track.
+    What is kept of a track is the register file and its open notes, until its end mark, or until nothing
+    came of it for ``idle`` milliseconds: its open notes are put out then. With ``idle`` the query has to
+    run on a trigger that comes again: one that stops when all is read never does, as state may yet time out. Rows of a track after its end are
+    dropped within a batch; in a later batch they begin a track anew. A batch never goes back in a track.
     """
     rows = stream.select("track_id", F.col("seq").cast("long").alias("seq"), F.col("type").cast("int").alias("type"), F.col("register").cast("int").alias("register"), F.col("value").cast("int").alias("value"), F.col("pcm_offset").cast("long").alias("pcm_offset"))
-    return rows.groupBy("track_id").applyInPandasWithState(_decoded, _NOTE, "chips binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("track_id").applyInPandasWithState(_decoded(idle), _NOTE, "chips binary", "append", _timeout(idle))

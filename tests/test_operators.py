@@ -162,6 +162,33 @@ def test_stream_of_notes(spark, tmp_path):
     columns = ["track_id", "emit", "channel", "pitch", "velocity", "sample_on", "sample_off", "patch", "dac_sample_id", "noise_mode"]
     want = chips.decode_notes(base).select(*columns).collect()
     assert len(want) > 60 and sorted(map(str, spark.table("heard").select(*columns).collect())) == sorted(map(str, want))
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0  # all tracks have ended
+
+
+def test_what_is_idle_is_put_out_and_forgotten(spark, tmp_path):
+    """On a trigger that comes again: a track that ends leaves no state, one that stops leaves none after a while."""
+    import time
+
+    schema = "track_id string, seq int, type int, register int, value int, pcm_offset long"
+    on = lambda t, k: [(t, k, 0, 0xA4, 0x22, None), (t, k + 1, 0, 0xA0, 0x69, None), (t, k + 2, 0, 0x28, 0xF0, None), (t, k + 3, 3, 0, 735, None)]
+    rows = [*on("a", 0), *on("b", 0), ("b", 4, 4, 0, 0, None), ("b", 5, 0, 0x28, 0xF0, None)]  # an end, and a row after it
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    numbered = stream.selectExpr("CAST(ascii(track_id) AS long) AS track", "CAST(register AS string) AS register", "seq", "value")
+    begun = [
+        out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="300 milliseconds").start()
+        for name, out in (("stopped", streams.decode_notes(stream, idle=3000)), ("values", streams.register_changes(numbered, "track", "register", "seq", "value", idle=3000)))
+    ]
+    try:
+        until, seen = time.time() + 60, [set(), set()]
+        while time.time() < until and not (seen[0] == {"a", "b"} and all(q.lastProgress and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0 for q in begun)):
+            time.sleep(0.3)
+            seen[0] = {r.track_id for r in spark.table("stopped").collect()}
+        assert seen[0] == {"a", "b"} and spark.table("stopped").count() == 2
+        assert spark.table("values").count() == 2 * 4 + 1 and all(q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0 for q in begun)
+    finally:
+        for q in begun:
+            q.stop()
 
 
 def test_differences_as_files(spark, tmp_path):
