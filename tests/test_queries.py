@@ -73,3 +73,26 @@ def test_results_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+@pytest.fixture(scope="module")
+def long_training(spark, tmp_path_factory):
+    """More documents than any schedule has steps, long ones throughout; null texts and ids, an id given twice, numbers with gaps, shuffled."""
+    lengths = [(k * 7919) % 40 if k % 50 else 900 + k for k in range(10_400)]
+    docs = [(3 * k, None if k % 97 == 1 else " ".join("w" * n)) for k, n in enumerate(lengths)] + [(None, "a b"), (30, "a b c"), (30, "a b c")]
+    order = np.random.default_rng(1).permutation(len(docs))
+    at = tmp_path_factory.mktemp("steps")
+    spark.createDataFrame([docs[k] for k in order], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    return str(at), con, len(docs)
+
+
+def test_curriculum_over_all_of_training(spark, long_training):
+    at, con, n = long_training
+    got = entry.queries()["curriculum_len"](spark, at).toPandas()
+    assert rows(got) == rows(con.execute(entry.oracle_sql()["curriculum_len"]).fetchdf())
+    assert sorted(got.step) == list(range(n))
+    by_step = got.set_index("step")
+    assert [by_step.seq_len[s] for s in (0, 178, 179, 1250, 4999, 5000, n - 1)] == [1024, 1024, 1280, 2816, 7936, 8192, 8192]
+    assert (got.kept <= got.seq_len).all() and (got.kept == got.seq_len).any() and got.kept.max() == 8192
