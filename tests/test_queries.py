@@ -96,3 +96,14 @@ def test_curriculum_over_all_of_training(spark, long_training):
     by_step = got.set_index("step")
     assert [by_step.seq_len[s] for s in (0, 178, 179, 1250, 4999, 5000, n - 1)] == [1024, 1024, 1280, 2816, 7936, 8192, 8192]
     assert (got.kept <= got.seq_len).all() and (got.kept == got.seq_len).any() and got.kept.max() == 8192
+
+
+def test_rates_over_all_of_training(spark, long_training):
+    at, con, n = long_training
+    got = entry.queries()["lr_schedule"](spark, at).toPandas()
+    want = con.execute(entry.oracle_sql()["lr_schedule"]).fetchdf()
+    assert rows(got.assign(lr=got.lr * 1e9)) == rows(want.assign(lr=want.lr * 1e9))  # rows() rounds to five places
+    assert sorted(got.step) == list(range(n))
+    lr = got.set_index("step").lr
+    assert [lr[s] for s in (0, 1, 250, 500, 5250, 10_000, n - 1)] == pytest.approx([0, 6e-7, 1.5e-4, 3e-4, 1.65e-4, 3e-5, 3e-5], abs=1e-12)
+    assert got.words.sum() == con.execute("SELECT sum(len(string_split(text, ' '))) FROM documents").fetchone()[0]
